@@ -16,9 +16,11 @@ The bucket edges only decide where the work runs; the results are exact.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.functions.scalars import HASH_BITS, stable_hash
 from sieveline.runtime import broadcast_if_small, shuffle_width, small_rows
@@ -141,81 +143,126 @@ def bin_of(value, edges) -> Column:
 # exact cuts of a total order: "the first k rows of each stratum"
 # ---------------------------------------------------------------------------
 
-_RADIX_BITS = 16
+_LEVEL_BITS = 12
+_LEAF_ROWS = 20_000  # rows of one bucket that may be looked at directly
+_MAX_HISTOGRAM = 4_000_000
 
 
 def exact_cuts(
     df: DataFrame,
     by: list[str],
-    key: str,
+    key: Column,
     tie: str,
-    ranks: Callable[[Column], list[Column]],
-    bucket: Column | None = None,
-) -> DataFrame:
+    ranks: Callable[[int, tuple], list[int]],
+    bits: int = HASH_BITS,
+) -> dict[tuple, list[tuple | None]]:
     """Boundary rows of the order (``key``, ``tie``) within each stratum.
 
-    ``ranks(n)`` lists how many rows go before each cut, in terms of the stratum
-    size.  The result has ``by`` and ``cuts``, an array of structs (i, k, t): a
-    row lies before cut i when ``(key, tie) < (k, t)``; a missing cut lies after
-    every row.
+    ``ranks(n, stratum)`` lists how many rows of a stratum of ``n`` go before each
+    cut; the result maps a stratum to its cuts, each the (key, tie) of the first row after
+    the cut, or None when every row lies before it.
+
+    A radix descent: a histogram of the key's top bits (one map-side reduced
+    aggregate) locates the bucket of each cut, and only buckets that are still
+    large are split by their next bits.  Histograms and the few rows of the last
+    buckets are all that leaves the executors, so applying the cuts is a pure
+    projection: the data rows are never shuffled or sorted.
 
-    Two small aggregations find the cuts (a histogram of the key's top bits, then
-    only the rows of the buckets that hold a cut), so applying them is a pure
-    projection: the data rows themselves are never shuffled or sorted.
+    ``key`` is a BIGINT in [0, 2**bits); rows with a NULL key take no part.
     """
-    keys = list(by) or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    radix = F.shiftright(F.col(key), HASH_BITS - _RADIX_BITS) if bucket is None else bucket
-    base = base.select(*keys, F.col(key).alias("_k"), F.col(tie).alias("_t"), radix.alias("_b"))
-
-    hist = base.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys)
-    hist = hist.select(
-        *keys, "_b", "_c",
-        F.coalesce(
-            F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-        F.sum("_c").over(w).alias("_n"),
-    )
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), r.cast("bigint").alias("r")) for i, r in enumerate(ranks(F.col("_n")))
-    ])
-    targets = (
-        hist.withColumn("_w", F.explode(wanted))
-        .filter((F.col("_w.r") >= F.col("_before")) & (F.col("_w.r") < F.col("_before") + F.col("_c")))
-        .select(*keys, "_b", F.col("_w.i").alias("_i"), (F.col("_w.r") - F.col("_before")).alias("_off"))
-    )
-    targets = broadcast_if_small(targets)
-    in_bucket = Window.partitionBy(*keys, "_i").orderBy("_k", "_t")
-    picked = (
-        base.join(targets, [*keys, "_b"])
-        .withColumn("_rn", F.row_number().over(in_bucket) - 1)
-        .filter(F.col("_rn") == F.col("_off"))
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_k").alias("k"), F.col("_t").alias("t"))).alias("cuts"))
-    )
-    return picked if by else picked.drop("_all")
+    base = df.select(*by, key.alias("_k"), F.col(tie).alias("_t"))
+    shift = max(bits - _LEVEL_BITS, 0)
+    hist = base.groupBy(*by, F.shiftright("_k", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    counts: dict[tuple, dict[int, int]] = {}
+    for r in small_rows(hist, _MAX_HISTOGRAM):
+        if r["_b"] is not None:
+            counts.setdefault(tuple(r[c] for c in by), {})[r["_b"]] = r["_c"]
+
+    cuts: dict[tuple, list[tuple | None]] = {}
+    pending = []  # (stratum, cut number, bucket, rows before it in the bucket, rows in it)
+    for s, buckets in counts.items():
+        wanted = ranks(sum(buckets.values()), s)
+        cuts[s] = [None] * len(wanted)
+        pending += _locate(s, list(enumerate(wanted)), buckets)
+
+    while pending:
+        leaves = [p for p in pending if p[4] <= _LEAF_ROWS or shift == 0]
+        deeper = [p for p in pending if p not in leaves]
+        if leaves:
+            groups = {(p[0], p[2]) for p in leaves}
+            oversized = {(p[0], p[2]) for p in leaves if p[4] > _LEAF_ROWS}
+            rows: dict[tuple, list] = {}
+            small = [g for g in groups if g not in oversized]
+            if small:
+                for r in _rows_in(base, by, small, shift).collect():  # at most _LEAF_ROWS per cut
+                    rows.setdefault((tuple(r[c] for c in by), r["_b"]), []).append((r["_k"], r["_t"]))
+            for s, i, b, offset, _ in leaves:
+                if (s, b) in oversized:  # one key value repeated: order by the tie-break
+                    r = _rows_in(base, by, [(s, b)], shift).orderBy("_k", "_t").offset(offset).limit(1).collect()[0]
+                    cuts[s][i] = (r["_k"], r["_t"])
+                else:
+                    cuts[s][i] = sorted(rows[(s, b)])[offset]
+        if not deeper:
+            break
+        finer = max(shift - _LEVEL_BITS, 0)
+        inside = _rows_in(base, by, sorted({(p[0], p[2]) for p in deeper}, key=str), shift)
+        sub = inside.groupBy(*by, "_b", F.shiftright("_k", finer).alias("_f")).agg(F.count(F.lit(1)).alias("_c"))
+        fine: dict[tuple, dict[int, int]] = {}
+        for r in small_rows(sub, _MAX_HISTOGRAM):
+            fine.setdefault((tuple(r[c] for c in by), r["_b"]), {})[r["_f"]] = r["_c"]
+        pending = []
+        for s, i, b, offset, _ in deeper:
+            pending += _locate(s, [(i, offset)], fine[(s, b)])
+        shift = finer
+    return cuts
+
+
+def _locate(stratum, wanted: list[tuple[int, int]], buckets: dict[int, int]) -> list[tuple]:
+    out, before = [], 0
+    order = sorted(wanted, key=lambda w: w[1])
+    at = 0
+    for b in sorted(buckets):
+        while at < len(order) and order[at][1] < before + buckets[b]:
+            i, rank = order[at]
+            out.append((stratum, i, b, rank - before, buckets[b]))
+            at += 1
+        before += buckets[b]
+    return out
+
+
+def _same(by: list[str], stratum: tuple) -> Column:
+    cond = F.lit(True)
+    for c, v in zip(by, stratum, strict=True):
+        cond = cond & F.col(c).eqNullSafe(F.lit(v))
+    return cond
+
+
+def _rows_in(base: DataFrame, by: list[str], groups, shift: int) -> DataFrame:
+    """Rows whose (stratum, bucket) is one of ``groups``, with the bucket as ``_b``.
+
+    A broadcast join with the few wanted buckets, so the key is computed once.
+    """
+    schema = T.StructType([*[base.schema[c] for c in by], T.StructField("_b", T.LongType())])
+    wanted = base.sparkSession.createDataFrame([(*s, b) for s, b in groups], schema)
+    tagged = base.withColumn("_b", F.shiftright("_k", shift))
+    cond = reduce(lambda x, y: x & y, [tagged[c].eqNullSafe(wanted[c]) for c in [*by, "_b"]])
+    return tagged.join(F.broadcast(wanted), cond, "left_semi")
 
 
-def cut_index(df: DataFrame, cuts: DataFrame, by: list[str], key: Column, tie: str, n_cuts: int, out: str) -> DataFrame:
-    """Add ``out`` = the number of cuts at or before the row (0 = before the first)."""
-    passed = F.size(
-        F.filter(
-            F.col("_cuts"),
-            lambda c: (key > c["k"]) | ((key == c["k"]) & (F.col(tie) >= c["t"])),
-        )
-    )
-    passed = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(passed)
-    if by:
-        joined = df.join(broadcast_if_small(cuts.withColumnRenamed("cuts", "_cuts")), by, "left")
-    else:
-        rows = small_rows(cuts, 1)
-        side = df.sparkSession.createDataFrame(
-            [(0, rows[0]["cuts"] if rows else None)],
-            "_one int, _cuts " + cuts.schema["cuts"].dataType.simpleString(),
-        )
-        joined = df.withColumn("_one", F.lit(0)).join(F.broadcast(side), "_one").drop("_one")
-    return joined.withColumn(out, passed.cast("int")).drop("_cuts")
+def cut_index(by: list[str], cuts: dict, key: Column, tie: str) -> Column:
+    """Number of cuts at or before a row (0 = before the first), as an expression.
+
+    ``key`` is used several times: give a materialised column, not a hash.
+    """
+    out = F.lit(0)
+    for s, bounds in cuts.items():
+        passed = F.lit(0)
+        for bound in bounds:
+            if bound is not None:
+                after = (key > F.lit(bound[0])) | ((key == F.lit(bound[0])) & (F.col(tie) >= F.lit(bound[1])))
+                passed = passed + after.cast("int")
+        out = passed if not by else F.when(_same(by, s), passed).otherwise(out)
+    return out
 
 
 def row_positions(df: DataFrame, key: Column, tie: str, out: str) -> DataFrame:

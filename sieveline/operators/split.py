@@ -18,16 +18,9 @@ from sieveline.runtime import small_rows
 TEST_SEED = 42  # fixed value: the test set is the same for every run seed
 
 
-def _first_share(n: Column, share: float) -> Column:
-    # the product is rounded first so that 0.2 * 15 is 3 and not 3.0000000000000004
-    return F.ceil(F.round(n * F.lit(share), 9))
-
-
-def mark_share(df: DataFrame, row_id: str, share: float, seed: int, by: list[str], out: str) -> DataFrame:
-    """Add boolean ``out``: true for the first ``ceil(share*n)`` rows of each stratum."""
-    h = stable_hash(seed, row_id)
-    cuts = exact_cuts(df.withColumn("_h", h), by, "_h", row_id, lambda n: [_first_share(n, share)])
-    return cut_index(df, cuts, by, h, row_id, 1, "_cut").withColumn(out, F.col("_cut") == 0).drop("_cut")
+def _first_share(n: int, share: float) -> int:
+    # rounded first, so that a product like 3.0000000000000004 counts as 3
+    return math.ceil(round(n * share, 9))
 
 
 def split(
@@ -40,18 +33,20 @@ def split(
 ) -> DataFrame:
     """Add ``split`` in {train, val, test}; stratified when ``label`` is given.
 
+    The first ``ceil(share*n)`` rows of each stratum in hash order form a part.
     The test part uses the fixed seed, the train/val part the run seed.
     """
     by = [label] if label else []
-    marked = mark_share(df, row_id, test_share, TEST_SEED, by, "_test")
+    keyed = df.withColumns({"_ht": stable_hash(TEST_SEED, row_id), "_hv": stable_hash(f"val{seed}", row_id)})
+    cuts = exact_cuts(keyed, by, F.col("_ht"), row_id, lambda n, _: [_first_share(n, test_share)])
+    in_test = cut_index(by, cuts, F.col("_ht"), row_id) == 0
     if val_share is None:
-        return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
-    h = stable_hash(f"val{seed}", row_id)
-    rest = marked.filter(~F.col("_test")).withColumn("_h", h)
-    cuts = exact_cuts(rest, by, "_h", row_id, lambda n: [_first_share(n, val_share)])
-    out = cut_index(marked, cuts, by, h, row_id, 1, "_cut")
-    name = F.when(F.col("_test"), "test").when(F.col("_cut") == 0, "val").otherwise("train")
-    return out.withColumn("split", name).drop("_test", "_cut")
+        return keyed.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("_ht", "_hv")
+    rest = F.when(~in_test, F.col("_hv"))
+    cuts = exact_cuts(keyed, by, rest, row_id, lambda n, _: [_first_share(n, val_share)])
+    in_val = cut_index(by, cuts, F.col("_hv"), row_id) == 0
+    name = F.when(in_test, "test").when(in_val, "val").otherwise("train")
+    return keyed.withColumn("split", name).drop("_ht", "_hv")
 
 
 def take_split(df: DataFrame, part: str) -> DataFrame:
@@ -59,27 +54,27 @@ def take_split(df: DataFrame, part: str) -> DataFrame:
     return df if part == "all" else df.filter(F.col("split") == part)
 
 
-def _fold_starts(n: Column, k: int) -> list[Column]:
+def _fold_starts(n: int, k: int) -> list[int]:
     # k blocks whose sizes differ by at most one, larger blocks first
-    return [F.lit(i) * F.floor(n / F.lit(k)) + F.least(F.lit(i), n % F.lit(k)) for i in range(1, k)]
+    return [i * (n // k) + min(i, n % k) for i in range(1, k)]
 
 
 def folds(df: DataFrame, row_id: str, k: int = 5, label: str | None = None, seed: int = 1) -> DataFrame:
     """Add ``fold`` 0..k-1: shuffled, stratified when ``label`` is given."""
     by = [label] if label else []
-    h = stable_hash(f"fold{seed}", row_id)
-    cuts = exact_cuts(df.withColumn("_h", h), by, "_h", row_id, lambda n: _fold_starts(n, k))
-    return cut_index(df, cuts, by, h, row_id, k - 1, "fold")
+    keyed = df.withColumn("_h", stable_hash(f"fold{seed}", row_id))
+    cuts = exact_cuts(keyed, by, F.col("_h"), row_id, lambda n, _: _fold_starts(n, k))
+    return keyed.withColumn("fold", cut_index(by, cuts, F.col("_h"), row_id)).drop("_h")
 
 
 def block_folds(df: DataFrame, row_id: str, k: int = 5) -> DataFrame:
-    """Add ``fold`` 0..k-1: contiguous, unshuffled blocks in the order of a numeric id."""
-    key = F.col(row_id).cast("bigint")
-    edges = df.agg(F.percentile_approx(key, [i / 256 for i in range(1, 256)], 2000).alias("e")).first()["e"]
-    edges = sorted(set(edges or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < key)) if edges else F.lit(0)
-    cuts = exact_cuts(df.withColumn("_h", key), [], "_h", row_id, lambda n: _fold_starts(n, k), bucket)
-    return cut_index(df, cuts, [], key, row_id, k - 1, "fold")
+    """Add ``fold`` 0..k-1: contiguous, unshuffled blocks in the order of an integer id."""
+    lo, hi = df.agg(F.min(row_id), F.max(row_id)).first()
+    if lo is None:
+        return df.withColumn("fold", F.lit(0))
+    key = F.col(row_id).cast("bigint") - F.lit(int(lo))
+    cuts = exact_cuts(df, [], key, row_id, lambda n, _: _fold_starts(n, k), bits=max(int(hi - lo).bit_length(), 1))
+    return df.withColumn("fold", cut_index([], cuts, key, row_id))
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
@@ -88,12 +83,11 @@ def class_counts(df: DataFrame, label: str) -> dict:
 
 
 def _keep_quota(df: DataFrame, row_id: str, label: str, seed, quota: dict) -> DataFrame:
-    size = F.coalesce(
-        *[F.when(F.col(label) == F.lit(c), F.lit(q)) for c, q in quota.items()], F.lit(0)
-    ).cast("bigint")
-    h = stable_hash(seed, row_id)
-    cuts = exact_cuts(df.withColumn("_h", h), [label], "_h", row_id, lambda n: [size])
-    return cut_index(df, cuts, [label], h, row_id, 1, "_cut").filter(F.col("_cut") == 0).drop("_cut")
+    keyed = df.withColumn("_h", stable_hash(seed, row_id))
+    sizes = {(c,): q for c, q in quota.items()}
+    cuts = exact_cuts(keyed, [label], F.col("_h"), row_id, lambda n, s: [sizes.get(s, 0)])
+    kept = keyed.withColumn("_cut", cut_index([label], cuts, F.col("_h"), row_id)).filter(F.col("_cut") == 0)
+    return kept.drop("_h", "_cut")
 
 
 def balance(df: DataFrame, row_id: str, label: str, seed: int = TEST_SEED) -> DataFrame:
