@@ -43,6 +43,16 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in cols})
 
 
+def r9(c) -> Column:
+    """Nine places, for averages of few decimals that would sit on a six-place half."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 9) + F.lit(0.0)
+
+
+def rounded9(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: r9(c) for c in cols})
+
+
 def load_all():
     """Import every catalog module and return (queries, oracles)."""
     for module in pkgutil.iter_modules(__path__):

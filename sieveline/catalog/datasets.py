@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.catalog import query, rounded, table
+from sieveline.catalog import query, rounded, rounded9, table
 from sieveline.catalog.fixtures import (
-    BINS, CUST, DOC, LINE, LINE_NUM, SCORES, d6, fx_bins, fx_cust, fx_line, fx_scores, run,
+    BINS, CUST, DOC, LINE, LINE_NUM, SCORES, d6, d9, fx_bins, fx_cust, fx_line, fx_scores, run,
 )
 from sieveline.operators import bins as bn
 from sieveline.operators.encode import apply_mask
@@ -403,9 +403,9 @@ def fil5(spark, sf):
 
 
 @query("fil6_listed_methods", f"""
-WITH fx AS ({SCORES}) SELECT llm_model, concept, {d6('score')} AS score FROM fx WHERE llm_model IN ('Brand#1', 'Brand#5')""")
+WITH fx AS ({SCORES}) SELECT llm_model, concept, {d9('score')} AS score FROM fx WHERE llm_model IN ('Brand#1', 'Brand#5')""")
 def fil6(spark, sf):
-    return rounded(fx_scores(spark, sf).filter(F.col("llm_model").isin("Brand#1", "Brand#5")), "score")
+    return rounded9(fx_scores(spark, sf).filter(F.col("llm_model").isin("Brand#1", "Brand#5")), "score")
 
 
 # --- joins ----------------------------------------------------------------------------------

@@ -129,3 +129,7 @@ def duck_long(cols: list[str], keep: str, relation: str, cast: str = "DOUBLE") -
 
 def d6(expr: str) -> str:
     return f"round({expr}, 6) + 0.0"
+
+
+def d9(expr: str) -> str:
+    return f"round({expr}, 9) + 0.0"

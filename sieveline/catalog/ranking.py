@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.catalog import query, r6, rounded, table
-from sieveline.catalog.fixtures import LINE, LINE_NUM, PATHS, SCORES, d6, duck_hash, duck_long, fx_line, fx_paths, fx_scores
+from sieveline.catalog import query, r9, rounded9, table
+from sieveline.catalog.fixtures import LINE, LINE_NUM, PATHS, SCORES, d9, duck_hash, duck_long, fx_line, fx_paths, fx_scores
 from sieveline.operators import ranks as rk
 from sieveline.operators import report, stats
 from sieveline.operators import select as sel
@@ -83,37 +83,37 @@ def _trials(spark, sf):
     )
 
 
-_TRIAL_COLS = f"trial, epoch, {d6('val_metric')} AS val_metric, {d6('test_metric')} AS test_metric"
+_TRIAL_COLS = f"trial, epoch, {d9('val_metric')} AS val_metric, {d9('test_metric')} AS test_metric"
 
 
 @query("win6_best_epoch_per_trial", f"""
 SELECT {_TRIAL_COLS} FROM ({_TRIALS}) QUALIFY row_number() OVER (PARTITION BY trial ORDER BY val_metric DESC, epoch) = 1""")
 def win6(spark, sf):
-    return rounded(report.best_row(_trials(spark, sf), ["trial"], "val_metric", "max", ["epoch"]), "val_metric", "test_metric")
+    return rounded9(report.best_row(_trials(spark, sf), ["trial"], "val_metric", "max", ["epoch"]), "val_metric", "test_metric")
 
 
 @query("win7_best_trial", f"SELECT {_TRIAL_COLS} FROM ({_TRIALS}) ORDER BY val_metric, trial, epoch LIMIT 1")
 def win7(spark, sf):
     best = report.best_row(_trials(spark, sf), [], "val_metric", "min", ["trial", "epoch"])
-    return rounded(best, "val_metric", "test_metric")
+    return rounded9(best, "val_metric", "test_metric")
 
 
 @query("mod13_trial_summary", f"""
 WITH t AS ({_TRIALS}), b AS (SELECT trial FROM t ORDER BY val_metric DESC, trial, epoch LIMIT 1)
-SELECT t.trial, t.epoch, {d6('t.val_metric')} AS val_metric FROM t JOIN b USING (trial)""")
+SELECT t.trial, t.epoch, {d9('t.val_metric')} AS val_metric FROM t JOIN b USING (trial)""")
 def mod13(spark, sf):
     t = _trials(spark, sf)
     best = report.best_row(t, [], "val_metric", "max", ["trial", "epoch"])
-    return rounded(t.join(F.broadcast(best.select("trial")), "trial").select("trial", "epoch", "val_metric"), "val_metric")
+    return rounded9(t.join(F.broadcast(best.select("trial")), "trial").select("trial", "epoch", "val_metric"), "val_metric")
 
 
 @query("win8_early_stop", f"""
 WITH t AS ({_TRIALS}), a AS (SELECT *, max(val_metric) OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM t),
 l AS (SELECT *, max(CASE WHEN prev IS NULL OR val_metric > prev THEN epoch END) OVER (PARTITION BY trial ORDER BY epoch) AS last FROM a),
 s AS (SELECT *, coalesce(max((epoch - last >= 10)::INT) OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stop FROM l)
-SELECT trial, max(last) AS best_step, {d6('max(val_metric)')} AS best_value FROM s WHERE stop = 0 GROUP BY trial""")
+SELECT trial, max(last) AS best_step, {d9('max(val_metric)')} AS best_value FROM s WHERE stop = 0 GROUP BY trial""")
 def win8(spark, sf):
-    return rounded(report.early_stop(_trials(spark, sf), ["trial"], "epoch", "val_metric"), "best_value")
+    return rounded9(report.early_stop(_trials(spark, sf), ["trial"], "epoch", "val_metric"), "best_value")
 
 
 def _duck_halving() -> str:
@@ -126,16 +126,16 @@ def _duck_halving() -> str:
         )
         prev = r
     return f"WITH t AS ({_TRIALS}), {', '.join(parts)} " + " UNION ALL ".join(
-        f"SELECT rung, trial, {d6('val_metric')} AS val_metric FROM h{r}" for r in (1, 2, 4, 8))
+        f"SELECT rung, trial, {d9('val_metric')} AS val_metric FROM h{r}" for r in (1, 2, 4, 8))
 
 
 @query("mod12_successive_halving", _duck_halving())
 def mod12(spark, sf):
-    return rounded(report.halving(_trials(spark, sf), "trial", "epoch", "val_metric"), "val_metric")
+    return rounded9(report.halving(_trials(spark, sf), "trial", "epoch", "val_metric"), "val_metric")
 
 
 @query("win9_trapezoid_steps", f"""
-WITH fx AS ({PATHS}) SELECT fs_method, frac, {d6('(frac - coalesce(lag(frac) OVER w, 0)) * (metric + coalesce(lag(metric) OVER w, 0.5)) / 2')} AS piece
+WITH fx AS ({PATHS}) SELECT fs_method, frac, {d9('(frac - coalesce(lag(frac) OVER w, 0)) * (metric + coalesce(lag(metric) OVER w, 0.5)) / 2')} AS piece
 FROM fx WINDOW w AS (PARTITION BY fs_method ORDER BY frac)""")
 def win9(spark, sf):
     from pyspark.sql import Window
@@ -143,7 +143,7 @@ def win9(spark, sf):
     w = Window.partitionBy("fs_method").orderBy("frac")
     piece = (F.col("frac") - F.coalesce(F.lag("frac").over(w), F.lit(0.0))) * (
         F.col("metric") + F.coalesce(F.lag("metric").over(w), F.lit(0.5))) / 2
-    return fx_paths(spark, sf).select("fs_method", "frac", r6(piece).alias("piece"))
+    return fx_paths(spark, sf).select("fs_method", "frac", r9(piece).alias("piece"))
 
 
 _CURVE = "SELECT p_brand, p_size AS k, 1.0 / p_size + min(p_partkey) / 1e9 AS inertia FROM part WHERE p_size >= 5 GROUP BY p_brand, p_size"
@@ -163,22 +163,22 @@ def win10(spark, sf):
 # --- selection by score ---------------------------------------------------------------------
 
 
-@query("top1_top5_per_model", _ORDERED + f"SELECT llm_model, concept, {d6('score')} AS score FROM o WHERE pos <= 5")
+@query("top1_top5_per_model", _ORDERED + f"SELECT llm_model, concept, {d9('score')} AS score FROM o WHERE pos <= 5")
 def top1(spark, sf):
-    return rounded(sel.by_topk(_s(spark, sf), "concept", 5, ["llm_model"]).drop("pos"), "score")
+    return rounded9(sel.by_topk(_s(spark, sf), "concept", 5, ["llm_model"]).drop("pos"), "score")
 
 
-@query("top2_top_ratio_per_model", _ORDERED + f"SELECT llm_model, concept, {d6('score')} AS score FROM o WHERE pos <= floor(0.3::DOUBLE * n)")
+@query("top2_top_ratio_per_model", _ORDERED + f"SELECT llm_model, concept, {d9('score')} AS score FROM o WHERE pos <= floor(0.3::DOUBLE * n)")
 def top2(spark, sf):
-    return rounded(sel.by_ratio(_s(spark, sf), "concept", 0.3, ["llm_model"]).drop("pos"), "score")
+    return rounded9(sel.by_ratio(_s(spark, sf), "concept", 0.3, ["llm_model"]).drop("pos"), "score")
 
 
 @query("top3_top_percentile", f"""
 WITH f AS (SELECT concept, avg(score) AS score FROM ({SCORES}) GROUP BY concept), c AS (SELECT *, count(*) OVER () AS n, (SELECT quantile_cont(score, 0.7) FROM f) AS cut FROM f)
-SELECT concept, {d6('score')} AS score FROM c WHERE score > cut""")
+SELECT concept, {d9('score')} AS score FROM c WHERE score > cut""")
 def top3(spark, sf):
     mean = _s(spark, sf).groupBy("concept").agg(F.avg("score").alias("score"))
-    return rounded(sel.top_percentile(mean, "concept", 30), "score")
+    return rounded9(sel.top_percentile(mean, "concept", 30), "score")
 
 
 @query("top4_importance_order", f"""
@@ -215,10 +215,10 @@ def _reg(spark, sf):
 
 
 @query("top7_nearest_size", f"""
-SELECT datapred, step, n_selected, {d6('auroc')} AS auroc FROM ({_REG}) WHERE n_selected > 0
+SELECT datapred, step, n_selected, {d9('auroc')} AS auroc FROM ({_REG}) WHERE n_selected > 0
 QUALIFY row_number() OVER (PARTITION BY datapred ORDER BY abs(n_selected - 3), step) = 1""")
 def top7(spark, sf):
-    return rounded(sel.nearest_size(_reg(spark, sf), 3, ["datapred"]), "auroc")
+    return rounded9(sel.nearest_size(_reg(spark, sf), 3, ["datapred"]), "auroc")
 
 
 @query("fil7_nonempty_selections", f"SELECT datapred, step, n_selected FROM ({_REG}) WHERE n_selected > 0")
@@ -244,9 +244,9 @@ def sel18(spark, sf):
     return sel.nearest_size(path, "target", ["datapred"]).select("datapred", "step", "n_selected")
 
 
-@query("top8_sorted_results", f"WITH fx AS ({PATHS}) SELECT fs_method, frac, {d6('metric')} AS metric FROM fx ORDER BY fs_method, frac")
+@query("top8_sorted_results", f"WITH fx AS ({PATHS}) SELECT fs_method, frac, {d9('metric')} AS metric FROM fx ORDER BY fs_method, frac")
 def top8(spark, sf):
-    return rounded(fx_paths(spark, sf), "metric").orderBy("fs_method", "frac")
+    return rounded9(fx_paths(spark, sf), "metric").orderBy("fs_method", "frac")
 
 
 @query("top9_buffered_candidates", _ORDERED + f""", chosen AS (SELECT llm_model, concept FROM o WHERE pos <= 3),
@@ -273,9 +273,9 @@ def sel2(spark, sf):
     return sel.select_features(df, names, "p_size", "all", feature_list=[n for n in names if n.startswith("red")] + ["x"]).select("feature")
 
 
-@query("sel3_score_threshold", f"WITH fx AS ({SCORES}) SELECT llm_model, concept FROM fx WHERE score >= 0.7")
+@query("sel3_score_threshold", f"WITH fx AS ({SCORES}) SELECT llm_model, concept FROM fx WHERE score >= 0.475003")
 def sel3(spark, sf):
-    return sel.select_by_score(_s(spark, sf), threshold=0.7).select("llm_model", "concept")
+    return sel.select_by_score(_s(spark, sf), threshold=0.475003).select("llm_model", "concept")
 
 
 @query("sel4_score_ratio", _ORDERED + "SELECT llm_model, concept FROM o WHERE pos <= floor(0.5::DOUBLE * n)")
@@ -333,7 +333,7 @@ def sel6(spark, sf):
 
 @query("set5_missing_appended", f"""
 WITH cons AS (SELECT DISTINCT p_name AS concept FROM part),
-f AS (SELECT p_brand, p_name AS concept, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) - 1 AS pos FROM part GROUP BY ALL),
+f AS (SELECT p_brand, p_name AS concept, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) - 1 AS pos FROM part GROUP BY p_brand, p_name),
 n AS (SELECT p_brand, count(*) AS k FROM f GROUP BY p_brand)
 SELECT p_brand, concept, pos::INT AS pos FROM (
   SELECT * FROM f UNION ALL SELECT p_brand, concept, k + row_number() OVER (PARTITION BY p_brand ORDER BY {duck_hash(1, 'concept')}, concept) - 1
@@ -368,7 +368,7 @@ v AS (SELECT llm_model, concept AS k, score AS x, y FROM fx JOIN m USING (concep
 def agg16(spark, sf):
     other = table(spark, sf, "part").groupBy(F.col("p_name").alias("concept")).agg(F.count(F.lit(1)).alias("y"))
     pairs = _s(spark, sf).join(other, "concept")
-    return rounded(rk.kendall_tau(pairs, "score", "y", ["llm_model"]).drop("n"), "tau")
+    return rounded9(rk.kendall_tau(pairs, "score", "y", ["llm_model"]).drop("n"), "tau")
 
 
 @query("jon9_pairwise_concordance", """
@@ -381,16 +381,16 @@ SELECT flag, n.n::BIGINT AS n, round(s.s / sqrt((n.n * (n.n - 1) / 2 - tx.t) * (
 FROM s JOIN n USING (flag) JOIN tx USING (flag) JOIN ty USING (flag)""")
 def jon9(spark, sf):
     df = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "flag")
-    return rounded(rk.kendall_tau(df, "l_quantity", "l_discount", ["flag"]), "tau")
+    return rounded9(rk.kendall_tau(df, "l_quantity", "l_discount", ["flag"]), "tau")
 
 
 @query("jon8_scores_expanded_to_features", f"""
 WITH fx AS ({SCORES}), f AS (SELECT p_name || '_' || p_type AS feature, avg(p_size) AS score FROM part GROUP BY 1)
-SELECT llm_model, feature, {d6('fx.score')} AS concept_score, {d6('f.score')} AS feature_score FROM f JOIN fx ON split_part(feature, '_', 1) = concept""")
+SELECT llm_model, feature, {d9('fx.score')} AS concept_score, {d9('f.score')} AS feature_score FROM f JOIN fx ON split_part(feature, '_', 1) = concept""")
 def jon8(spark, sf):
     feats = table(spark, sf, "part").groupBy(F.concat_ws("_", "p_name", "p_type").alias("feature")).agg(F.avg("p_size").alias("score"))
     out = rk.expand_to_features(_s(spark, sf), feats, ["llm_model"])
-    return rounded(out, "concept_score", "feature_score")
+    return rounded9(out, "concept_score", "feature_score")
 
 
 _SAMPLES = "SELECT p_brand, p_size % 5 AS sample_id, p_name AS concept, (row_number() OVER (PARTITION BY p_brand, p_size % 5 ORDER BY min(p_partkey)) - 1) AS pos FROM part GROUP BY p_brand, p_size % 5, p_name"
@@ -402,25 +402,25 @@ k AS (SELECT p_brand, sample_id FROM s GROUP BY ALL),
 r AS (SELECT k.p_brand, c.concept, coalesce(s.pos + 1, n.n + 1) AS rk FROM k CROSS JOIN c CROSS JOIN n
       LEFT JOIN s ON s.p_brand = k.p_brand AND s.sample_id = k.sample_id AND s.concept = c.concept),
 m AS (SELECT p_brand, concept, avg(rk) AS mean_rank FROM r GROUP BY ALL)
-SELECT p_brand, concept, {d6('mean_rank')} AS mean_rank, (row_number() OVER (PARTITION BY p_brand ORDER BY mean_rank, concept) - 1)::INT AS pos FROM m""")
+SELECT p_brand, concept, {d9('mean_rank')} AS mean_rank, (row_number() OVER (PARTITION BY p_brand ORDER BY mean_rank, concept) - 1)::INT AS pos FROM m""")
 def agg17(spark, sf):
     first = table(spark, sf, "part").select(
         "p_brand", (F.col("p_size") % 5).alias("sample_id"), F.col("p_name").alias("concept"), F.col("p_partkey").alias("pos")
     )
     samples = sel.dedupe_in_order(first, ["p_brand", "sample_id"])
-    return rounded(rk.borda(samples, ["p_brand"], "sample_id", _concept_list(spark, sf)), "mean_rank")
+    return rounded9(rk.borda(samples, ["p_brand"], "sample_id", _concept_list(spark, sf)), "mean_rank")
 
 
 @query("agg18_feature_to_concept", f"""
-SELECT p_brand, p_name AS concept, {d6('sum(s)')} AS score FROM (SELECT p_brand, p_name, p_type, avg(p_size) AS s FROM part GROUP BY ALL) GROUP BY p_brand, p_name""")
+SELECT p_brand, p_name AS concept, {d9('sum(s)')} AS score FROM (SELECT p_brand, p_name, p_type, avg(p_size) AS s FROM part GROUP BY ALL) GROUP BY p_brand, p_name""")
 def agg18(spark, sf):
     feats = table(spark, sf, "part").groupBy("p_brand", F.concat_ws("_", "p_name", "p_type").alias("feature")).agg(F.avg("p_size").alias("score"))
-    return rounded(rk.to_concept(feats, ["p_brand"]), "score")
+    return rounded9(rk.to_concept(feats, ["p_brand"]), "score")
 
 
-@query("agg20_mean_over_seeds", f"SELECT p_name AS feature, {d6('avg(s)')} AS score FROM (SELECT p_name, p_size % 5 AS seed, max(p_retailprice) AS s FROM part GROUP BY ALL) GROUP BY p_name")
+@query("agg20_mean_over_seeds", f"SELECT p_name AS feature, {d9('avg(s)')} AS score FROM (SELECT p_name, p_size % 5 AS seed, max(p_retailprice) AS s FROM part GROUP BY ALL) GROUP BY p_name")
 def agg20(spark, sf):
     from sieveline.operators.importance import mean_over_seeds
 
     per_seed = table(spark, sf, "part").groupBy(F.col("p_name").alias("feature"), (F.col("p_size") % 5).alias("seed")).agg(F.max("p_retailprice").alias("score"))
-    return rounded(mean_over_seeds(per_seed), "score")
+    return rounded9(mean_over_seeds(per_seed), "score")

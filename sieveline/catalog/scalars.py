@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.catalog import query, r6, rounded, table
-from sieveline.catalog.fixtures import COMPLETIONS, SCORES, d6, fx_completions, fx_scores
+from sieveline.catalog import query, r6, rounded9, table
+from sieveline.catalog.fixtures import COMPLETIONS, SCORES, d6, d9, fx_completions, fx_scores
 from sieveline.functions import scalars as sc
 from sieveline.functions import text as tx
 from sieveline.operators.ranks import lcs_length, similarity
@@ -169,12 +169,12 @@ def str12(spark, sf):
     return df.select("p_size", sc.variant_name("d", "c", "e", "x", "lo", "hi").alias("variant"))
 
 
-@query("arr2_map_and_rows", f"WITH fx AS ({SCORES}) SELECT llm_model, concept, {d6('score')} AS score FROM fx")
+@query("arr2_map_and_rows", f"WITH fx AS ({SCORES}) SELECT llm_model, concept, {d9('score')} AS score FROM fx")
 def arr2(spark, sf):
     as_map = fx_scores(spark, sf).groupBy("llm_model").agg(
         F.map_from_entries(F.collect_list(F.struct("concept", "score"))).alias("m")  # one entry per concept
     )
     rows = as_map.select("llm_model", F.explode(F.map_entries("m")).alias("e"))
-    return rounded(rows.select("llm_model", F.col("e.key").alias("concept"), F.col("e.value").alias("score")), "score")
+    return rounded9(rows.select("llm_model", F.col("e.key").alias("concept"), F.col("e.value").alias("score")), "score")
 
 

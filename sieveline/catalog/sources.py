@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.catalog import query, rounded, table
+from sieveline.catalog import query, rounded9, table
 from sieveline.catalog.fixtures import (
-    BINS, COMPLETIONS, PATHS, SCORES, d6, duck_hash, fx_bins, fx_completions, fx_paths, fx_scores,
+    BINS, COMPLETIONS, PATHS, SCORES, d9, duck_hash, fx_bins, fx_completions, fx_paths, fx_scores,
 )
 from sieveline.operators.report import missing_keys
 from sieveline.operators.select import by_ratio
@@ -179,12 +179,12 @@ def _saved_scores(spark, sf):
 
 
 @query("src12_saved_scores", f"""
-WITH fx AS ({SCORES}) SELECT concept, {d6('score * 2')} AS score FROM fx WHERE llm_model = 'Brand#2'""")
+WITH fx AS ({SCORES}) SELECT concept, {d9('score * 2')} AS score FROM fx WHERE llm_model = 'Brand#2'""")
 def src12(spark, sf):
     path = scratch_path(spark, "src12")
     sinks.write_scores(_saved_scores(spark, sf), path)
     got = readers.read_scores(spark, path, "parts/price", "Brand#2", "greedy", "context")
-    return rounded(got.select("concept", "score"), "score")
+    return rounded9(got.select("concept", "score"), "score")
 
 
 @query("snk1_written_scores", f"""
@@ -237,9 +237,9 @@ WITH fx AS ({PATHS}), old AS (SELECT * FROM fx WHERE frac <= 0.6), new AS (SELEC
 
 
 @query("snk3_append_distinct", _OLD_NEW + f"""
-SELECT fs_method, frac, {d6('metric')} AS metric FROM (SELECT * FROM old UNION SELECT * FROM new)""")
+SELECT fs_method, frac, {d9('metric')} AS metric FROM (SELECT * FROM old UNION SELECT * FROM new)""")
 def snk3(spark, sf):
-    fx = rounded(fx_paths(spark, sf), "metric")
+    fx = rounded9(fx_paths(spark, sf), "metric")
     merged = sinks.append_distinct(fx.filter("frac <= 0.6"), fx.filter("frac >= 0.4"))
     return spark.read.parquet(sinks.rewrite(merged, "snk3", ["fs_method", "frac"]))
 
@@ -250,12 +250,12 @@ def set4(spark, sf):
 
 
 @query("snk4_upsert_last_wins", _OLD_NEW + f"""
-SELECT fs_method, frac, {d6('metric')} AS metric FROM old WHERE frac < 0.4
-UNION ALL SELECT fs_method, frac, {d6('metric + 1')} FROM new""")
+SELECT fs_method, frac, {d9('metric')} AS metric FROM old WHERE frac < 0.4
+UNION ALL SELECT fs_method, frac, {d9('metric + 1')} FROM new""")
 def snk4(spark, sf):
     fx = fx_paths(spark, sf)
     newer = fx.filter("frac >= 0.4").withColumn("metric", F.col("metric") + 1)
-    return rounded(sinks.upsert([fx.filter("frac <= 0.6"), newer], ["fs_method", "frac"]), "metric")
+    return rounded9(sinks.upsert([fx.filter("frac <= 0.6"), newer], ["fs_method", "frac"]), "metric")
 
 
 @query("snk5_rejected_completions", f"""

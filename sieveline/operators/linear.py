@@ -13,7 +13,7 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -24,6 +24,13 @@ def features_array(cols: list[str]):
     return F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
 
 
+def _batch_arrays(batch, d: int):
+    """(x, y, w, fold) of an Arrow batch without copying row by row."""
+    flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+    col = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype=float).reshape(batch.num_rows, d), col("y"), col("w"), col("f")
+
+
 def sum_blocks(
     df: DataFrame,
     cols: list[str],
@@ -44,19 +51,24 @@ def sum_blocks(
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("f"),
     )
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    d = len(cols)
+
+    def partial(batches):
         acc: dict[int, np.ndarray] = {}
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            x = np.stack(b["x"].to_numpy()).astype(float)
-            for key, m in kernel(x, b["y"].to_numpy(), b["w"].to_numpy(), b["f"].to_numpy()):
+            x, y, w, f = _batch_arrays(b, d)
+            for key, m in kernel(x, y, w, f):
                 acc[key] = acc[key] + m if key in acc else np.array(m, dtype=float)
         if acc:
-            yield pd.DataFrame({"key": list(acc), "v": [m.ravel() for m in acc.values()]})
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(list(acc), pa.int32()),
+                "v": pa.array([m.ravel() for m in acc.values()], pa.list_(pa.float64())),
+            })
 
     sums = (
-        packed.mapInPandas(partial, "key int, v array<double>")
+        packed.mapInArrow(partial, "key int, v array<double>")
         .groupBy("key")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
         .collect()  # one row per model, feature-sized
@@ -117,14 +129,15 @@ def logistic_fit_many(
     specs: list[LogisticSpec],
     fold: str | None = None,
     balanced: bool = True,
-    iterations: int = 12,
+    iterations: int = 25,
     tol: float = 1e-6,
+    start: list[np.ndarray] | None = None,
 ) -> list[tuple[float, np.ndarray]]:
     """L2 logistic regressions, all fitted together by Newton steps.
 
     Minimises ``sum w_i logloss_i + |beta|^2 / (2C)`` with a free intercept, for
     every spec at once: a step is one pass over the rows whatever the number of
-    specs.  Steps are halved for a spec whose objective went up.
+    specs.  ``start`` holds earlier coefficients (intercept first).  Steps are halved for a spec whose objective went up.
     """
     counts = _label_counts(df, label, fold)
     class_w = []
@@ -134,7 +147,7 @@ def logistic_fit_many(
             if s.hold_out is None or f != s.hold_out:
                 kept[y] = kept.get(y, 0) + n
         class_w.append(balanced_class_weights(kept) if balanced else dict.fromkeys(kept, 1.0))
-    betas = [np.zeros(len(s.subset) + 1) for s in specs]
+    betas = [np.zeros(len(s.subset) + 1) for s in specs] if start is None else [b.copy() for b in start]
     steps: list[np.ndarray | None] = [None] * len(specs)
     best = [np.inf] * len(specs)
     done = [False] * len(specs)
@@ -197,22 +210,24 @@ def margins_long(df: DataFrame, cols: list[str], label: str, models: list, specs
     coef = np.stack([e[3] for e in entries])
     bias = np.array([e[2] for e in entries])
 
+    d = len(cols)
+
     def score(batches):
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            m = np.stack(b["x"].to_numpy()).astype(float) @ coef.T + bias
-            keep = (holds[None, :] == -1) | (holds[None, :] == b["f"].to_numpy()[:, None])
-            r, c = np.nonzero(keep)
-            yield pd.DataFrame({
-                "model": np.asarray(ids, dtype="int32")[c], "y": b["y"].to_numpy()[r], "margin": m[r, c],
+            rows, y, _, f = _batch_arrays(b, d)
+            m = rows @ coef.T + bias
+            r, c = np.nonzero((holds[None, :] == -1) | (holds[None, :] == f[:, None]))
+            yield pa.RecordBatch.from_pydict({
+                "model": pa.array(np.asarray(ids, dtype="int32")[c]), "y": pa.array(y[r]), "margin": pa.array(m[r, c]),
             })
 
     packed = df.select(
-        x.alias("x"), F.col(label).cast("double").alias("y"),
+        x.alias("x"), F.col(label).cast("double").alias("y"), F.lit(1.0).alias("w"),
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("f"),
     )
-    return packed.mapInPandas(score, "model int, y double, margin double")
+    return packed.mapInArrow(score, "model int, y double, margin double")
 
 
 def cv_scores(df, cols, label, models, specs, fold, task) -> np.ndarray:
@@ -312,7 +327,7 @@ def rfe_order(df, cols, label, task, penalty=1.0) -> list[str]:
     """
     left = list(range(len(cols)))
     dropped: list[int] = []
-    total = None
+    total, start = None, None
     if task == "regression":
         from sieveline.operators.stats import gram
 
@@ -321,8 +336,11 @@ def rfe_order(df, cols, label, task, penalty=1.0) -> list[str]:
         if total is not None:
             _, w = ridge_solve(total, penalty, left)
         else:
-            (_, w), = logistic_fit_many(df, cols, label, [LogisticSpec(left, penalty)])
-        dropped.append(left.pop(int(np.argmin(w**2))))
+            (b, w), = logistic_fit_many(df, cols, label, [LogisticSpec(left, penalty)], start=start)
+        worst = int(np.argmin(w**2))
+        dropped.append(left.pop(worst))
+        if total is None:
+            start = [np.concatenate([[b], np.delete(w, worst)])]
     return [cols[j] for j in [*left, *dropped[::-1]]]
 
 

@@ -22,14 +22,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.functions.scalars import HASH_BITS, stable_hash
-from sieveline.runtime import broadcast_if_small, shuffle_width, small_rows
+from sieveline.functions.scalars import HASH_BITS
+from sieveline.runtime import shuffle_width, small_rows, small_table
 
 _SERIES_LIMIT = 20_000
+_STEP = 64  # edges compared per level when a value is placed in its bucket
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(8, min(512, 2 * shuffle_width(df.sparkSession)))
+    """Buckets per series: twice the shuffle width, so windows use the whole cluster."""
+    return max(8, min(4096, 2 * shuffle_width(df.sparkSession)))
+
+
+def _bucket_of(value: str, n_edges: int) -> Column:
+    """Number of edges below the value: first among every 64th edge, then among 64."""
+    below = lambda e: e < F.col(value)
+    if n_edges <= _STEP:
+        return F.size(F.filter("_edges", below))
+    coarse = F.size(F.filter("_coarse", below))
+    fine = F.size(F.filter(F.slice("_edges", coarse * _STEP + 1, _STEP), below))
+    return coarse * _STEP + fine
 
 
 def cumulative(
@@ -52,15 +64,17 @@ def cumulative(
     b = buckets or bucket_count(df)
 
     probs = [i / b for i in range(1, b)]
-    edges = broadcast_if_small(
-        base.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_edges")),
-        _SERIES_LIMIT,
-    )
+    edges = base.groupBy(*keys).agg(F.percentile_approx(value, probs, 10 * b).alias("_edges"))
+    local_edges = small_table(edges, _SERIES_LIMIT)
+    edges = edges if local_edges is None else local_edges
+    if len(probs) > _STEP:
+        every = F.transform(
+            F.sequence(F.lit(_STEP), F.lit(len(probs)), F.lit(_STEP)), lambda i: F.element_at("_edges", i)
+        )
+        edges = edges.withColumn("_coarse", every)
     per_value = base.groupBy(*keys, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()])
     tagged = (
-        per_value.join(edges, keys)
-        .withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(value))))
-        .drop("_edges")
+        per_value.join(edges, keys).withColumn("_b", _bucket_of(value, len(probs))).drop("_edges", "_coarse")
     )
 
     over_buckets = Window.partitionBy(*keys).orderBy("_b")
@@ -80,8 +94,9 @@ def cumulative(
     local = tagged.select(
         "*", *[F.coalesce(F.sum(k).over(within), F.lit(0)).alias(f"_in_{k}") for k in sums]
     )
-    # at most series x buckets rows, a table of the size of the driver-side statistics
-    out = local.join(F.broadcast(offsets), [*keys, "_b"])
+    # series x buckets rows: broadcast only when the series were found to be few
+    few = local_edges is not None and len(probs) <= 512
+    out = local.join(F.broadcast(offsets) if few else offsets, [*keys, "_b"])
     return out.select(
         *by,
         value,
@@ -249,11 +264,28 @@ def _rows_in(base: DataFrame, by: list[str], groups, shift: int) -> DataFrame:
     return tagged.join(F.broadcast(wanted), cond, "left_semi")
 
 
-def cut_index(by: list[str], cuts: dict, key: Column, tie: str) -> Column:
-    """Number of cuts at or before a row (0 = before the first), as an expression.
+_INLINE_STRATA = 64
+
+
+def with_cut_index(df: DataFrame, by: list[str], cuts: dict, key: str, tie: str, out: str) -> DataFrame:
+    """Add ``out`` = the number of cuts at or before the row (0 = before the first).
 
-    ``key`` is used several times: give a materialised column, not a hash.
+    A projection with literal bounds for a few strata, a join with the table of
+    bounds for many.
     """
+    if len(cuts) <= _INLINE_STRATA:
+        return df.withColumn(out, _inline_index(by, cuts, F.col(key), tie))
+    bound = T.StructType([T.StructField("k", T.LongType()), T.StructField("t", df.schema[tie].dataType)])
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("_bounds", T.ArrayType(bound))])
+    rows = [(*s, [b for b in bounds if b is not None]) for s, bounds in cuts.items()]
+    table = df.sparkSession.createDataFrame(rows, schema)
+    small = len(rows) <= _SERIES_LIMIT
+    after = lambda b: (F.col(key) > b["k"]) | ((F.col(key) == b["k"]) & (F.col(tie) >= b["t"]))
+    joined = df.join(F.broadcast(table) if small else table, by, "left")
+    return joined.withColumn(out, F.coalesce(F.size(F.filter("_bounds", after)), F.lit(0))).drop("_bounds")
+
+
+def _inline_index(by: list[str], cuts: dict, key: Column, tie: str) -> Column:
     out = F.lit(0)
     for s, bounds in cuts.items():
         passed = F.lit(0)
@@ -271,11 +303,11 @@ def row_positions(df: DataFrame, key: Column, tie: str, out: str) -> DataFrame:
     The hash's top bits split the order into buckets; windows run per bucket and
     are shifted by the bucket sizes.
     """
-    bits = max(3, bucket_count(df).bit_length() - 1)
+    bits = min(16, max(3, bucket_count(df).bit_length()))
     tagged = df.withColumn("_k", key).withColumn("_b", F.shiftright(F.col("_k"), HASH_BITS - bits))
     counts = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))  # <= 1024 rows
+    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))  # at most 65,536 rows
     rn = F.row_number().over(Window.partitionBy("_b").orderBy("_k", tie)) - 1
     return (
         tagged.withColumn("_rn", rn)
@@ -286,6 +318,6 @@ def row_positions(df: DataFrame, key: Column, tie: str, out: str) -> DataFrame:
 
 
 __all__ = [
-    "bin_of", "cumulative", "cut_index", "equal_depth_edges", "exact_cuts", "mid_ranks",
-    "quantiles", "row_positions", "stable_hash",
+    "bin_of", "cumulative", "equal_depth_edges", "exact_cuts", "mid_ranks", "quantiles",
+    "row_positions", "with_cut_index",
 ]

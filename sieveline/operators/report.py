@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.scalars import nan_to_null
 from sieveline.operators.ordering import quantiles
+from sieveline.runtime import broadcast_if_small
 
 
 def experiment_grid(spark, models, methods, ratios, seeds) -> DataFrame:
@@ -54,8 +55,8 @@ def pct_change(areas: DataFrame, by: list[str], method: str, baseline: str, high
     """Percent improvement of every method's area over the baseline method's."""
     base = areas.filter(F.col(method) == baseline).select(*by, F.col("area").alias("_base"))
     diff = F.col("area") - F.col("_base") if higher_is_better else F.col("_base") - F.col("area")
-    joined = areas.join(F.broadcast(base), by) if by else areas.withColumn("_k", F.lit(0)).join(
-        F.broadcast(base.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    joined = areas.join(base, by) if by else areas.withColumn("_k", F.lit(0)).join(
+        base.withColumn("_k", F.lit(0)), "_k").drop("_k")
     return joined.select(*by, method, (diff / F.col("_base") * 100).alias("pct_change"))
 
 
@@ -75,7 +76,7 @@ def box_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
     )
     fences = q.withColumn("_iqr", F.col("q2") - F.col("q0"))
-    inside = df.join(F.broadcast(fences), by).filter(
+    inside = df.join(broadcast_if_small(fences), by).filter(
         (F.col(value) >= F.col("q0") - 1.5 * F.col("_iqr")) & (F.col(value) <= F.col("q2") + 1.5 * F.col("_iqr"))
     )
     ends = inside.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))

@@ -42,6 +42,9 @@ def by_threshold(scores: DataFrame, threshold: float, score: str = "score") -> D
 
 def by_topk(scores: DataFrame, name: str, k: int, by: list[str] = (), seed: int = 1) -> DataFrame:
     """The k best per group; Spark prunes each partition to k rows before the shuffle."""
+    if not by:
+        best = scores.orderBy(F.desc_nulls_last("score"), stable_hash(seed, name), name).limit(k)
+        return ordered(best, name, (), seed)
     return ordered(scores, name, by, seed).filter(F.col("pos") <= k)
 
 

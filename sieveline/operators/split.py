@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalars import stable_hash
-from sieveline.operators.ordering import cut_index, exact_cuts
+from sieveline.operators.ordering import exact_cuts, with_cut_index
 from sieveline.runtime import small_rows
 
 TEST_SEED = 42  # fixed value: the test set is the same for every run seed
@@ -39,14 +39,15 @@ def split(
     by = [label] if label else []
     keyed = df.withColumns({"_ht": stable_hash(TEST_SEED, row_id), "_hv": stable_hash(f"val{seed}", row_id)})
     cuts = exact_cuts(keyed, by, F.col("_ht"), row_id, lambda n, _: [_first_share(n, test_share)])
-    in_test = cut_index(by, cuts, F.col("_ht"), row_id) == 0
+    marked = with_cut_index(keyed, by, cuts, "_ht", row_id, "_rest")
     if val_share is None:
-        return keyed.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("_ht", "_hv")
-    rest = F.when(~in_test, F.col("_hv"))
-    cuts = exact_cuts(keyed, by, rest, row_id, lambda n, _: [_first_share(n, val_share)])
-    in_val = cut_index(by, cuts, F.col("_hv"), row_id) == 0
-    name = F.when(in_test, "test").when(in_val, "val").otherwise("train")
-    return keyed.withColumn("split", name).drop("_ht", "_hv")
+        name = F.when(F.col("_rest") == 0, "test").otherwise("train")
+        return marked.withColumn("split", name).drop("_ht", "_hv", "_rest")
+    left = F.when(F.col("_rest") > 0, F.col("_hv"))
+    cuts = exact_cuts(marked, by, left, row_id, lambda n, _: [_first_share(n, val_share)])
+    marked = with_cut_index(marked, by, cuts, "_hv", row_id, "_train")
+    name = F.when(F.col("_rest") == 0, "test").when(F.col("_train") == 0, "val").otherwise("train")
+    return marked.withColumn("split", name).drop("_ht", "_hv", "_rest", "_train")
 
 
 def take_split(df: DataFrame, part: str) -> DataFrame:
@@ -64,7 +65,7 @@ def folds(df: DataFrame, row_id: str, k: int = 5, label: str | None = None, seed
     by = [label] if label else []
     keyed = df.withColumn("_h", stable_hash(f"fold{seed}", row_id))
     cuts = exact_cuts(keyed, by, F.col("_h"), row_id, lambda n, _: _fold_starts(n, k))
-    return keyed.withColumn("fold", cut_index(by, cuts, F.col("_h"), row_id)).drop("_h")
+    return with_cut_index(keyed, by, cuts, "_h", row_id, "fold").drop("_h")
 
 
 def block_folds(df: DataFrame, row_id: str, k: int = 5) -> DataFrame:
@@ -72,9 +73,10 @@ def block_folds(df: DataFrame, row_id: str, k: int = 5) -> DataFrame:
     lo, hi = df.agg(F.min(row_id), F.max(row_id)).first()
     if lo is None:
         return df.withColumn("fold", F.lit(0))
-    key = F.col(row_id).cast("bigint") - F.lit(int(lo))
-    cuts = exact_cuts(df, [], key, row_id, lambda n, _: _fold_starts(n, k), bits=max(int(hi - lo).bit_length(), 1))
-    return df.withColumn("fold", cut_index([], cuts, key, row_id))
+    keyed = df.withColumn("_h", F.col(row_id).cast("bigint") - F.lit(int(lo)))
+    bits = max(int(hi - lo).bit_length(), 1)
+    cuts = exact_cuts(keyed, [], F.col("_h"), row_id, lambda n, _: _fold_starts(n, k), bits)
+    return with_cut_index(keyed, [], cuts, "_h", row_id, "fold").drop("_h")
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
@@ -86,8 +88,8 @@ def _keep_quota(df: DataFrame, row_id: str, label: str, seed, quota: dict) -> Da
     keyed = df.withColumn("_h", stable_hash(seed, row_id))
     sizes = {(c,): q for c, q in quota.items()}
     cuts = exact_cuts(keyed, [label], F.col("_h"), row_id, lambda n, s: [sizes.get(s, 0)])
-    kept = keyed.withColumn("_cut", cut_index([label], cuts, F.col("_h"), row_id)).filter(F.col("_cut") == 0)
-    return kept.drop("_h", "_cut")
+    marked = with_cut_index(keyed, [label], cuts, "_h", row_id, "_cut")
+    return marked.filter(F.col("_cut") == 0).drop("_h", "_cut")
 
 
 def balance(df: DataFrame, row_id: str, label: str, seed: int = TEST_SEED) -> DataFrame:

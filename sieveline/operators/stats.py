@@ -78,7 +78,7 @@ def spearman(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     y_ranks = mid_ranks(base.select("_y"), [], "_y").select(
         "_y", (F.col("mid_rank") - (F.col("total_n") + 1) / F.lit(2.0)).alias("_ry")
     )
-    rows = base.join(broadcast_if_small(y_ranks), "_y")
+    rows = base.join(broadcast_if_small(y_ranks, 10_000), "_y")  # beyond that a skew-safe shuffle join
     long = to_long(rows, cols, ["_ry"])
     cum = cumulative(
         long, ["feature"], "value",

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.functions import text as tx
 from sieveline.functions.scalars import variant_name
@@ -103,7 +104,8 @@ def complete(prompts: DataFrame, fn: Callable[[pd.Series], pd.Series], batch_siz
                 part = b.iloc[lo : lo + batch_size]
                 yield part.assign(text=list(fn(part["prompt"])))
 
-    return prompts.mapInPandas(run, prompts.schema.add("text", "string"))
+    schema = T.StructType([*prompts.schema.fields, T.StructField("text", T.StringType())])
+    return prompts.mapInPandas(run, schema)
 
 
 def complete_from_table(prompts: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:

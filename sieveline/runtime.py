@@ -50,16 +50,22 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list:
     return rows
 
 
+def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
+    """``df`` as a local table with a broadcast hint, or None when it has more than ``limit`` rows."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Broadcast ``df`` when a check shows it has at most ``limit`` rows.
 
     Beyond the limit the DataFrame is returned without a hint, so the join
     becomes a shuffle join and stays exact.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    local = small_table(df, limit)
+    return df if local is None else local
 
 
 def shuffle_width(spark: SparkSession) -> int:

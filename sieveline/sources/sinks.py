@@ -12,11 +12,11 @@ MASK_KEYS = ["method", "datapred", "ratio", "seed"]
 
 
 def write_scores(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy(*SCORE_KEYS).parquet(path)
+    df.repartition(*SCORE_KEYS).write.mode("overwrite").partitionBy(*SCORE_KEYS).parquet(path)
 
 
 def write_masks(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy(*MASK_KEYS).parquet(path)
+    df.repartition(*MASK_KEYS).write.mode("overwrite").partitionBy(*MASK_KEYS).parquet(path)
 
 
 def append_distinct(old: DataFrame, new: DataFrame) -> DataFrame:
