@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sieveline.catalog import query, r6, rounded, table
-from sieveline.catalog.fixtures import CUST, CUST_NUM, LINE, LINE_NUM, d6, fx_cust, fx_line
+from sieveline.catalog.fixtures import CUST, CUST_NUM, LINE, LINE_NUM, d6, duck_hash, fx_cust, fx_line
 from sieveline.operators import importance as imp
 from sieveline.operators import linear, stats, trials
 from sieveline.operators import select as sel
@@ -69,6 +69,28 @@ def mod3(spark, sf):
     return rounded(out.withColumn("best", F.col("penalty") == best), "mean", "std")
 
 
+def _ridge_grid_sql() -> str:
+    alphas = ", ".join(f"({float(a)}::DOUBLE)" for a in linear.RIDGE_ALPHA)
+    return f"""
+WITH fx AS ({CUST}), t AS (SELECT n_orders AS a, n_urgent AS b, avg_total AS y, ntile(5) OVER (ORDER BY row_id) - 1 AS fold FROM fx),
+folds AS (SELECT unnest(range(5)) AS f), m AS (SELECT f, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM t, folds WHERE fold <> f GROUP BY f),
+s AS (SELECT f, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sum((a - ma) ** 2) AS aa, sum((b - mb) ** 2) AS bb, sum((a - ma) * (b - mb)) AS ab,
+  sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS byy FROM t, m WHERE fold <> f GROUP BY f),
+w AS (SELECT f, alpha, ma, mb, my, (ay * (bb + alpha) - byy * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS w1,
+  (byy * (aa + alpha) - ay * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS w2 FROM s, (VALUES {alphas}) g(alpha)),
+e AS (SELECT alpha, f, -avg(abs(y - (my + w1 * (a - ma) + w2 * (b - mb)))) AS score FROM t JOIN w ON fold = f GROUP BY alpha, f)
+SELECT alpha AS penalty, round(avg(score), 4) + 0.0 AS mean, round(stddev_pop(score), 4) + 0.0 AS std FROM e GROUP BY alpha"""
+
+
+@query("mod3_ridge_grid_two_features", _ridge_grid_sql())
+def mod3_ridge_two(spark, sf):
+    df = block_folds(fx_cust(spark, sf), "row_id", 5).persist()
+    rows, _, _, _ = linear.grid_search(df, ["n_orders", "n_urgent"], "avg_total", "fold", "regression")
+    df.unpersist()
+    out = _pairs(spark, rows, "penalty double, mean double, std double")
+    return out.select("penalty", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
 @query("mod3_ridge_grid_search")
 def mod3_ridge(spark, sf):
     df, cols = _encoded(spark, sf, label="avg_total")
@@ -157,6 +179,31 @@ def sel10(spark, sf):
     return rounded(sel.select_features(df, cols, "y", "mrmr", topk=len(cols)), "score")
 
 
+def _mrmr_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS v, label FROM fx" for c in CUST_NUM)
+    corr = " UNION ALL ".join(
+        f"SELECT '{a}' AS p, '{b}' AS q, greatest(abs(corr({a}::DOUBLE, {b}::DOUBLE)), 0.001) AS r FROM fx"
+        for a in CUST_NUM for b in CUST_NUM if a != b)
+    picks = []
+    for step in range(1, len(CUST_NUM)):
+        prior = " UNION ALL ".join(f"SELECT feature FROM s{i}" for i in range(step))
+        picks.append(
+            f"s{step} AS (SELECT f.feature, f.f / avg(c.r) AS score, {step} AS pos FROM f JOIN c ON c.p = f.feature "
+            f"WHERE c.q IN ({prior}) AND f.feature NOT IN ({prior}) GROUP BY f.feature, f.f ORDER BY score DESC LIMIT 1)")
+    allp = " UNION ALL ".join(f"SELECT feature, {d6('score')} AS score, pos::INT AS pos FROM s{i}" for i in range(len(CUST_NUM)))
+    return f"""
+WITH fx AS ({CUST}), long AS ({long}), pc AS (SELECT feature, label, count(*) AS nc, avg(v) AS mu, var_pop(v) AS va FROM long GROUP BY ALL),
+ov AS (SELECT feature, count(*) AS n, avg(v) AS m FROM long GROUP BY feature),
+f AS (SELECT feature, sum(nc * (mu - m) ** 2) / (sum(nc * va) / (any_value(n) - 2)) AS f FROM pc JOIN ov USING (feature) GROUP BY feature),
+c AS ({corr}), s0 AS (SELECT feature, f AS score, 0 AS pos FROM f ORDER BY f DESC LIMIT 1), {", ".join(picks)} {allp}"""
+
+
+@query("sel10_mrmr_numeric", _mrmr_sql())
+def sel10_num(spark, sf):
+    out = sel.select_features(fx_cust(spark, sf), CUST_NUM, "label", "mrmr", topk=len(CUST_NUM))
+    return rounded(out, "score")
+
+
 @query("sel10_mrmr_embeddings")
 def sel10_vec(spark, sf):
     df = table(spark, sf, "embeddings")
@@ -242,6 +289,34 @@ def sel16(spark, sf):
 # --- importance ---------------------------------------------------------------------------------------------
 
 
+_PERM = f"""
+WITH fx AS ({CUST}), t AS (SELECT row_id, n_orders AS a, n_urgent AS b, avg_total AS y, label FROM fx),
+own AS (SELECT *, row_number() OVER (ORDER BY {duck_hash('own1', 'row_id')}, row_id) - 1 AS p FROM t),
+don AS (SELECT r, a AS da, b AS db, row_number() OVER (PARTITION BY r ORDER BY {duck_hash('perm1', 'r', 'row_id')}, row_id) - 1 AS p FROM t, range(0, 30) u(r)),
+"""
+
+
+@query("imp1_permutation_importance_fixed_weights", _PERM + """
+sc AS (SELECT r, abs(y - (1000 + 20000 * a - 900 * b)) AS e0, abs(y - (1000 + 20000 * da - 900 * b)) AS ea, abs(y - (1000 + 20000 * a - 900 * db)) AS eb FROM don JOIN own USING (p))
+SELECT 'n_orders' AS feature, round(avg(ea) - avg(e0), 4) + 0.0 AS score FROM sc UNION ALL SELECT 'n_urgent', round(avg(eb) - avg(e0), 4) + 0.0 FROM sc""")
+def imp1_fixed(spark, sf):
+    out = imp.permutation(fx_cust(spark, sf), "row_id", ["n_orders", "n_urgent"], "avg_total", 1000.0, [20000.0, -900.0], "regression", 30)
+    return out.withColumn("score", F.round("score", 4) + 0.0)
+
+
+@query("imp1_permutation_auroc_fixed_weights", _PERM + f"""
+sc AS (SELECT r, label, 3.0 * da - 1.0 * b AS sa, 3.0 * a - 1.0 * db AS sb, 3.0 * a - 1.0 * b AS s0 FROM don JOIN own USING (p)),
+long AS (SELECT r, label, 'n_orders' AS feature, sa AS s FROM sc UNION ALL SELECT r, label, 'n_urgent', sb FROM sc UNION ALL SELECT r, label, 'base', s0 FROM sc),
+rk AS (SELECT r, feature, label, rank() OVER w + (count(*) OVER (PARTITION BY r, feature, s) - 1) / 2.0 AS k FROM long WINDOW w AS (PARTITION BY r, feature ORDER BY s)),
+au AS (SELECT r, feature, (sum(k) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+  / (count(*) FILTER (label = 1)::DOUBLE * count(*) FILTER (label = 0)) AS v FROM rk GROUP BY r, feature),
+av AS (SELECT feature, avg(v) AS v FROM au GROUP BY feature)
+SELECT feature, {d6("(SELECT v FROM av WHERE feature = 'base') - v")} AS score FROM av WHERE feature <> 'base'""")
+def imp1_auc_fixed(spark, sf):
+    out = imp.permutation(fx_cust(spark, sf), "row_id", ["n_orders", "n_urgent"], "label", 0.0, [3.0, -1.0], "classification", 30)
+    return rounded(out, "score")
+
+
 @query("imp1_permutation_importance")
 def imp1(spark, sf):
     df, cols = _encoded(spark, sf, label="avg_total")

@@ -69,7 +69,25 @@ def agg7(spark, sf):
     return rounded(stats.mutual_info_discrete(df, ["l_linestatus", "discount_code", "l_quantity"], "label"), "score")
 
 
-@query("agg8_mutual_info_knn")
+# brute windows and as-of joins; digamma of a count is a harmonic number minus Euler's constant
+_MI_KNN = f"""
+WITH fx AS ({LINE}), long AS ({_LINE_LONG}),
+nb AS (SELECT feature, label, value, count(*) OVER (PARTITION BY feature, label) AS nc,
+  list_sort(list_filter([value - lag(value, 1) OVER w, value - lag(value, 2) OVER w, value - lag(value, 3) OVER w,
+    lead(value, 1) OVER w - value, lead(value, 2) OVER w - value, lead(value, 3) OVER w - value], lambda d: d IS NOT NULL)) AS ds
+  FROM long WINDOW w AS (PARTITION BY feature, label ORDER BY value)),
+pt AS (SELECT feature, value, nc, least(3, nc - 1) AS k, abs(ds[least(3, nc - 1)]) AS r FROM nb WHERE nc > 1),
+cum AS (SELECT feature, value AS v, sum(count(*)) OVER (PARTITION BY feature ORDER BY value) AS upto, count(*) AS here FROM pt GROUP BY feature, value),
+q AS (SELECT feature, value, nc, k, r, value + r AS hi, value - r AS lo FROM pt),
+c AS (SELECT q.*, coalesce(b.upto, 0) AS below FROM q ASOF LEFT JOIN cum b ON q.feature = b.feature AND q.hi > b.v),
+e AS (SELECT c.*, coalesce(u.upto, 0) AS outside FROM c ASOF LEFT JOIN cum u ON c.feature = u.feature AND c.lo >= u.v),
+m AS (SELECT e.feature, nc, k, CASE WHEN r = 0 THEN cum.here ELSE below - outside END AS m FROM e JOIN cum ON cum.feature = e.feature AND cum.v = e.value),
+h AS (SELECT i + 1 AS n, sum(1.0 / greatest(i, 1) * (i > 0)::INT) OVER (ORDER BY i) - 0.5772156649015329 AS psi FROM range(0, 1 + (SELECT count(*) FROM fx)) t(i))
+SELECT feature, {d6('greatest(0, any_value(hn.psi) + avg(hk.psi) - avg(hc.psi) - avg(hm.psi))')} AS score
+FROM m JOIN h hk ON hk.n = m.k JOIN h hc ON hc.n = m.nc JOIN h hm ON hm.n = m.m JOIN h hn ON hn.n = (SELECT count(*) FROM fx) GROUP BY feature"""
+
+
+@query("agg8_mutual_info_knn", _MI_KNN)
 def agg8(spark, sf):
     return rounded(stats.mutual_info_knn(fx_line(spark, sf), LINE_NUM, "label"), "score")
 

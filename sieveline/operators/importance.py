@@ -47,11 +47,9 @@ def permutation(
     base = df.select(F.col(row_id).alias("_id"), F.col(label).cast("double").alias("_y"), x.alias("_x"),
                      dot(cols, weights, intercept).alias("_m"))
     base = cut_lineage(row_positions(base, stable_hash(f"own{seed}", "_id"), "_id", "_p"))
-    donors = None
-    for r in range(n_repeats):
-        part = row_positions(base.select("_id", "_x"), stable_hash(f"perm{seed}-{r}", "_id"), "_id", "_p")
-        part = part.select(F.lit(r).alias("_r"), "_p", F.col("_x").alias("_d"))
-        donors = part if donors is None else donors.unionByName(part)
+    repeats = base.select("_id", "_x", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("_r"))
+    donors = row_positions(repeats, stable_hash(f"perm{seed}", "_r", "_id"), "_id", "_p", by=["_r"])
+    donors = donors.select("_r", "_p", F.col("_x").alias("_d"))
     mixed = donors.join(base.select("_p", "_y", "_x", "_m"), "_p")
     w = F.array(*[F.lit(float(v)) for v in weights])
     deltas = F.transform(F.arrays_zip(F.col("_d"), F.col("_x"), w.alias("w")), lambda z: z["w"] * (z["_d"] - z["_x"]))

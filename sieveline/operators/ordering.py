@@ -297,21 +297,23 @@ def _inline_index(by: list[str], cuts: dict, key: Column, tie: str) -> Column:
     return out
 
 
-def row_positions(df: DataFrame, key: Column, tie: str, out: str) -> DataFrame:
-    """0-based position of every row in the order (``key`` hash, ``tie``), exact.
+def row_positions(df: DataFrame, key: Column, tie: str, out: str, by: list[str] = ()) -> DataFrame:
+    """0-based position of every row in the order (``key`` hash, ``tie``) of its group, exact.
 
     The hash's top bits split the order into buckets; windows run per bucket and
     are shifted by the bucket sizes.
     """
+    by = list(by)
     bits = min(16, max(3, bucket_count(df).bit_length()))
     tagged = df.withColumn("_k", key).withColumn("_b", F.shiftright(F.col("_k"), HASH_BITS - bits))
-    counts = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))  # at most 65,536 rows
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy("_k", tie)) - 1
+    counts = tagged.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    # at most 65,536 bucket sizes per group
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    rn = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_k", tie)) - 1
     return (
         tagged.withColumn("_rn", rn)
-        .join(F.broadcast(offsets), "_b")
+        .join(offsets if by else F.broadcast(offsets), [*by, "_b"])
         .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
         .drop("_k", "_b", "_rn", "_off")
     )
