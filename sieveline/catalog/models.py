@@ -51,6 +51,44 @@ def mod2(spark, sf):
     return _pairs(spark, rows, "feature string, coef double").withColumn("coef", F.round("coef", 4) + 0.0)
 
 
+_LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _line_grid_sql() -> str:
+    a, b, c = _LINE_FEATURES
+    alphas = ", ".join(f"({float(x)}::DOUBLE)" for x in linear.RIDGE_ALPHA)
+    pairs = {"aa": (a, a), "ab": (a, b), "ac": (a, c), "bb": (b, b), "bc": (b, c), "cc": (c, c)}
+    moments = ", ".join(f"sum(({x} - m_{x}) * ({y} - m_{y})) AS {k}" for k, (x, y) in pairs.items())
+    labels = ", ".join(f"sum(({x} - m_{x}) * (y - m_y)) AS y{k}" for k, x in zip("abc", _LINE_FEATURES))
+    means = ", ".join(f"avg({x}) AS m_{x}" for x in _LINE_FEATURES)
+    keep = ", ".join(f"any_value(m_{x}) AS m_{x}" for x in [*_LINE_FEATURES, "y"])
+    # Cramer's rule on the symmetric 3 x 3 system
+    return f"""
+WITH fx AS ({LINE}), t AS (SELECT {a}, {b}, {c}, l_extendedprice AS y,
+  ntile(5) OVER (ORDER BY {duck_hash('fold1', 'row_id')}, row_id) - 1 AS fold FROM fx),
+folds AS (SELECT unnest(range(5)) AS f), m AS (SELECT f, {means}, avg(y) AS m_y FROM t, folds WHERE fold <> f GROUP BY f),
+s0 AS (SELECT f, {keep}, {moments}, {labels} FROM t, m WHERE fold <> f GROUP BY f),
+s AS (SELECT * REPLACE (aa + alpha AS aa, bb + alpha AS bb, cc + alpha AS cc) FROM s0, (VALUES {alphas}) g(alpha)),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+w AS (SELECT f, alpha, m_{a}, m_{b}, m_{c}, m_y,
+  (ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc)) / det AS w1,
+  (aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac)) / det AS w2,
+  (aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac)) / det AS w3 FROM d),
+e AS (SELECT alpha, f, -avg(abs(y - (m_y + w1 * ({a} - m_{a}) + w2 * ({b} - m_{b}) + w3 * ({c} - m_{c})))) AS score
+  FROM t JOIN w ON fold = f GROUP BY alpha, f)
+SELECT alpha AS penalty, round(avg(score), 4) + 0.0 AS mean, round(stddev_pop(score), 4) + 0.0 AS std FROM e GROUP BY alpha"""
+
+
+@query("mod3_ridge_grid_lines", _line_grid_sql())
+def mod3_lines(spark, sf):
+    df = fx_line(spark, sf).select("row_id", *_LINE_FEATURES, "l_extendedprice")
+    df = folds(df, "row_id", 5).persist()
+    rows, _, _, _ = linear.grid_search(df, _LINE_FEATURES, "l_extendedprice", "fold", "regression")
+    df.unpersist()
+    out = _pairs(spark, rows, "penalty double, mean double, std double")
+    return out.select("penalty", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
 @query("mod1_balanced_logistic")
 def mod1(spark, sf):
     df, cols = _encoded(spark, sf)

@@ -195,6 +195,15 @@ def agg15(spark, sf):
     return rounded(stats.correlations(fx_cust(spark, sf), CUST_NUM), "corr")
 
 
+_LINE_PAIRS = [(a, b) for i, a in enumerate(LINE_NUM) for b in LINE_NUM[i + 1 :]]
+
+
+@query("agg15_line_correlations", f"WITH fx AS ({LINE}) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {d6(f'corr({a}, {b})')} AS corr FROM fx" for a, b in _LINE_PAIRS))
+def agg15_line(spark, sf):
+    return rounded(stats.correlations(fx_line(spark, sf), LINE_NUM), "corr")
+
+
 @query("agg15_embedding_correlations", f"""
 WITH long AS (SELECT vec_id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT 'e' || a.d AS feature_a, 'e' || b.d AS feature_b, {d6('corr(a.v, b.v)')} AS corr
