@@ -15,6 +15,7 @@ from sieveline.operators import select as sel
 from sieveline.operators.encode import ColumnFilter, MixedEncoder
 from sieveline.operators.split import block_folds, folds, split, take_split
 from sieveline.operators.textpipe import sequential_selection
+from sieveline.runtime import spread
 from sieveline.plans.experiments import compare_models, compare_selection, encoded_parts
 
 _CAT = ["r_name"]
@@ -82,7 +83,7 @@ SELECT alpha AS penalty, round(avg(score), 4) + 0.0 AS mean, round(stddev_pop(sc
 @query("mod3_ridge_grid_lines", _line_grid_sql())
 def mod3_lines(spark, sf):
     df = fx_line(spark, sf).select("row_id", *_LINE_FEATURES, "l_extendedprice")
-    df = folds(df, "row_id", 5).persist()
+    df = folds(spread(df), "row_id", 5).persist()
     rows, _, _, _ = linear.grid_search(df, _LINE_FEATURES, "l_extendedprice", "fold", "regression")
     df.unpersist()
     out = _pairs(spark, rows, "penalty double, mean double, std double")

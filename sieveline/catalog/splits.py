@@ -10,6 +10,7 @@ from sieveline.operators import split as sp
 from sieveline.operators.encode import MixedEncoder
 from sieveline.operators.select import by_ratio
 from sieveline.operators.stats import fisher
+from sieveline.runtime import cut_lineage, spread
 
 
 def _duck_share(rel: str, seed, share: str, by: str | None, flag: str) -> str:
@@ -138,10 +139,9 @@ SELECT feature, {d6('score')} AS score, pos::INT AS pos FROM r WHERE pos <= floo
 
 @query("flagship_best_half_of_features", _flagship_sql())
 def flagship(spark, sf):
-    df = sp.split(fx_line(spark, sf), "row_id", "label")
-    train = sp.take_split(df, "train")
+    df = sp.split(spread(fx_line(spark, sf)), "row_id", "label")
+    train = sp.take_split(df, "train").persist()
     model = MixedEncoder(["l_quantity", "l_discount", "l_tax", "l_extendedprice"], ["l_linestatus"]).fit(train)
-    scores = fisher(model.transform(train), model.feature_names, "label")
+    scores = cut_lineage(fisher(model.transform(train), model.feature_names, "label"))  # one row per feature
+    train.unpersist()
     return rounded(by_ratio(scores, "feature", 0.5, seed=1), "score")
-
-

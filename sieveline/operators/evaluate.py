@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.ordering import cumulative
+from sieveline.runtime import spread
 
 
 def _score_totals(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     pos = (F.col(label) > 0.5).cast("bigint")
-    return cumulative(
-        df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias(label)),
-        by, "_s", {"pos": pos, "neg": 1 - pos},
-    )
+    narrow = spread(df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias(label)))
+    return cumulative(narrow, by, "_s", {"pos": pos, "neg": 1 - pos})
 
 
 def _auroc_sum():

@@ -15,6 +15,7 @@ The bucket edges only decide where the work runs; the results are exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -114,25 +115,157 @@ def mid_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def _value_at(position: Column, value: str) -> Column:
-    hit = (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))
-    return F.max(F.when(hit, F.col(value)))
+# ---------------------------------------------------------------------------
+# exact values at given positions: quantiles and equal-depth edges
+# ---------------------------------------------------------------------------
+
+_ACCURACY = 10_000  # the sketch's rank error is at most n / _ACCURACY
+_MARGIN = 3.0 / _ACCURACY
+_SMALL_SERIES = 5 * _ACCURACY
+_COLLECT_ROWS = 500_000
+_REFINE = 200  # sub-intervals per refinement
+
+
+def values_at(
+    df: DataFrame, by: list[str], value: str, probs: list[float], positions: Callable[[int], list[int]]
+) -> dict[tuple, tuple[int, dict[int, float]]]:
+    """Exact order statistics: series → (its size, {0-based position: value}).
+
+    ``positions(n)`` lists the wanted positions of a series of ``n`` values, each
+    within one rank of a share in ``probs``.  A quantile sketch brackets every
+    wanted value; the next pass counts the rows outside the brackets and the
+    distinct values inside them, which pins the value down exactly.  Brackets
+    that would still hold too many rows are narrowed first.  Rows are never
+    shuffled: a pass returns a few numbers per series.
+    """
+    keys = list(by) or ["_all"]
+    base = df if by else df.withColumn("_all", F.lit(0))
+    v = F.col(value).cast("double")
+    base = base.select(*keys, v.alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    grid = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-_MARGIN, _MARGIN)})
+    sketch = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", grid, _ACCURACY).alias("e")
+    )
+    need, brackets, size = {}, {}, {}
+    for r in small_rows(sketch, _SERIES_LIMIT):
+        s = tuple(r[k] for k in keys)
+        at = dict(zip(grid, r["e"], strict=True))
+        size[s], need[s] = r["n"], sorted(set(positions(r["n"])))
+        brackets[s] = _merged([(at[min(max(p - _MARGIN, 0.0), 1.0)], at[min(max(p + _MARGIN, 0.0), 1.0)]) for p in probs])
+    if not need:
+        return {}
+    sized = lambda found: {(s if by else ()): (size[s], at) for s, at in found.items()}
+    if max(size.values()) <= _SMALL_SERIES:
+        return sized(_values_by_ranks(base, keys, need))
+
+    inside = sum(n * 2 * _MARGIN * len(probs) for n in size.values())
+    while inside > _COLLECT_ROWS:
+        brackets, inside = _narrowed(base, keys, brackets, need)
+    found = {}
+    rows = _bracketed(base, keys, brackets).groupBy(*keys, "_s", F.when(F.col("_in"), F.col("_v")).alias("x")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("_v").alias("low")
+    )
+    items: dict[tuple, list] = {}
+    for r in rows.collect():  # brackets per series plus the distinct values inside them
+        items.setdefault(tuple(r[k] for k in keys), []).append((r["low"], r["c"], r["x"]))
+    for s, wanted in need.items():
+        found[s] = _walk(sorted(items[s], key=lambda t: t[0]), wanted)
+        if found[s] is None:  # a value outside its bracket: fall back to the rank table
+            return sized(_values_by_ranks(base, keys, need))
+    return sized(found)
+
+
+def _merged(spans: list[tuple[float, float]]) -> list[list[float]]:
+    out: list[list[float]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def _bracketed(base: DataFrame, keys: list[str], brackets: dict) -> DataFrame:
+    """Rows with ``_s`` (brackets that end below the value) and ``_in`` (inside the next one)."""
+    schema = T.StructType([
+        *[base.schema[k] for k in keys],
+        T.StructField("_lo", T.ArrayType(T.DoubleType())), T.StructField("_hi", T.ArrayType(T.DoubleType())),
+    ])
+    rows = [(*s, [b[0] for b in bs], [b[1] for b in bs]) for s, bs in brackets.items()]
+    table = base.sparkSession.createDataFrame(rows, schema)  # one row per series, at most _SERIES_LIMIT
+    tagged = base.join(F.broadcast(table), keys).withColumn("_s", F.size(F.filter("_hi", lambda h: h < F.col("_v"))))
+    return tagged.withColumn("_in", F.coalesce(F.try_element_at("_lo", F.col("_s") + 1) <= F.col("_v"), F.lit(False)))
+
+
+def _walk(items: list[tuple], wanted: list[int]) -> dict[int, float] | None:
+    out, before, at = {}, 0, 0
+    for _, count, x in items:
+        while at < len(wanted) and wanted[at] < before + count:
+            if x is None:
+                return None
+            out[wanted[at]] = x
+            at += 1
+        before += count
+    return out
+
+
+def _narrowed(base: DataFrame, keys: list[str], brackets: dict, need: dict):
+    """Smaller brackets around the wanted positions, and an estimate of the rows inside them."""
+    inner = [i / _REFINE for i in range(_REFINE + 1)]
+    rows = _bracketed(base, keys, brackets).groupBy(*keys, "_s", "_in").agg(
+        F.count(F.lit(1)).alias("c"), F.min("_v").alias("low"),
+        F.percentile_approx(F.when(F.col("_in"), F.col("_v")), inner, _ACCURACY).alias("e"),
+    )
+    items: dict[tuple, list] = {}
+    for r in rows.collect():  # two rows per bracket
+        items.setdefault(tuple(r[k] for k in keys), []).append((r["low"], r["c"], r["e"]))
+    out, inside = {}, 0.0
+    for s, wanted in need.items():
+        spans, before, at = [], 0, 0
+        for low, count, edges in sorted(items[s], key=lambda t: t[0]):
+            while at < len(wanted) and wanted[at] < before + count:
+                if edges is None:
+                    spans.append((low, low))
+                else:
+                    f = (wanted[at] - before) / count * _REFINE
+                    lo, hi = max(int(f) - 1, 0), min(int(f) + 2, _REFINE)
+                    spans.append((edges[lo], edges[hi]))
+                    inside += count * (hi - lo) / _REFINE
+                at += 1
+            before += count
+        out[s] = _merged(spans)
+    return out, (0.0 if out == brackets else inside)
+
+
+def _values_by_ranks(base: DataFrame, keys: list[str], need: dict) -> dict:
+    """The same from running totals of all distinct values."""
+    cum = cumulative(base, keys, "_v", {"n": F.lit(1)})
+    schema = T.StructType([*[base.schema[k] for k in keys], T.StructField("_p", T.ArrayType(T.LongType()))])
+    wanted = base.sparkSession.createDataFrame([(*s, p) for s, p in need.items()], schema)
+    covered = lambda p: (p >= F.col("before_n")) & (p < F.col("before_n") + F.col("n"))
+    hits = cum.join(F.broadcast(wanted), keys).withColumn("_p", F.filter("_p", covered)).filter(F.size("_p") > 0)
+    out: dict[tuple, dict[int, float]] = {}
+    for r in hits.select(*keys, "_v", "_p").collect():  # one row per wanted position and series at most
+        out.setdefault(tuple(r[k] for k in keys), {}).update(dict.fromkeys(r["_p"], r["_v"]))
+    return out
+
+
+def _series_frame(df: DataFrame, by: list[str], rows: list[tuple], tail: str) -> DataFrame:
+    fields = [df.schema[c] for c in by]
+    return df.sparkSession.createDataFrame(rows, T.StructType([*fields, *T.StructType.fromDDL(tail).fields]))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: ``by`` plus ``q0 .. qk``."""
-    cum = cumulative(df, by, value, {"n": F.lit(1)})
-    aggs, outs = [], []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("total_n") - 1)
-        aggs += [
-            _value_at(F.floor(pos), value).alias(f"_lo{i}"),
-            _value_at(F.ceil(pos), value).alias(f"_hi{i}"),
-            F.max(pos - F.floor(pos)).alias(f"_f{i}"),
+    ends = lambda n: [(math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in probs]
+    found = values_at(df, by, value, probs, lambda n: [x for pair in ends(n) for x in pair])
+    rows = []
+    for s, (n, at) in found.items():
+        cuts = [
+            float(at[lo] + (at[hi] - at[lo]) * (p * (n - 1) - lo)) for p, (lo, hi) in zip(probs, ends(n), strict=True)
         ]
-        lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
-        outs.append((lo + (hi - lo) * f).alias(f"q{i}"))
-    return cum.groupBy(*by).agg(*aggs).select(*by, *outs)
+        rows.append((*s, *cuts))
+    return _series_frame(df, by, rows, ", ".join(f"q{i} double" for i in range(len(probs))))
 
 
 def equal_depth_edges(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
@@ -141,12 +274,10 @@ def equal_depth_edges(df: DataFrame, by: list[str], value: str, k: int) -> DataF
     ``size(filter(edges, e <= v))`` is then the equal-depth bin of ``v``; equal
     values always share a bin.
     """
-    cum = cumulative(df, by, value, {"n": F.lit(1)})
-    picks = [
-        _value_at(F.floor(F.lit(j) * F.col("total_n") / F.lit(k)), value).alias(f"_e{j}")
-        for j in range(1, k)
-    ]
-    return cum.groupBy(*by).agg(*picks).select(*by, F.array(*[f"_e{j}" for j in range(1, k)]).alias("edges"))
+    starts = lambda n: [j * n // k for j in range(1, k)]
+    found = values_at(df, by, value, [j / k for j in range(1, k)], starts)
+    rows = [(*s, [float(at[p]) for p in starts(n)]) for s, (n, at) in found.items()]
+    return _series_frame(df, by, rows, "edges array<double>")
 
 
 def bin_of(value, edges) -> Column:
@@ -321,5 +452,5 @@ def row_positions(df: DataFrame, key: Column, tie: str, out: str, by: list[str]
 
 __all__ = [
     "bin_of", "cumulative", "equal_depth_edges", "exact_cuts", "mid_ranks", "quantiles",
-    "row_positions", "with_cut_index",
+    "row_positions", "values_at", "with_cut_index",
 ]

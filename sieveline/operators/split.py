@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.scalars import stable_hash
 from sieveline.operators.ordering import exact_cuts, with_cut_index
-from sieveline.runtime import small_rows
+from sieveline.runtime import small_rows, spread
 
 TEST_SEED = 42  # fixed value: the test set is the same for every run seed
 
@@ -37,15 +37,21 @@ def split(
     The test part uses the fixed seed, the train/val part the run seed.
     """
     by = [label] if label else []
-    keyed = df.withColumns({"_ht": stable_hash(TEST_SEED, row_id), "_hv": stable_hash(f"val{seed}", row_id)})
-    cuts = exact_cuts(keyed, by, F.col("_ht"), row_id, lambda n, _: [_first_share(n, test_share)])
-    marked = with_cut_index(keyed, by, cuts, "_ht", row_id, "_rest")
-    if val_share is None:
+    keys = {"_ht": stable_hash(TEST_SEED, row_id), "_hv": stable_hash(f"val{seed}", row_id)}
+    # only ids, labels and hashes are kept, for the few passes that find the cuts
+    ids = spread(df.select(*by, row_id)).withColumns(keys).persist()
+    test_cuts = exact_cuts(ids, by, F.col("_ht"), row_id, lambda n, _: [_first_share(n, test_share)])
+    val_cuts = None
+    if val_share is not None:
+        rest = with_cut_index(ids, by, test_cuts, "_ht", row_id, "_rest").filter(F.col("_rest") > 0)
+        val_cuts = exact_cuts(rest, by, F.col("_hv"), row_id, lambda n, _: [_first_share(n, val_share)])
+    ids.unpersist()
+
+    marked = with_cut_index(df.withColumns(keys), by, test_cuts, "_ht", row_id, "_rest")
+    if val_cuts is None:
         name = F.when(F.col("_rest") == 0, "test").otherwise("train")
         return marked.withColumn("split", name).drop("_ht", "_hv", "_rest")
-    left = F.when(F.col("_rest") > 0, F.col("_hv"))
-    cuts = exact_cuts(marked, by, left, row_id, lambda n, _: [_first_share(n, val_share)])
-    marked = with_cut_index(marked, by, cuts, "_hv", row_id, "_train")
+    marked = with_cut_index(marked, by, val_cuts, "_hv", row_id, "_train")
     name = F.when(F.col("_rest") == 0, "test").when(F.col("_train") == 0, "val").otherwise("train")
     return marked.withColumn("split", name).drop("_ht", "_hv", "_rest", "_train")
 
@@ -63,9 +69,11 @@ def _fold_starts(n: int, k: int) -> list[int]:
 def folds(df: DataFrame, row_id: str, k: int = 5, label: str | None = None, seed: int = 1) -> DataFrame:
     """Add ``fold`` 0..k-1: shuffled, stratified when ``label`` is given."""
     by = [label] if label else []
-    keyed = df.withColumn("_h", stable_hash(f"fold{seed}", row_id))
-    cuts = exact_cuts(keyed, by, F.col("_h"), row_id, lambda n, _: _fold_starts(n, k))
-    return with_cut_index(keyed, by, cuts, "_h", row_id, "fold").drop("_h")
+    h = stable_hash(f"fold{seed}", row_id)
+    ids = spread(df.select(*by, row_id)).withColumn("_h", h).persist()
+    cuts = exact_cuts(ids, by, F.col("_h"), row_id, lambda n, _: _fold_starts(n, k))
+    ids.unpersist()
+    return with_cut_index(df.withColumn("_h", h), by, cuts, "_h", row_id, "fold").drop("_h")
 
 
 def block_folds(df: DataFrame, row_id: str, k: int = 5) -> DataFrame:

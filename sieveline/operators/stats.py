@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.scalars import digamma_int, nan_to_null
 from sieveline.operators.ordering import bin_of, cumulative, equal_depth_edges, mid_ranks
-from sieveline.runtime import broadcast_if_small, cut_lineage, small_rows
+from sieveline.runtime import broadcast_if_small, cut_lineage, small_rows, spread
 
 _AGG_COLUMNS = 150  # columns per aggregate, below the generated-method size limit
 
@@ -36,7 +36,8 @@ def to_long(df: DataFrame, cols: list[str], keep: list[str], cast: str = "double
     entries = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast(cast).alias("value")) for c in cols
     ])
-    return df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.*")
+    narrow = df.select(*keep, *[F.col(f"`{c}`") for c in cols if c not in keep])
+    return spread(narrow).select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.*")
 
 
 def moments(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
@@ -206,7 +207,8 @@ def mutual_info_binned(
     entries = F.array(*[
         F.struct(F.lit(c).alias("feature"), _edge_bin(c, edges.get(c, [])).alias("x")) for c in cols
     ])
-    long = df.select(y.cast("string").alias("y"), F.explode(entries).alias("_e")).select("y", "_e.*")
+    narrow = spread(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, label])]))
+    long = narrow.select(y.cast("string").alias("y"), F.explode(entries).alias("_e")).select("y", "_e.*")
     return mutual_info_counts(long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -70,3 +70,14 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when an input sits in far fewer files than there are cores.
+
+    A large table has more files than this and is returned as it is, unshuffled.
+    Call it on the narrow columns an operator needs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files * 4 <= cores else df

@@ -41,6 +41,25 @@ def test_quantiles_interpolate(skewed):
         assert np.allclose([r[f"q{i}"] for i in range(len(probs))], want)
 
 
+@pytest.mark.parametrize("collect", [500_000, 0.5])
+def test_quantiles_of_a_long_series(spark, monkeypatch, collect):
+    """Past the small-series limit: bracketed, and narrowed repeatedly when ``collect`` is tiny."""
+    monkeypatch.setattr(o, "_SMALL_SERIES", 100)
+    monkeypatch.setattr(o, "_COLLECT_ROWS", collect)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([np.round(rng.normal(size=20_000), 3), np.full(9_000, 0.125), [np.nan]])
+    df = spark.createDataFrame([(int(i % 2 == 0 or i > 25_000), float(x)) for i, x in enumerate(v)], "g int, v double")
+    g = np.array([int(i % 2 == 0 or i > 25_000) for i in range(len(v))])
+    probs = [0.0, 0.05, 0.3, 0.5, 0.73, 0.999, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in o.quantiles(df, ["g"], "v", probs).collect()}
+    for k in (0, 1):
+        part = v[(g == k) & ~np.isnan(v)]
+        assert np.allclose(got[k], np.quantile(part, probs), atol=1e-12)
+    edges = o.equal_depth_edges(df, [], "v", 10).first()["edges"]
+    clean = np.sort(v[~np.isnan(v)])
+    assert edges == [clean[j * len(clean) // 10] for j in range(1, 10)]
+
+
 def test_row_positions_are_a_permutation(spark):
     df = spark.range(1000).withColumn("r", (F.col("id") % 3))
     out = o.row_positions(df, stable_hash("x", "id"), "id", "p", by=["r"]).collect()
