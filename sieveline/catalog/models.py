@@ -15,8 +15,8 @@ from sieveline.operators import select as sel
 from sieveline.operators.encode import ColumnFilter, MixedEncoder
 from sieveline.operators.split import block_folds, folds, split, take_split
 from sieveline.operators.textpipe import sequential_selection
-from sieveline.runtime import spread
 from sieveline.plans.experiments import compare_models, compare_selection, encoded_parts
+from sieveline.runtime import spread
 
 _CAT = ["r_name"]
 
@@ -411,7 +411,7 @@ def imp4(spark, sf):
     df = table(spark, sf, "embeddings")
     cols = [f"e{i}" for i in range(64)]
     wide = df.select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    curve, best, _ = imp.kmeans_sweep(wide, cols)
+    curve, best, _ = imp.kmeans_sweep(spread(wide), cols, max_iter=20)
     return curve.select("k", F.round("inertia", 2).alias("inertia"), (F.col("k") == best).alias("knee"))
 
 

@@ -359,7 +359,7 @@ def sel8(spark, sf):
 _TAU = """
 , pr AS (SELECT a.{by} AS {by}, sign(a.x - b.x) * sign(a.y - b.y) AS s, (a.x <> b.x)::INT AS ux, (a.y <> b.y)::INT AS uy
          FROM v a JOIN v b ON a.{by} = b.{by} AND a.k < b.k)
-SELECT {by}, round(sum(s) / sqrt(sum(ux) * sum(uy)::DOUBLE), 6) + 0.0 AS tau FROM pr GROUP BY {by}"""
+SELECT {by}, round(sum(s) / sqrt(sum(ux) * sum(uy)::DOUBLE), 9) + 0.0 AS tau FROM pr GROUP BY {by}"""
 
 
 @query("agg16_kendall_tau", f"""
@@ -377,7 +377,7 @@ n AS (SELECT flag, sum(c) AS n FROM v GROUP BY flag),
 tx AS (SELECT flag, sum(t * (t - 1) / 2) AS t FROM (SELECT flag, x, sum(c) AS t FROM v GROUP BY flag, x) GROUP BY flag),
 ty AS (SELECT flag, sum(t * (t - 1) / 2) AS t FROM (SELECT flag, y, sum(c) AS t FROM v GROUP BY flag, y) GROUP BY flag),
 s AS (SELECT a.flag, sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM v a JOIN v b ON a.flag = b.flag GROUP BY a.flag)
-SELECT flag, n.n::BIGINT AS n, round(s.s / sqrt((n.n * (n.n - 1) / 2 - tx.t) * (n.n * (n.n - 1) / 2 - ty.t)), 6) + 0.0 AS tau
+SELECT flag, n.n::BIGINT AS n, round(s.s / sqrt((n.n * (n.n - 1) / 2 - tx.t) * (n.n * (n.n - 1) / 2 - ty.t)), 9) + 0.0 AS tau
 FROM s JOIN n USING (flag) JOIN tx USING (flag) JOIN ty USING (flag)""")
 def jon9(spark, sf):
     df = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "flag")

@@ -119,14 +119,14 @@ def sampled_shap(
 # --- k-means background ---------------------------------------------------------------
 
 
-def kmeans_sweep(df: DataFrame, cols: list[str], ks=range(5, 26), seed: int = 42, row_id: str | None = None):
+def kmeans_sweep(df: DataFrame, cols: list[str], ks=range(5, 26), seed: int = 42, max_iter: int = 300):
     """(k, inertia) for every k and the centroids at the knee of the curve."""
     from sieveline.operators.report import knee
 
     vec = df.select(array_to_vector(features_array(cols)).alias("features")).persist()
     curve, centres = [], {}
     for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=100, initMode="k-means||").fit(vec)
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||").fit(vec)
         curve.append((int(k), float(model.summary.trainingCost)))
         centres[int(k)] = np.array(model.clusterCenters())
     vec.unpersist()

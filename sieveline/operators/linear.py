@@ -336,7 +336,7 @@ def rfe_order(df, cols, label, task, penalty=1.0) -> list[str]:
         if total is not None:
             _, w = ridge_solve(total, penalty, left)
         else:
-            (b, w), = logistic_fit_many(df, cols, label, [LogisticSpec(left, penalty)], start=start)
+            (b, w), = logistic_fit_many(df, cols, label, [LogisticSpec(left, penalty)], start=start, tol=1e-4)
         worst = int(np.argmin(w**2))
         dropped.append(left.pop(worst))
         if total is None:

@@ -111,12 +111,14 @@ def predictions(fitted, vec: DataFrame, task: str) -> DataFrame:
     return out.select("split", "label", prob.alias("prob"))
 
 
-def split_metrics(pred: DataFrame, task: str) -> dict[str, float]:
+def trial_metrics(scored: DataFrame, task: str) -> dict[tuple[int, str], float]:
+    """(trial, split) → AUROC or mean absolute error, for all trials in one evaluation."""
+    keys = ["trial", "split"]
     if task == "classification":
-        rows = auroc(pred, "label", "prob", by=["split"]).collect()  # three rows
-        return {r["split"]: r["auroc"] for r in rows}
-    rows = pred.groupBy("split").agg(mae("label", "prob").alias("mae")).collect()  # three rows
-    return {r["split"]: r["mae"] for r in rows}
+        rows = auroc(scored, "label", "prob", by=keys).collect()  # three rows per trial
+        return {(r["trial"], r["split"]): r["auroc"] for r in rows}
+    rows = scored.groupBy(*keys).agg(mae("label", "prob").alias("mae")).collect()  # three rows per trial
+    return {(r["trial"], r["split"]): r["mae"] for r in rows}
 
 
 TRIAL_SCHEMA = (
@@ -134,17 +136,25 @@ def random_search(
     vec = prepare(df, cols, label).persist()
     n_train = vec.filter("split = 'train'").count()
 
-    def run(trial: int):
-        params = draw_params(model, trial, seed, space)
-        fitted = fit_trial(vec, model, task, params, rounds, seed, n_train, len(cols))
-        m = split_metrics(predictions(fitted, vec, task), task)
-        return (model, fs_method, float(ratio), int(seed), trial, params, m.get("val"), m.get("test"))
+    params = [draw_params(model, t, seed, space) for t in range(n_trials)]
+
+    def fit(trial: int):
+        return fit_trial(vec, model, task, params[trial], rounds, seed, n_train, len(cols))
 
     try:
         with ThreadPool(min(parallelism, n_trials)) as pool:
-            rows = pool.map(run, range(n_trials))
+            fitted = pool.map(fit, range(n_trials))
+        scored = None
+        for trial, f in enumerate(fitted):
+            part = predictions(f, vec, task).withColumn("trial", F.lit(trial))
+            scored = part if scored is None else scored.unionByName(part)
+        metric = trial_metrics(scored, task)
     finally:
         vec.unpersist()
+    rows = [
+        (model, fs_method, float(ratio), int(seed), t, params[t], metric.get((t, "val")), metric.get((t, "test")))
+        for t in range(n_trials)
+    ]
     return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 

@@ -79,5 +79,6 @@ def spread(df: DataFrame) -> DataFrame:
     Call it on the narrow columns an operator needs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
+    # only the length crosses to Python; listing the names of a large table would be slow
+    files = len(df._jdf.inputFiles())
     return df.repartition(cores) if 0 < files * 4 <= cores else df
