@@ -170,7 +170,7 @@ def _flat(t):
 
 @query("mod6_tuned_linear_model")
 def mod6(spark, sf):
-    return _flat(_search(spark, sf, "linear", 8, 15))
+    return _flat(_search(spark, sf, "linear", 40, 15))
 
 
 @query("mod7_perceptron")
@@ -192,7 +192,7 @@ def mod9(spark, sf):
 
 @query("mod11_udf5_random_search_best")
 def mod11(spark, sf):
-    return rounded(trials.best_of(_search(spark, sf, "linear", 10, 15), "classification"), "test_metric")
+    return rounded(trials.best_of(_search(spark, sf, "linear", 40, 15), "classification"), "test_metric")
 
 
 # --- selection by statistics and fits ------------------------------------------------------------------
@@ -411,7 +411,7 @@ def imp4(spark, sf):
     df = table(spark, sf, "embeddings")
     cols = [f"e{i}" for i in range(64)]
     wide = df.select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    curve, best, _ = imp.kmeans_sweep(spread(wide), cols, max_iter=20)
+    curve, best, _ = imp.kmeans_sweep(wide, cols, max_iter=20)
     return curve.select("k", F.round("inertia", 2).alias("inertia"), (F.col("k") == best).alias("knee"))
 
 
@@ -430,5 +430,5 @@ def exp1(spark, sf):
 @query("exp2_tuned_model_comparison")
 def exp2(spark, sf):
     masks = {("all", 1.0): None, ("numeric", 0.5): CUST_NUM}
-    out = compare_models(fx_cust(spark, sf), "row_id", "label", CUST_NUM, _CAT, "classification", ["linear"], masks, [1], n_trials=4)
+    out = compare_models(fx_cust(spark, sf), "row_id", "label", CUST_NUM, _CAT, "classification", ["linear"], masks, [1], n_trials=40)
     return rounded(out, "test_metric")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -124,12 +125,17 @@ def kmeans_sweep(df: DataFrame, cols: list[str], ks=range(5, 26), seed: int = 42
     from sieveline.operators.report import knee
 
     vec = df.select(array_to_vector(features_array(cols)).alias("features")).persist()
-    curve, centres = [], {}
-    for k in ks:
+
+    def fit(k: int):
         model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||").fit(vec)
-        curve.append((int(k), float(model.summary.trainingCost)))
-        centres[int(k)] = np.array(model.clusterCenters())
-    vec.unpersist()
+        return (k, float(model.summary.trainingCost)), np.array(model.clusterCenters())
+
+    try:
+        with ThreadPool(4) as pool:  # a few Spark jobs in flight over the shared table
+            fits = pool.map(fit, [int(k) for k in ks])
+    finally:
+        vec.unpersist()
+    curve, centres = [f[0] for f in fits], {f[0][0]: f[1] for f in fits}
     table = df.sparkSession.createDataFrame(curve, "k int, inertia double")
     best = knee(table, "k", "inertia").first()["knee"]
     return table, int(best), centres[int(best)]

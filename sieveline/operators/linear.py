@@ -198,7 +198,7 @@ def logistic_fit_many(
 
 
 def margins_long(df: DataFrame, cols: list[str], label: str, models: list, specs: list, fold: str | None) -> DataFrame:
-    """(model, fold, y, margin) for every model on the rows of its held-out fold."""
+    """(model, f, y, margin) for every model on the rows of its held-out fold, all rows when it has none."""
     entries = []
     for i, ((b, w), s) in enumerate(zip(models, specs, strict=True)):
         full = np.zeros(len(cols))
@@ -220,14 +220,15 @@ def margins_long(df: DataFrame, cols: list[str], label: str, models: list, specs
             m = rows @ coef.T + bias
             r, c = np.nonzero((holds[None, :] == -1) | (holds[None, :] == f[:, None]))
             yield pa.RecordBatch.from_pydict({
-                "model": pa.array(np.asarray(ids, dtype="int32")[c]), "y": pa.array(y[r]), "margin": pa.array(m[r, c]),
+                "model": pa.array(np.asarray(ids, dtype="int32")[c]), "f": pa.array(f[r].astype("int32")),
+                "y": pa.array(y[r]), "margin": pa.array(m[r, c]),
             })
 
     packed = df.select(
         x.alias("x"), F.col(label).cast("double").alias("y"), F.lit(1.0).alias("w"),
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("f"),
     )
-    return packed.mapInArrow(score, "model int, y double, margin double")
+    return packed.mapInArrow(score, "model int, f int, y double, margin double")
 
 
 def cv_scores(df, cols, label, models, specs, fold, task) -> np.ndarray:

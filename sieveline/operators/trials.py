@@ -1,7 +1,8 @@
 """Hyper-parameter trials: seeded search spaces, fits on Spark ML, a trials table.
 
-Every fit is a Spark job over one shared, persisted table; a small thread pool
-only keeps several of these jobs in flight.
+Linear trials are fitted jointly, a data pass per Newton step for all of them.  Tree
+and perceptron fits are Spark jobs over one shared, persisted table; a small thread
+pool only keeps several of these jobs in flight.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ import hashlib
 import math
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.operators.evaluate import auroc, mae
-from sieveline.operators.linear import balanced_class_weights, features_array
+from sieveline.operators.linear import (
+    LogisticSpec, balanced_class_weights, features_array, fit_models, margins_long,
+)
 
 # --- fixed values: search spaces ---------------------------------------------------------
 # kind, low, high; 'choice' lists its values, 'int' excludes the high end
@@ -74,17 +77,10 @@ def prepare(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     return vec.withColumn("w", w)
 
 
-def fit_trial(vec: DataFrame, model: str, task: str, params: dict[str, float], rounds: int, seed: int, n_train: int, d: int):
+def fit_trial(vec: DataFrame, model: str, task: str, params: dict[str, float], rounds: int, seed: int, d: int):
     """Fit one trial on the train rows (boosting stops early on the val rows)."""
     train = vec.filter("split = 'train'")
     cls = task == "classification"
-    if model == "linear":
-        reg = params["l2"] / n_train
-        if cls:
-            est = LogisticRegression(weightCol="w", regParam=reg, standardization=False, maxIter=max(rounds, 1))
-        else:
-            est = LinearRegression(regParam=reg, standardization=False, maxIter=max(rounds, 1))
-        return est.fit(train)
     if model in ("lgb", "xgb"):
         depth = int(params.get("max_depth") or round(math.log2(params["num_leaves"])))
         common = {
@@ -121,6 +117,30 @@ def trial_metrics(scored: DataFrame, task: str) -> dict[tuple[int, str], float]:
     return {(r["trial"], r["split"]): r["mae"] for r in rows}
 
 
+_PARTS = ["train", "val", "test"]
+
+
+def _linear_trials(df: DataFrame, cols: list[str], label: str, task: str, params: list[dict]) -> dict:
+    """All linear trials as one joint fit: they differ only in the penalty.
+
+    A logistic search costs one pass per Newton step and a ridge search one pass,
+    whatever the number of trials.
+    """
+    part = F.array_position(F.array(*[F.lit(p) for p in _PARTS]), F.col("split")) - 1
+    rows = df.select(*[F.col(f"`{c}`") for c in cols], label, part.cast("int").alias("_part")).persist()
+    specs = [LogisticSpec(range(len(cols)), 1.0 / p["l2"] if task == "classification" else p["l2"]) for p in params]
+    try:
+        models = fit_models(rows.filter("_part = 0"), cols, label, specs, None, task)
+        scored = margins_long(rows, cols, label, models, specs, "_part")
+        split_name = F.element_at(F.array(*[F.lit(p) for p in _PARTS]), F.col("f") + 1)
+        scored = scored.select(
+            F.col("model").alias("trial"), split_name.alias("split"), F.col("y").alias("label"), F.col("margin").alias("prob")
+        )
+        return trial_metrics(scored, task)
+    finally:
+        rows.unpersist()
+
+
 TRIAL_SCHEMA = (
     "model string, fs_method string, ratio double, seed int, trial int, params map<string,double>, "
     "val_metric double, test_metric double"
@@ -133,24 +153,22 @@ def random_search(
 ) -> DataFrame:
     """Trials table of a seeded random search; ``df`` has ``split`` in {train, val, test}."""
     spark = df.sparkSession
-    vec = prepare(df, cols, label).persist()
-    n_train = vec.filter("split = 'train'").count()
-
     params = [draw_params(model, t, seed, space) for t in range(n_trials)]
-
-    def fit(trial: int):
-        return fit_trial(vec, model, task, params[trial], rounds, seed, n_train, len(cols))
-
-    try:
-        with ThreadPool(min(parallelism, n_trials)) as pool:
-            fitted = pool.map(fit, range(n_trials))
-        scored = None
-        for trial, f in enumerate(fitted):
-            part = predictions(f, vec, task).withColumn("trial", F.lit(trial))
-            scored = part if scored is None else scored.unionByName(part)
-        metric = trial_metrics(scored, task)
-    finally:
-        vec.unpersist()
+    if model == "linear":
+        metric = _linear_trials(df, cols, label, task, params)
+    else:
+        vec = prepare(df, cols, label).persist()
+        fit = lambda t: fit_trial(vec, model, task, params[t], rounds, seed, len(cols))
+        try:
+            with ThreadPool(min(parallelism, n_trials)) as pool:
+                fitted = pool.map(fit, range(n_trials))
+            scored = None
+            for trial, f in enumerate(fitted):
+                part = predictions(f, vec, task).withColumn("trial", F.lit(trial))
+                scored = part if scored is None else scored.unionByName(part)
+            metric = trial_metrics(scored, task)
+        finally:
+            vec.unpersist()
     rows = [
         (model, fs_method, float(ratio), int(seed), t, params[t], metric.get((t, "val")), metric.get((t, "test")))
         for t in range(n_trials)
