@@ -238,8 +238,12 @@ WITH s AS (SELECT llm_model AS datapred, floor(0.1::DOUBLE * count(*)) AS target
 SELECT datapred, step, n_selected FROM ({_REG}) JOIN s USING (datapred) WHERE n_selected > 0
 QUALIFY row_number() OVER (PARTITION BY datapred ORDER BY abs(n_selected - target), step) = 1""")
 def sel18(spark, sf):
-    kept = sel.by_ratio(_s(spark, sf), "concept", 0.1, ["llm_model"])
-    target = kept.groupBy(F.col("llm_model").alias("datapred")).agg(F.count(F.lit(1)).alias("target"))
+    scores = _s(spark, sf)
+    kept = sel.by_ratio(scores, "concept", 0.1, ["llm_model"]).groupBy("llm_model").agg(F.count(F.lit(1)).alias("k"))
+    # a model whose share rounds down to nothing has target 0
+    target = scores.select("llm_model").distinct().join(kept, "llm_model", "left").select(
+        F.col("llm_model").alias("datapred"), F.coalesce("k", F.lit(0)).alias("target")
+    )
     path = _reg(spark, sf).join(target, "datapred")
     return sel.nearest_size(path, "target", ["datapred"]).select("datapred", "step", "n_selected")
 

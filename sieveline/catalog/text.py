@@ -106,7 +106,8 @@ def llm3(spark, sf):
 SELECT concept, {d9('avg(score)')} AS score, string_agg(reasoning, '|' ORDER BY sample_id) AS explanations FROM p GROUP BY concept""")
 def llm4(spark, sf):
     avg = tp.average_scores(tp.parse_scores(fx_completions(spark, sf)), ["concept"])
-    return rounded9(avg.withColumn("explanations", F.array_join("explanations", "|")), "score")
+    joined = F.when(F.size("explanations") > 0, F.array_join("explanations", "|"))
+    return rounded9(avg.withColumn("explanations", joined), "score")
 
 
 @query("llm5_rendered_rank_prompts", f"""
