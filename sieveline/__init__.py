@@ -1 +1,9 @@
 """sieveline: feature selection and feature-importance analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so workers need no copy of
+# the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
