@@ -146,7 +146,7 @@ def _candidates(sketch, bits: int, window: int, buckets: int):
     def emit(chunk, rows, first, second, position, base):
         if not rows or not sum(map(len, position)):
             return
-        home = chunk % buckets
+        home = (chunk >> 32) % buckets
         yield home, chunk, 0, packed(np.concatenate([r for r, _ in rows])), packed(np.concatenate([[0], *[b for _, b in rows]])), b""
         h1, h2, at = np.concatenate(first), np.concatenate(second), np.concatenate(position)
         order = np.lexsort((h2, h1))
