@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import simhash, substring_dedup
+from sieveline.llm import mixing, packing, simhash, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, bits=4)
+
+
+@_query("op2_mix_sources")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.token_pieces(docs, capacity=2048), ["doc_id", "piece", "ids_crc32"], capacity=2048)
