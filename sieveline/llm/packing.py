@@ -226,9 +226,7 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000, w
         times = min(left[s] // pattern.count(s) for s in set(pattern))
         spare = times * (capacity - sum(pattern))
         if waste + spare > (fewest - 1) * capacity - total:
-            # even with no further waste this can't beat the incumbent
-            if stack[-1] or len(stack) > 1 or not path:
-                continue
+            continue  # even with no further waste this can't beat the incumbent
         take(pattern, times, 1)
         path.append((pattern, times))
         waste, used = waste + spare, used + times
