@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import lattice, mixing, packing, simhash, substring_dedup, topk
+from sieveline.llm import language, lattice, mixing, packing, simhash, substring_dedup, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_embedding_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
+
+
+@_query("op7_toxic_segments")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held = language.held_out("doc_id", 5, 0)
+    out = toxicity.score_toxicity(docs, labels.filter(~held))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@_query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language.held_out("doc_id", 4, 2)
+    out = language.identify(docs, learn=~held)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
