@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import language, lattice, mixing, packing, simhash, substring_dedup, topk, toxicity
+from sieveline.runtime import scratch_path
+from sieveline.llm import language, lattice, mixing, packing, simhash, substring_dedup, token_files, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language.held_out("doc_id", 4, 2)
     out = language.identify(docs, learn=~held)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@_query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_files.corpus_tokens(docs, scratch_path(spark, "tokens"))
+    return out.select("doc_id", "number", "start", "n_tokens")

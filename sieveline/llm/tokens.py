@@ -20,10 +20,12 @@ class ByteBpe:
     """Encodes texts to the ids of a ``tokenizers`` file, without special tokens added.
 
     ``ranks`` names the same vocabulary in ``tiktoken`` form. It serves texts in which both
-    libraries agree by construction; all others go through ``tokenizers`` itself.
+    libraries agree by construction; all others go through ``tokenizers`` itself. A special
+    token's string in a text is that token, or ordinary text with ``specials_as_text``.
     """
 
-    def __init__(self, vocabulary: str | None = None, ranks: str | None = None):
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, specials_as_text: bool = False):
+        self.specials_as_text = specials_as_text
         self.path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
         self.slow = None
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -34,10 +36,11 @@ class ByteBpe:
         found = np.frombuffer(text, np.uint8)
         if not len(found):
             return np.zeros(0, np.uint32)
-        if found.max() < _PLAIN and b"<|endoftext|>" not in text:
+        if found.max() < _PLAIN and (self.specials_as_text or b"<|" not in text):
             gaps = np.flatnonzero(found <= 0x20)
             if max(np.diff(gaps, prepend=-1, append=len(found))) <= _RUN:
                 return self.fast.encode_to_numpy(text.decode(), disallowed_special=())
         if self.slow is None:
             self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = self.specials_as_text
         return np.array(self.slow.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
