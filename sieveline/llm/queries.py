@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.runtime import scratch_path
-from sieveline.llm import language, lattice, mixing, packing, simhash, substring_dedup, token_files, topk, toxicity
+from sieveline.llm import language, lattice, mixing, packing, pitman_yor, simhash, substring_dedup, token_files, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_files.corpus_tokens(docs, scratch_path(spark, "tokens"))
     return out.select("doc_id", "number", "start", "n_tokens")
+
+
+@_query("op6_pitman_yor_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language.held_out("doc_id", 7, 2)
+    out = pitman_yor.score_texts(docs, learn=~held)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
