@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.arrays import batch_of
+from sieveline.llm.arrays import batch_of, slices
 from sieveline.llm.frames import kept
 from sieveline.llm.tokens import ByteBpe
 
@@ -38,9 +38,9 @@ def _pieces(capacity: int, end_id: int, vocabulary, ranks, keep_ids: bool):
 
     def task(batches):
         bpe = ByteBpe(vocabulary, ranks)
-        for batch in batches:
+        for rows, _, _ in slices(batches, "text"):
             out = []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True):
                 ids = np.append(bpe.encode(text or b""), np.uint32(end_id)).astype("<u4")
                 end = len(ids) % capacity or min(capacity, len(ids))
                 start = number = 0

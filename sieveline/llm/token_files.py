@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.arrays import batch_of, packed, unpacked
+from sieveline.llm.arrays import batch_of, packed, slices, unpacked
 from sieveline.llm.frames import kept
 from sieveline.llm.tokens import ByteBpe
 
@@ -29,9 +29,9 @@ BLOCK_TOKENS = 1 << 20
 def _encode(vocabulary, ranks, end_id):
     def task(batches):
         bpe = ByteBpe(vocabulary, ranks, specials_as_text=True)
-        for batch in batches:
+        for rows, _, _ in slices(batches, "text"):
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in rows.column("text").to_pylist():
                 ids = bpe.encode(text or b"")
                 if len(ids) and (ids.max() > 0xFFFF or (ids == end_id).any()):
                     raise ValueError("a text's ids must fit 16 bits and differ from the end-of-document id")
