@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.arrays import flat
-from sieveline.llm.frames import with_results
+from sieveline.llm.frames import fresh, named, schema_of, with_results
 
 WINDOW, WIDTHS = 256, (2, 3, 4)
 
@@ -232,11 +232,13 @@ def identify(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     shared = df.sparkSession.sparkContext.broadcast((model.classes, model.tables()) if model else ([], None))
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = df.select(F.struct("*").alias("row"), F.col(text_col).cast("binary").alias("text"), letters.alias("letters"))
-    out = rows.mapInArrow(_identify(shared), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    out = rows.mapInArrow(_identify(shared), schema_of(rows, ["row"], "lang_pred string, score double"))
     return with_results(out, "row", ["lang_pred", "score"])
 
 
 def keep_identified(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """``df`` without the rows whose text has no language (no letter), or none with a score of ``least``."""
-    found = identify(df.withColumn("_row", F.struct("*")), learn, id_col, text_col, lang_col)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    row = fresh(df, "whole_row")
+    found = identify(df.withColumn(row, F.struct("*")), learn, id_col, text_col, lang_col)
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[F.col(row).getField(c).alias(c) for c in df.columns])

@@ -135,10 +135,12 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts of which nothing is taken go. A cut text is its first words, joined by one space.
     """
     found = mix(df, id_col, text_col, source_col, **options).filter("taken > 0")
-    each = found.groupBy("key").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias("_whole"), F.collect_list(F.when(F.col("taken") % F.col("size") > 0, F.col("taken") % F.col("size"))).alias("_cuts"))
-    rows = df.withColumn("_key", row_key(id_col, text_col)).dropDuplicates(["_key"])
-    rows = rows.join(each.withColumnRenamed("key", "_key"), "_key")
-    pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole").cast("int")), F.col("_cuts"))
-    rows = rows.withColumn("_words", F.explode(pieces))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int")), " ")
-    return rows.withColumn(text_col, F.when(F.col("_words") < 0, F.col(text_col)).otherwise(cut)).select(*df.columns)
+    left = F.col("taken") % F.col("size")
+    each = found.groupBy("key").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias("whole"), F.collect_list(F.when(left > 0, left)).alias("cuts"))
+    rows = df.select(row_key(id_col, text_col).alias("key"), F.struct("*").alias("row")).dropDuplicates(["key"])
+    pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.col("cuts"))
+    rows = rows.join(each, "key").select("row", F.explode(pieces).alias("first"))
+    text = F.col("row").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.lit(1), F.greatest(F.col("first"), F.lit(1)).cast("int")), " ")
+    text = F.when(F.col("first") < 0, text).otherwise(cut)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.arrays import batch_of, slices
-from sieveline.llm.frames import kept
+from sieveline.llm.frames import fresh, kept, named, schema_of
 from sieveline.llm.tokens import ByteBpe
 
 _SALTS = 256
@@ -257,10 +257,10 @@ def _places(patterns):
     return {s: np.array(rows, np.int64) for s, rows in table.items()}
 
 
-def _deal(places):
+def _deal(places, ranks: str):
     def task(batches):
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column(ranks).to_numpy()
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for size in np.unique(length):
                 at = np.flatnonzero(length == size)
@@ -269,7 +269,7 @@ def _deal(places):
                 local = rank[at] - row[:, 0]
                 sequence[at] = row[:, 1] + local % row[:, 2]
                 offset[at] = row[:, 3] + local // row[:, 2] * size
-            names = [n for n in batch.schema.names if n != "rank"]
+            names = [n for n in batch.schema.names if n != ranks]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return task
@@ -281,14 +281,15 @@ def pack(pieces: DataFrame, order_by: list[str], capacity: int = 2048, steps: in
     ``order_by`` names columns that tell pieces apart; pieces of one length are dealt in their order.
     """
     spark = pieces.sparkSession
-    rows = kept(pieces.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(_SALTS)).cast("int")))
-    groups = kept(rows.groupBy("length", "_salt").count())
-    counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    salt, number, before, rank = (fresh(pieces, n) for n in ("salt", "number", "before", "rank"))
+    keys = [named(c) for c in order_by]
+    rows = kept(pieces.withColumn(salt, F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int")))
+    groups = kept(rows.groupBy("length", salt).agg(F.count("*").alias(number)))
+    counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum(number).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(bin_completion(counts, capacity, steps)))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_salt").orderBy(*order_by)
-    ranked = rows.withColumn("_row", F.row_number().over(inside)).join(groups, ["length", "_salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_row") - 1).alias("rank"))
-    types = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return ranked.mapInArrow(_deal(places), f"{types}, sequence_id long, offset long")
+    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("length", salt, F.coalesce(F.sum(number).over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy("length", salt).orderBy(*keys)
+    ranked = rows.withColumn(number, F.row_number().over(inside)).join(groups, ["length", salt])
+    ranked = ranked.select(*[named(c) for c in pieces.columns if c not in ("sequence_id", "offset")], (F.col(before) + F.col(number) - 1).alias(rank))
+    return ranked.mapInArrow(_deal(places, rank), schema_of(ranked, ranked.columns[:-1], "sequence_id long, offset long"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.arrays import SPACES, batch_of, by_group, runs, slices, words
 from sieveline.llm.components import connected_components, union_find
-from sieveline.llm.frames import kept
+from sieveline.llm.frames import kept, named
 
 #: Variants that one task sorts at once.
 GROUP_VARIANTS = 2 << 20
@@ -120,46 +120,61 @@ def _masks(tail: int, n: int) -> list[int]:
 
 
 def variants(found: np.ndarray, lead: int, bucket: int, half: int, sub: int = 0, sub_bits: int = 0):
-    """Variants whose ``lead`` leading bits are ``bucket`` (and parities ``sub``), and whose they are."""
+    """Variants whose ``lead`` leading bits are ``bucket`` (and parities ``sub``), whose they are, and the bits changed."""
     tail = 64 - lead
     masks = _masks(tail, sub_bits)
     far = np.bitwise_count((found >> np.uint64(tail)) ^ np.uint64(bucket)) if lead else np.zeros(len(found), np.uint8)
     low = found & np.uint64((1 << tail) - 1)
     mine = _parity(low, masks)
-    made, of = [], []
+    made, of, changed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+
+    def add(at, flips, d):
+        made.append((low[at][:, None] ^ flips[None, :]).ravel())
+        of.append(np.repeat(at, len(flips)))
+        changed.append(np.tile(np.bitwise_count(flips) + np.uint8(d), len(at)))
+
     for d in range(half + 1):
         at = np.flatnonzero(far == d)
         if not len(at):
             continue
         flips = _flips(tail, half - d)
         if not sub_bits:
-            made.append((low[at][:, None] ^ flips[None, :]).ravel())
-            of.append(np.repeat(at, len(flips)))
+            add(at, flips, d)
             continue
         # parities are linear: only flips with the missing parity lead into this sub-group
         hashes = _parity(flips, masks)
         for h in np.unique(hashes):
-            some, use = at[mine[at] == (sub ^ int(h))], flips[hashes == h]
-            made.append((low[some][:, None] ^ use[None, :]).ravel())
-            of.append(np.repeat(some, len(use)))
-    if not made:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(made), np.concatenate(of)
-
-
-def _collide(points: np.ndarray, of: np.ndarray, found: np.ndarray, bits: int):
-    """Index pairs of neighbours among the members of equal variants."""
-    room = max(1, int(len(found) - 1).bit_length())
-    short = ((points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(room) << np.uint64(room)) | of.astype(np.uint64)
-    short.sort()
-    at = np.flatnonzero(short[1:] >> np.uint64(room) == short[:-1] >> np.uint64(room))
-    low = np.uint64((1 << room) - 1)
-    left, right = short[at] & low, short[at + 1] & low
-    if (np.bitwise_count(found[left] ^ found[right]) > bits).any():
-        # two variants met in the shortened key: sort by the whole variant
-        order = np.lexsort((of, points))
-        at = np.flatnonzero(points[order[1:]] == points[order[:-1]])
-        left, right = of[order[at]].astype(np.uint64), of[order[at + 1]].astype(np.uint64)
+            add(at[mine[at] == (sub ^ int(h))], flips[hashes == h], d)
+    return np.concatenate(made), np.concatenate(of), np.concatenate(changed)
+
+
+def _collide(points: np.ndarray, of: np.ndarray, changed: np.ndarray, found: np.ndarray, bits: int):
+    """Index pairs that hold the members of equal variants together.
+
+    For an even radius any two members are within it: neighbours are paired. For an odd one,
+    members that changed one bit more than half are paired with one that changed less.
+    """
+    left = right = np.zeros(0, np.uint64)
+    exact = bits % 2 == 1
+    if not exact:
+        room = max(1, int(len(found) - 1).bit_length())
+        short = ((points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(room) << np.uint64(room)) | of.astype(np.uint64)
+        short.sort()
+        at = np.flatnonzero(short[1:] >> np.uint64(room) == short[:-1] >> np.uint64(room))
+        low = np.uint64((1 << room) - 1)
+        left, right = short[at] & low, short[at + 1] & low
+        # two variants may meet in the shortened key: then sort by the whole variant
+        exact = bool((np.bitwise_count(found[left] ^ found[right]) > bits).any())
+    if exact:
+        last = changed > bits // 2
+        order = np.lexsort((of, last, points))
+        points, of, last = points[order], of[order].astype(np.uint64), last[order]
+        first = runs(points)
+        head = np.repeat(first[:-1], np.diff(first))
+        at = np.arange(len(points))
+        other = np.where(last, head, at - 1)
+        use = (at > head) & ~(last & last[head])
+        left, right = of[other[use]], of[at[use]]
     pairs = np.unique(left << np.uint64(32) | right)
     left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
     near = (left != right) & (np.bitwise_count(found[left] ^ found[right]) <= bits)
@@ -172,8 +187,8 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _link(lead: int, bits: int):
     def task(key, batches):
         found = np.concatenate([b.column("fp").to_numpy() for b in batches]).view(np.uint64)
-        points, of = variants(found, lead, key[0], bits // 2, key[1], key[2])
-        left, right = _collide(points, of, found, bits)
+        points, of, changed = variants(found, lead, key[0], (bits + 1) // 2, key[1], key[2])
+        left, right = _collide(points, of, changed, found, bits)
         stars = union_find(left.tolist(), right.tolist())
         a = found[[x for x, _ in stars]].view(np.int64) if stars else []
         b = found[[y for _, y in stars]].view(np.int64) if stars else []
@@ -188,7 +203,7 @@ def _ball(bits: int, half: int) -> int:
 
 def near_links(prints: DataFrame, bits: int, group_variants: int = GROUP_VARIANTS) -> DataFrame:
     """(a, b): a forest of links in which any two of the distinct ``fp`` within ``bits`` are connected."""
-    half = bits // 2 if bits % 2 == 0 else bits // 2 + 1  # an odd radius is searched as the next even one
+    half = (bits + 1) // 2
     n = prints.count()
     lead = min(28, max(0, math.ceil(math.log2(max(1, n * _ball(64, half) / group_variants)))))
     steps = _flips(lead, half)
@@ -219,7 +234,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """``df`` with one row of each component: the one with its smallest id. Rows without an id all stay."""
     first = near_duplicates(df, id_col, text_col, shingle, bits).filter(F.col(id_col) == F.col("component_id"))
     once = df.join(first.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return once.select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    return once.select(*[named(c) for c in df.columns]).unionByName(df.filter(F.col(id_col).isNull()))
 
 
 def brute_force(texts: list[str | None], shingle: int = 4, bits: int = 4) -> list[tuple[int, int]]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.arrays import batch_of, by_group, packed, runs, slices, unpacked, window_hashes, word_hashes, words
-from sieveline.llm.frames import row_key, with_results
+from sieveline.llm.frames import named, row_key, schema_of, with_results
 
 #: Largest sketch row: 2**28 bits, 32 MB for each of the two rows once merged.
 MAX_SKETCH_BITS = 28
@@ -299,10 +299,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``kept_text`` is null where the text is null. These three replace columns of the same name.
     """
     spans = repeated_spans(df, id_col, text_col, window, bits)
-    rows = df.select(row_key(id_col, text_col).alias("key"), F.struct(*[c for c in df.columns if c != text_col]).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    rows = df.select(row_key(id_col, text_col).alias("key"), F.struct(*[named(c) for c in df.columns if c != text_col]).alias("row"), named(text_col).cast("binary").alias("text"))
     joined = rows.join(spans, "key", "left").select("row", "text", "spans")
-    row_type = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"row {row_type}, n_words long, n_removed long, kept_text string")
+    out = joined.mapInArrow(_cut, schema_of(joined, ["row"], "n_words long, n_removed long, kept_text string"))
     return with_results(out, "row", ["n_words", "n_removed", "kept_text"])
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.arrays import batch_of, by_group, packed, slices, unpacked, window_hashes, word_hashes, words
-from sieveline.llm.frames import kept, with_results
+from sieveline.llm.frames import kept, named, schema_of, with_results
 
 _SLICES = 64
 
@@ -224,8 +224,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     table = slot_scores(counts, n, prior, errors) - drift
     lam = decay(table, counts[0].astype(float))
     shared = spark.sparkContext.broadcast(table)
-    rows = df.select(F.struct(*[c for c in df.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    raw = kept(rows.mapInArrow(_scan(shared, bits), f"row {rows.schema['row'].dataType.simpleString()}, id long, {_RAW_DDL}"))
+    rows = df.select(F.struct(*[named(c) for c in df.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    raw = kept(rows.mapInArrow(_scan(shared, bits), schema_of(rows, ["row", "id"], _RAW_DDL)))
     taught = raw.select("id", "tokens", "best").join(labels, "id")
     size = F.greatest(F.col("tokens"), F.lit(1))
     sums = taught.filter("toxic = 0").agg(F.count("*"), F.sum(size * F.exp(-lam * F.col("best")))).collect()[0]
