@@ -246,8 +246,8 @@ def trf9(spark, sf):
 
 @query("ds13_clinical_flat", _SCALED + f""",
 flat AS ({_flat_sql(rel='scaled')})
-SELECT flat.*, c_acctbal AS balance, CAST(c_mktsegment = 'BUILDING' AS INT)::DOUBLE AS label
-FROM flat JOIN customer ON c_custkey = entity""")
+SELECT coalesce(entity, c_custkey) AS entity, flat.* EXCLUDE (entity), c_acctbal AS balance, CAST(c_mktsegment = 'BUILDING' AS INT)::DOUBLE AS label
+FROM flat FULL JOIN customer ON c_custkey = entity""")
 def ds13(spark, sf):
     scaled = rounded(scaled_events(spark, sf), "value", "delta")
     flat = bn.flatten_bins(scaled, _concepts(spark, sf), _N_BINS, _BIN_H)
@@ -255,7 +255,7 @@ def ds13(spark, sf):
         F.col("c_custkey").alias("entity"), F.col("c_acctbal").alias("balance"),
         (F.col("c_mktsegment") == "BUILDING").cast("double").alias("label"),
     )
-    return bn.join_static(flat, static, "inner")
+    return bn.join_static(flat, static, "full")
 
 
 @query("trf6_selected_concept_measures", _CLINICAL + "SELECT concept, count(*) AS n, sum(mask) AS seen FROM dense WHERE concept IN ('click', 'view') GROUP BY concept")

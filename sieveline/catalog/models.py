@@ -15,6 +15,7 @@ from sieveline.operators import select as sel
 from sieveline.operators.encode import ColumnFilter, MixedEncoder
 from sieveline.operators.split import block_folds, folds, split, take_split
 from sieveline.operators.textpipe import sequential_selection
+from sieveline.catalog.statistics import _GAPS, with_gaps
 from sieveline.plans.experiments import compare_models, compare_selection, encoded_parts
 from sieveline.runtime import spread
 
@@ -218,7 +219,7 @@ def sel10(spark, sf):
     return rounded(sel.select_features(df, cols, "y", "mrmr", topk=len(cols)), "score")
 
 
-def _mrmr_sql() -> str:
+def _mrmr_sql(source: str = CUST) -> str:
     long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS v, label FROM fx" for c in CUST_NUM)
     corr = " UNION ALL ".join(
         f"SELECT '{a}' AS p, '{b}' AS q, greatest(abs(corr({a}::DOUBLE, {b}::DOUBLE)), 0.001) AS r FROM fx"
@@ -231,8 +232,8 @@ def _mrmr_sql() -> str:
             f"WHERE c.q IN ({prior}) AND f.feature NOT IN ({prior}) GROUP BY f.feature, f.f ORDER BY score DESC LIMIT 1)")
     allp = " UNION ALL ".join(f"SELECT feature, {d6('score')} AS score, pos::INT AS pos FROM s{i}" for i in range(len(CUST_NUM)))
     return f"""
-WITH fx AS ({CUST}), long AS ({long}), pc AS (SELECT feature, label, count(*) AS nc, avg(v) AS mu, var_pop(v) AS va FROM long GROUP BY ALL),
-ov AS (SELECT feature, count(*) AS n, avg(v) AS m FROM long GROUP BY feature),
+WITH fx AS ({source}), long AS ({long}), pc AS (SELECT feature, label, count(v) AS nc, avg(v) AS mu, var_pop(v) AS va FROM long GROUP BY ALL),
+ov AS (SELECT feature, count(v) AS n, avg(v) AS m FROM long GROUP BY feature),
 f AS (SELECT feature, sum(nc * (mu - m) ** 2) / (sum(nc * va) / (any_value(n) - 2)) AS f FROM pc JOIN ov USING (feature) GROUP BY feature),
 c AS ({corr}), s0 AS (SELECT feature, f AS score, 0 AS pos FROM f ORDER BY f DESC LIMIT 1), {", ".join(picks)} {allp}"""
 
@@ -243,6 +244,12 @@ def sel10_num(spark, sf):
     return rounded(out, "score")
 
 
+@query("sel10_mrmr_with_missing", _mrmr_sql(_GAPS.format(CUST)))
+def sel10_gaps(spark, sf):
+    out = sel.select_features(with_gaps(fx_cust(spark, sf)), CUST_NUM, "label", "mrmr", topk=len(CUST_NUM))
+    return rounded(out, "score")
+
+
 @query("sel10_mrmr_embeddings")
 def sel10_vec(spark, sf):
     df = table(spark, sf, "embeddings")
@@ -427,6 +434,15 @@ def exp1(spark, sf):
     return rounded(out, "frac", "mean", "std")
 
 
+@query("exp1_lasso_strengths")
+def exp1_lasso(spark, sf):
+    out = compare_selection(
+        fx_cust(spark, sf), "row_id", "label", CUST_NUM, _CAT, "classification",
+        ["lasso"], [], [1], strengths=[0.0005, 0.01, 0.05, 0.1, 1.0],
+    )
+    return rounded(out, "frac", "mean", "std")
+
+
 @query("exp2_tuned_model_comparison")
 def exp2(spark, sf):
     masks = {("all", 1.0): None, ("numeric", 0.5): CUST_NUM}

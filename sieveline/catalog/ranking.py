@@ -146,7 +146,7 @@ def win9(spark, sf):
     return fx_paths(spark, sf).select("fs_method", "frac", r9(piece).alias("piece"))
 
 
-_CURVE = "SELECT p_brand, p_size AS k, 1.0 / p_size + min(p_partkey) / 1e9 AS inertia FROM part WHERE p_size >= 5 GROUP BY p_brand, p_size"
+_CURVE = "SELECT p_brand, p_size AS k, 1.0 / p_size + min(p_partkey) / 1e9 AS inertia FROM part GROUP BY p_brand, p_size"
 
 
 @query("win10_knee", f"""
@@ -154,7 +154,7 @@ WITH c AS ({_CURVE}), g AS (SELECT p_brand, k, 1 - (inertia - min(inertia) OVER
    - (k - min(k) OVER w) / (max(k) OVER w - min(k) OVER w)::DOUBLE AS gap FROM c WINDOW w AS (PARTITION BY p_brand))
 SELECT p_brand, k AS knee FROM g QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY gap DESC, k) = 1""")
 def win10(spark, sf):
-    curve = table(spark, sf, "part").filter("p_size >= 5").groupBy("p_brand", F.col("p_size").alias("k")).agg(
+    curve = table(spark, sf, "part").groupBy("p_brand", F.col("p_size").alias("k")).agg(
         (F.lit(1.0) / F.first("p_size") + F.min("p_partkey") / F.lit(1e9)).alias("inertia")
     )
     return report.knee(curve, "k", "inertia", ["p_brand"])
@@ -349,6 +349,17 @@ def set5(spark, sf):
     return sel.append_missing(ranked, ["p_brand"], _concept_list(spark, sf))
 
 
+@query("sel8_random_concepts", f"""
+WITH f AS (SELECT p_brand || '_' || p_name AS feature, p_brand AS concept FROM (SELECT DISTINCT p_brand, p_name FROM part)),
+c AS (SELECT DISTINCT concept FROM f),
+k AS (SELECT concept FROM c QUALIFY row_number() OVER (ORDER BY {duck_hash(4, 'concept')}, concept) <= floor(0.4::DOUBLE * count(*) OVER ()))
+SELECT feature FROM f JOIN k USING (concept)""")
+def sel8_concepts(spark, sf):
+    df = table(spark, sf, "part")
+    names = df.select(F.concat_ws("_", "p_brand", "p_name").alias("f")).distinct().collect()  # a column list
+    return sel.select_features(df, sorted(r[0] for r in names), "p_size", "random-concept", ratio=0.4, seed=4).select("feature")
+
+
 @query("sel8_random_concepts_and_features", f"""
 WITH c AS (SELECT DISTINCT p_name AS feature FROM part)
 SELECT feature FROM c QUALIFY row_number() OVER (ORDER BY {duck_hash(4, 'feature')}, feature) <= floor(0.4::DOUBLE * count(*) OVER ())""")

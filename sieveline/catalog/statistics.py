@@ -195,6 +195,20 @@ def agg15(spark, sf):
     return rounded(stats.correlations(fx_cust(spark, sf), CUST_NUM), "corr")
 
 
+#: A feature with missing values: customers whose number of orders is a multiple of 5 lack a balance.
+_GAPS = "SELECT * REPLACE (CASE WHEN n_orders % 5 <> 0 THEN c_acctbal END AS c_acctbal) FROM ({})"
+
+
+def with_gaps(df):
+    return df.withColumn("c_acctbal", F.when(F.col("n_orders") % 5 != 0, F.col("c_acctbal")))
+
+
+@query("agg15_correlations_with_missing", f"WITH fx AS ({_GAPS.format(CUST)}) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {d6(f'corr({a}::DOUBLE, {b}::DOUBLE)')} AS corr FROM fx" for a, b in _PAIRS))
+def agg15_gaps(spark, sf):
+    return rounded(stats.correlations(with_gaps(fx_cust(spark, sf)), CUST_NUM), "corr")
+
+
 _LINE_PAIRS = [(a, b) for i, a in enumerate(LINE_NUM) for b in LINE_NUM[i + 1 :]]
 
 

@@ -14,12 +14,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks whose sums are added in one group before the groups are.
+_FAN_IN = 64
+
+
 def features_array(cols: list[str]):
     return F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
 
@@ -38,11 +43,15 @@ def sum_blocks(
     kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]],
     fold: str | None = None,
     weight: str | None = None,
+    missing: bool = False,
 ) -> dict[int, np.ndarray]:
     """Sum over all rows of the arrays a kernel yields per batch, keyed by an int.
 
-    ``kernel(x, y, w, fold)`` sees one Arrow batch as numpy arrays.  A task emits
-    one row per key; the rows are added element-wise by a JVM vector summary.
+    ``kernel(x, y, w, fold)`` sees one Arrow batch as numpy arrays.  Rows with a
+    missing or non-finite number are left out (complete cases); with ``missing``
+    the kernel gets all rows and finds NaN there.  A task emits one row per key;
+    the rows are added element-wise by a JVM vector summary, first within groups of
+    tasks, so that no reducer gets a row from every task.
     """
     packed = df.select(
         features_array(cols).alias("x"),
@@ -54,21 +63,30 @@ def sum_blocks(
     d = len(cols)
 
     def partial(batches):
+        part = TaskContext.get().partitionId()
         acc: dict[int, np.ndarray] = {}
         for b in batches:
             if not b.num_rows:
                 continue
             x, y, w, f = _batch_arrays(b, d)
+            if not missing:
+                whole = np.isfinite(x).all(1) & np.isfinite(y) & np.isfinite(w)
+                x, y, w, f = x[whole], y[whole], w[whole], f[whole]
+                if not len(x):
+                    continue
             for key, m in kernel(x, y, w, f):
                 acc[key] = acc[key] + m if key in acc else np.array(m, dtype=float)
         if acc:
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(list(acc), pa.int32()),
+                "grp": pa.array([part // _FAN_IN] * len(acc), pa.int32()),
                 "v": pa.array([m.ravel() for m in acc.values()], pa.list_(pa.float64())),
             })
 
     sums = (
-        packed.mapInArrow(partial, "key int, v array<double>")
+        packed.mapInArrow(partial, "key int, grp int, v array<double>")
+        .groupBy("key", "grp")
+        .agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
         .groupBy("key")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
         .collect()  # one row per model, feature-sized

@@ -290,8 +290,8 @@ def bin_of(value, edges) -> Column:
 # ---------------------------------------------------------------------------
 
 _LEVEL_BITS = 12
-_LEAF_ROWS = 20_000  # rows of one bucket that may be looked at directly
-_MAX_HISTOGRAM = 4_000_000
+_LEAF_ROWS = 400_000  # rows that may be looked at directly, over all cuts of a level
+_HISTOGRAM_ROWS = 1_000_000  # rows of a level's histogram, over all strata or cuts
 
 
 def exact_cuts(
@@ -312,15 +312,18 @@ def exact_cuts(
     aggregate) locates the bucket of each cut, and only buckets that are still
     large are split by their next bits.  Histograms and the few rows of the last
     buckets are all that leaves the executors, so applying the cuts is a pure
-    projection: the data rows are never shuffled or sorted.
+    projection: the data rows are never shuffled or sorted.  Many strata take more,
+    coarser levels, so what a level collects is bounded by ``_HISTOGRAM_ROWS`` and
+    ``_LEAF_ROWS`` or, beyond, by a few rows for each cut that is returned.
 
     ``key`` is a BIGINT in [0, 2**bits); rows with a NULL key take no part.
     """
     base = df.select(*by, key.alias("_k"), F.col(tie).alias("_t"))
-    shift = max(bits - _LEVEL_BITS, 0)
+    strata = base.select(*by).distinct().count() if by else 1
+    shift = max(bits - _level_bits(strata), 0)
     hist = base.groupBy(*by, F.shiftright("_k", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
     counts: dict[tuple, dict[int, int]] = {}
-    for r in small_rows(hist, _MAX_HISTOGRAM):
+    for r in hist.collect():  # at most 2**_level_bits rows for each stratum
         if r["_b"] is not None:
             counts.setdefault(tuple(r[c] for c in by), {})[r["_b"]] = r["_c"]
 
@@ -332,15 +335,16 @@ def exact_cuts(
         pending += _locate(s, list(enumerate(wanted)), buckets)
 
     while pending:
-        leaves = [p for p in pending if p[4] <= _LEAF_ROWS or shift == 0]
+        leaf = max(16, _LEAF_ROWS // len(pending))
+        leaves = [p for p in pending if p[4] <= leaf or shift == 0]
         deeper = [p for p in pending if p not in leaves]
         if leaves:
             groups = {(p[0], p[2]) for p in leaves}
-            oversized = {(p[0], p[2]) for p in leaves if p[4] > _LEAF_ROWS}
+            oversized = {(p[0], p[2]) for p in leaves if p[4] > leaf}
             rows: dict[tuple, list] = {}
             small = [g for g in groups if g not in oversized]
             if small:
-                for r in _rows_in(base, by, small, shift).collect():  # at most _LEAF_ROWS per cut
+                for r in _rows_in(base, by, small, shift).collect():  # at most _LEAF_ROWS, or 16 per cut
                     rows.setdefault((tuple(r[c] for c in by), r["_b"]), []).append((r["_k"], r["_t"]))
             for s, i, b, offset, _ in leaves:
                 if (s, b) in oversized:  # one key value repeated: order by the tie-break
@@ -350,11 +354,11 @@ def exact_cuts(
                     cuts[s][i] = sorted(rows[(s, b)])[offset]
         if not deeper:
             break
-        finer = max(shift - _LEVEL_BITS, 0)
+        finer = max(shift - _level_bits(len(deeper)), 0)
         inside = _rows_in(base, by, sorted({(p[0], p[2]) for p in deeper}, key=str), shift)
         sub = inside.groupBy(*by, "_b", F.shiftright("_k", finer).alias("_f")).agg(F.count(F.lit(1)).alias("_c"))
         fine: dict[tuple, dict[int, int]] = {}
-        for r in small_rows(sub, _MAX_HISTOGRAM):
+        for r in sub.collect():  # at most 2**_level_bits rows for each cut
             fine.setdefault((tuple(r[c] for c in by), r["_b"]), {})[r["_f"]] = r["_c"]
         pending = []
         for s, i, b, offset, _ in deeper:
@@ -363,6 +367,11 @@ def exact_cuts(
     return cuts
 
 
+def _level_bits(groups: int) -> int:
+    """Key bits that a level may resolve when so many groups are looked at together."""
+    return max(1, min(_LEVEL_BITS, int(math.log2(max(2, _HISTOGRAM_ROWS / max(1, groups))))))
+
+
 def _locate(stratum, wanted: list[tuple[int, int]], buckets: dict[int, int]) -> list[tuple]:
     out, before = [], 0
     order = sorted(wanted, key=lambda w: w[1])

@@ -156,13 +156,14 @@ def groups_by_prefix(columns: DataFrame, pos: str = "pos", feature: str = "featu
 def mrmr(df: DataFrame, cols: list[str], label: str, task: str, k: int | None = None) -> list[tuple[str, float]]:
     """Greedy relevance over redundancy: F statistic / mean absolute correlation with the selected.
 
-    Two data passes in total (F statistics and one Gram matrix); the greedy loop
-    works on column-sized arrays.  Redundancy has a floor of 0.001.
+    Two data passes in total (F statistics and pairwise correlations, both over the
+    rows that have the values); the greedy loop works on column-sized arrays.
+    Redundancy has a floor of 0.001.
     """
     score_fn = stats.f_classif if task == "classification" else stats.f_regression
     relevance = {r["feature"]: r["score"] for r in small_rows(score_fn(df, cols, label))}
     rel = np.array([relevance.get(c) or 0.0 for c in cols])
-    corr = np.abs(stats.correlation_from_gram(stats.gram(df, cols)[0]))
+    corr = np.abs(stats.pair_correlations(df, cols))
     left, chosen, out = list(range(len(cols))), [], []
     for _ in range(k or len(cols)):
         if chosen:
@@ -225,9 +226,13 @@ def select_features(
         return listed([c for c in feature_list if c in cols])
     if method == "all":
         return listed(cols)
-    if method in ("random-concept", "random-feature"):
+    if method == "random-feature":
         picked = sample_names(listed(cols).select("feature"), "feature", ratio, seed)
         return listed([r["feature"] for r in small_rows(picked)])
+    if method == "random-concept":  # a share of the concepts, each with all of its columns
+        concepts = listed(cols).select(F.split_part("feature", F.lit("_"), F.lit(1)).alias("concept")).distinct()
+        picked = {r["concept"] for r in small_rows(sample_names(concepts, "concept", ratio, seed))}
+        return listed([c for c in cols if c.split("_")[0] in picked])
     if method == "filter-mi":
         kept = [r["feature"] for r in small_rows(filter_features(df, cols, label, task, ratio))]
         return listed([c for c in cols if c in set(kept)])

@@ -293,7 +293,7 @@ def mutual_info_knn(df: DataFrame, cols: list[str], label: str, k: int = 3, bloc
 
 
 def gram(df: DataFrame, cols: list[str], fold: str | None = None, weight: str | None = None) -> dict[int, np.ndarray]:
-    """Gram matrices of ``[1, cols]``, one per fold, from a single pass.
+    """Gram matrices of ``[1, cols]``, one per fold, from a single pass over the complete rows.
 
     Each task reduces its rows to one matrix per fold with matrix products, and
     Spark sums the matrices; the driver receives folds x (D+1)^2 numbers.  Sums
@@ -327,18 +327,42 @@ def correlation_from_gram(g: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(corr), corr, 0.0)
 
 
-def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Correlation of every feature pair as (feature_a, feature_b, corr), a < b by position."""
+def pair_correlations(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """Correlation matrix; each pair over the rows in which both values are present.
+
+    One pass: counts, sums, squares and products of every pair around the column
+    means.  A pair without variation (or without rows) has correlation 0.
+    """
     from sieveline.operators.linear import sum_blocks
 
-    means = np.array([float(r or 0.0) for r in df.agg(*[F.avg(F.col(f"`{c}`").cast("double")) for c in cols]).first()])
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    present = lambda c: F.when(~F.isnan(value(c)), value(c))
+    means = np.array([float(r or 0.0) for r in df.agg(*[F.avg(present(c)) for c in cols]).first()])
 
     def kernel(x, _y, w, f):
-        z = np.hstack([np.ones((len(x), 1)), x - means])
-        yield 0, z.T @ z
+        there = np.isfinite(x)
+        z, m = np.where(there, x - means, 0.0), there.astype(float)
+        yield 0, np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
 
     d = len(cols)
-    corr = correlation_from_gram(sum_blocks(df, cols, None, kernel)[0].reshape(d + 1, d + 1))
+    sums = sum_blocks(df, cols, None, kernel, missing=True)
+    if not sums:
+        return np.zeros((d, d))
+    n, sx, sxx, sxy = sums[0].reshape(4, d, d)
+    cov = n * sxy - sx * sx.T
+    var = np.clip(n * sxx - sx * sx, 0, None)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        corr = cov / np.sqrt(var * var.T)
+    return np.where(np.isfinite(corr), corr, 0.0)
+
+
+def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Correlation of every feature pair as (feature_a, feature_b, corr), a < b by position.
+
+    Missing values leave a row out of the pairs that they touch, not out of others.
+    """
+    d = len(cols)
+    corr = pair_correlations(df, cols)
     rows = [(cols[i], cols[j], float(corr[i, j])) for i in range(d) for j in range(i + 1, d)]
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
@@ -346,5 +370,5 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 __all__ = [
     "class_moments", "correlation_from_gram", "correlations", "f_classif", "f_regression", "feature_edges",
     "fisher", "gram", "moments", "mutual_info_binned", "mutual_info_counts", "mutual_info_discrete",
-    "mutual_info_knn", "pearson", "spearman", "to_long",
+    "mutual_info_knn", "pair_correlations", "pearson", "spearman", "to_long",
 ]

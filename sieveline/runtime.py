@@ -16,20 +16,28 @@ class TooManyRows(ValueError):
     """A table that must be model-sized turned out to grow with the data."""
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session names no folder that all executors can reach."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests, a laptop) a local folder is
-    created and registered, once per session.
+    Only a session whose driver and executors are one process (``local[*]``: unit tests,
+    a laptop) gets a local folder of its own, once per session. On a cluster a missing
+    setting is an error, since executors could not read each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
-    return spark.sparkContext.getCheckpointDir()
+    if context.master.split("[")[0] != "local":
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
