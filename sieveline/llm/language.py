@@ -236,7 +236,7 @@ def identify(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     return with_results(out, "row", ["lang_pred", "score"])
 
 
-def keep_identified(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+def keep_identified(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.25) -> DataFrame:
     """``df`` without the rows whose text has no language (no letter), or none with a score of ``least``."""
     row = fresh(df, "whole_row")
     found = identify(df.withColumn(row, F.struct("*")), learn, id_col, text_col, lang_col)
