@@ -250,7 +250,25 @@ def sel10_gaps(spark, sf):
     return rounded(out, "score")
 
 
-@query("sel10_mrmr_embeddings")
+def _mrmr_embeddings_sql(k: int) -> str:
+    picks = []
+    for step in range(1, k):
+        prior = " UNION ALL ".join(f"SELECT feature FROM s{i}" for i in range(step))
+        picks.append(
+            f"s{step} AS MATERIALIZED (SELECT f.feature, f.f / avg(c.r) AS score, {step} AS pos FROM f JOIN c ON c.p = f.feature "
+            f"WHERE c.q IN ({prior}) AND f.feature NOT IN ({prior}) GROUP BY f.feature, f.f ORDER BY score DESC LIMIT 1)")
+    every = " UNION ALL ".join(f"SELECT feature, {d6('score')} AS score, pos::INT AS pos FROM s{i}" for i in range(k))
+    return f"""
+WITH long AS MATERIALIZED (SELECT vec_id, label, 'e' || unnest(range(64)) AS feature, unnest(embedding)::DOUBLE AS v FROM embeddings),
+pc AS (SELECT feature, label, count(v) AS nc, avg(v) AS mu, var_pop(v) AS va FROM long GROUP BY ALL),
+ov AS (SELECT feature, count(v) AS n, avg(v) AS m FROM long GROUP BY feature),
+f AS MATERIALIZED (SELECT feature, (sum(nc * (mu - m) ** 2) / (count(*) - 1)) / (sum(nc * va) / (any_value(n) - count(*))) AS f FROM pc JOIN ov USING (feature) GROUP BY feature),
+c AS MATERIALIZED (SELECT a.feature AS p, b.feature AS q, greatest(abs(corr(a.v, b.v)), 0.001) AS r
+  FROM long a JOIN long b USING (vec_id) WHERE a.feature <> b.feature GROUP BY ALL),
+s0 AS MATERIALIZED (SELECT feature, f AS score, 0 AS pos FROM f ORDER BY f DESC LIMIT 1), {", ".join(picks)} {every}"""
+
+
+@query("sel10_mrmr_embeddings", _mrmr_embeddings_sql(20))
 def sel10_vec(spark, sf):
     df = table(spark, sf, "embeddings")
     cols = [f"e{i}" for i in range(64)]

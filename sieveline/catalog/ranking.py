@@ -349,6 +349,56 @@ def set5(spark, sf):
     return sel.append_missing(ranked, ["p_brand"], _concept_list(spark, sf))
 
 
+def _one_hot(spark, sf):
+    """Two columns of every concept of the saved scores."""
+    names = table(spark, sf, "part").select("p_name").distinct().collect()  # a concept list
+    return sorted(f"{r[0]}_{s}" for r in names for s in "ab")
+
+
+_M0 = "m0 AS (SELECT min(llm_model) AS m FROM fx)"
+
+
+def _m0(spark, sf):
+    return _s(spark, sf).agg(F.min("llm_model")).first()[0]
+
+
+def _dispatched(spark, sf, method, saved=None, **size):
+    df = table(spark, sf, "part")
+    saved = _s(spark, sf) if saved is None else saved
+    out = sel.select_features(df, _one_hot(spark, sf), "p_size", f"{method}:{_m0(spark, sf)}", saved=saved, **size)
+    return out.select("feature")
+
+
+_TWO = ", (VALUES ('a'), ('b')) t(s) WHERE llm_model = m"
+_CUT = 0.02
+
+
+@query("sel_dispatch_llm_ratio", _ORDERED + f", {_M0} SELECT concept || '_' || s AS feature FROM o, m0{_TWO} AND pos <= floor(0.3::DOUBLE * n)")
+def dispatch_ratio(spark, sf):
+    return _dispatched(spark, sf, "llm-ratio", ratio=0.3)
+
+
+@query("sel_dispatch_llm_topk", _ORDERED + f", {_M0} SELECT concept || '_' || s AS feature FROM o, m0{_TWO} AND pos <= 7")
+def dispatch_topk(spark, sf):
+    return _dispatched(spark, sf, "llm-topk", topk=7)
+
+
+@query("sel_dispatch_llm_threshold", _ORDERED + f", {_M0} SELECT concept || '_' || s AS feature FROM o, m0{_TWO} AND score >= {_CUT}")
+def dispatch_threshold(spark, sf):
+    return _dispatched(spark, sf, "llm-threshold", threshold=_CUT)
+
+
+@query("sel_dispatch_llm_rank", _ORDERED + f""", {_M0},
+h AS (SELECT concept, pos FROM o, m0 WHERE llm_model = m AND pos % 2 = 1),
+z AS (SELECT DISTINCT concept FROM fx WHERE concept NOT IN (SELECT concept FROM h)),
+k AS (SELECT concept, row_number() OVER (ORDER BY pos) AS p FROM h UNION ALL
+      SELECT concept, (SELECT count(*) FROM h) + row_number() OVER (ORDER BY {duck_hash(1, 'concept')}, concept) FROM z)
+SELECT concept || '_' || s AS feature FROM k, (VALUES ('a'), ('b')) t(s) WHERE p <= floor(0.8::DOUBLE * (SELECT count(*) FROM k))""")
+def dispatch_rank(spark, sf):
+    ranked = sel.ordered(_s(spark, sf), "concept", ["llm_model"]).filter("pos % 2 = 1")
+    return _dispatched(spark, sf, "llm-rank", saved=ranked, ratio=0.8)
+
+
 @query("sel8_random_concepts", f"""
 WITH f AS (SELECT p_brand || '_' || p_name AS feature, p_brand AS concept FROM (SELECT DISTINCT p_brand, p_name FROM part)),
 c AS (SELECT DISTINCT concept FROM f),

@@ -91,7 +91,7 @@ def dedupe_in_order(ranked: DataFrame, by: list[str], name: str = "concept", pos
 
 def append_missing(ranked: DataFrame, by: list[str], concepts: DataFrame, seed: int = 1) -> DataFrame:
     """Concepts absent from a list follow it in a seeded random order."""
-    groups = ranked.groupBy(*by).agg((F.max("pos") + 1).alias("_n"))
+    groups = ranked.groupBy(*by).agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_n"))
     names = [r["concept"] for r in small_rows(concepts.select("concept"))]
     wanted = groups.withColumn("concept", F.explode(F.array(*[F.lit(n) for n in names])))
     missing = wanted.join(ranked.select(*by, "concept"), [*by, "concept"], "left_anti")
@@ -177,6 +177,31 @@ def mrmr(df: DataFrame, cols: list[str], label: str, task: str, k: int | None =
     return out
 
 
+#: The parts of ``llm-ratio[:model:decoding:context:examples]`` after the kind: columns of saved tables.
+SAVED_KEYS = ["llm_model", "decoding", "context", "examples"]
+
+
+def saved_concepts(
+    saved: DataFrame, method: str, concepts: DataFrame, ratio=None, topk=None, threshold=None, seed=1
+) -> DataFrame:
+    """Concepts that saved scores (concept, score) or rankings (concept, pos) select.
+
+    ``method`` is ``llm-ratio``, ``llm-topk``, ``llm-threshold`` or ``llm-rank``; fields after
+    a colon pick the rows of ``saved`` whose key columns have those values.  Only the given
+    ``concepts`` count; those that a ranking does not name follow it in seeded order.
+    """
+    kind, *fields = method.split(":")
+    for name, value in zip(SAVED_KEYS, fields, strict=False):
+        if value and name in saved.columns:
+            saved = saved.filter(F.col(name).cast("string") == value)
+    mine = saved.join(concepts.select("concept").distinct(), "concept", "left_semi")
+    if kind == "llm-rank":
+        full = append_missing(dedupe_in_order(mine, []), [], concepts, seed)
+        return full.filter(F.col("pos") < topk) if topk is not None else prefix_by_ratio(full, ratio)
+    size = {"llm-ratio": {"ratio": ratio}, "llm-topk": {"topk": topk}, "llm-threshold": {"threshold": threshold}}[kind]
+    return select_by_score(mine.select("concept", "score"), "concept", **size, seed=seed)
+
+
 SCORE_FUNCTIONS = {
     "mi": lambda df, cols, label, task: stats.mutual_info_binned(
         df, cols, label, label_bins=10 if task == "regression" else None
@@ -205,9 +230,13 @@ def filter_features(df, cols, label, task, ratio: float, score_fn="mi") -> DataF
 
 def select_features(
     df, cols, label, method, task="classification", ratio=None, topk=None, threshold=None, seed=1, fold=None,
-    feature_list=None, strength=1.0,
+    feature_list=None, strength=1.0, saved=None,
 ) -> DataFrame:
-    """(feature, pos, score) of one selection method over encoded features."""
+    """(feature, pos, score) of one selection method over encoded features.
+
+    The ``llm-*`` methods select concepts by the ``saved`` scores or rankings and keep all
+    columns of a selected concept.
+    """
     from sieveline.operators import linear
     from sieveline.operators.split import sample_names
 
@@ -233,6 +262,10 @@ def select_features(
         concepts = listed(cols).select(F.split_part("feature", F.lit("_"), F.lit(1)).alias("concept")).distinct()
         picked = {r["concept"] for r in small_rows(sample_names(concepts, "concept", ratio, seed))}
         return listed([c for c in cols if c.split("_")[0] in picked])
+    if method.startswith("llm-"):
+        concepts = listed(cols).select(F.split_part("feature", F.lit("_"), F.lit(1)).alias("concept")).distinct()
+        picked = {r["concept"] for r in small_rows(saved_concepts(saved, method, concepts, ratio, topk, threshold, seed))}
+        return listed([c for c in cols if c.split("_")[0] in picked])
     if method == "filter-mi":
         kept = [r["feature"] for r in small_rows(filter_features(df, cols, label, task, ratio))]
         return listed([c for c in cols if c in set(kept)])

@@ -25,11 +25,13 @@ def encoded_parts(df: DataFrame, row_id: str, label: str, numeric, categorical,
 def compare_selection(
     df: DataFrame, row_id: str, label: str, numeric: list[str], categorical: list[str], task: str,
     methods: list[str], ratios: list[float], seeds: list[int], strengths: list[float] = (),
+    saved: DataFrame | None = None,
 ) -> DataFrame:
     """(fs_method, ratio, frac, mean, std): test metric of a linear model per method and ratio over seeds.
 
     ``lasso`` is run at each of ``strengths``, which then stands in the ratio column;
-    a strength that selects nothing is a row with frac 0 (the intercept alone).  Each seed reads, splits and encodes the source once for all methods and
+    a strength that selects nothing is a row with frac 0 (the intercept alone).  ``llm-ratio``
+    and ``llm-rank`` methods select by the ``saved`` table.  Each seed reads, splits and encodes the source once for all methods and
     ratios.  A method's full order is computed once and cut at every ratio.
     """
     spark = df.sparkSession
@@ -40,7 +42,7 @@ def compare_selection(
         train, test = table.filter("split != 'test'"), take_split(table, "test")
         picks = []
         for method in methods:
-            for ratio, chosen in _prefixes(train, cols, label, method, task, ratios, seed, strengths):
+            for ratio, chosen in _prefixes(train, cols, label, method, task, ratios, seed, strengths, saved):
                 picks.append((method, ratio, chosen))
         subsets = sorted({tuple(sorted(p[2])) for p in picks})
         specs = [linear.LogisticSpec([cols.index(c) for c in s]) for s in subsets]
@@ -55,7 +57,7 @@ def compare_selection(
     return path_table(rows, ["fs_method", "ratio", "frac"], "metric")
 
 
-def _prefixes(train, cols, label, method, task, ratios, seed, strengths=()):
+def _prefixes(train, cols, label, method, task, ratios, seed, strengths=(), saved=None):
     """(ratio or strength, feature names) of every cell of a method."""
     if method == "lasso":
         cells = [(s, select_features(train, cols, label, method, task, strength=s)) for s in strengths]
@@ -73,7 +75,7 @@ def _prefixes(train, cols, label, method, task, ratios, seed, strengths=()):
     out = []
     for r, n in sizes:
         if n > 0:
-            kept = select_features(train, cols, label, method, task, ratio=r, seed=seed)
+            kept = select_features(train, cols, label, method, task, ratio=r, seed=seed, saved=saved)
             names = [row["feature"] for row in kept.collect()]  # one row per feature
             if names:
                 out.append((r, names))
