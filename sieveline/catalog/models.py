@@ -390,9 +390,10 @@ def imp1(spark, sf):
 
 @query("imp1_permutation_importance_auroc")
 def imp1_auc(spark, sf):
-    df, cols = _encoded(spark, sf)
-    model = linear.logistic_ml(df, cols, "y")
-    out = imp.permutation(df, "row_id", cols, "y", model.intercept, model.coefficients.toArray(), "classification", n_repeats=5)
+    parts, cols = encoded_parts(fx_cust(spark, sf), "row_id", "label", CUST_NUM, _CAT, "classification", 1)
+    model = linear.logistic_ml(parts.filter("split != 'test'"), cols, "label")
+    test = parts.filter("split = 'test'")
+    out = imp.permutation(test, "row_id", cols, "label", model.intercept, model.coefficients.toArray(), "classification", n_repeats=30)
     return rounded(out, "score")
 
 

@@ -10,6 +10,7 @@ not one fit per cell.
 from __future__ import annotations
 
 import itertools
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,7 +156,9 @@ def logistic_fit_many(
 
     Minimises ``sum w_i logloss_i + |beta|^2 / (2C)`` with a free intercept, for
     every spec at once: a step is one pass over the rows whatever the number of
-    specs.  ``start`` holds earlier coefficients (intercept first).  Steps are halved for a spec whose objective went up.
+    specs.  ``start`` holds earlier coefficients (intercept first).  Steps are halved for a
+    spec whose objective went up.  A fit that has not settled after ``iterations`` passes is
+    warned about and returned at the best point whose objective was computed.
     """
     counts = _label_counts(df, label, fold)
     class_w = []
@@ -169,6 +172,7 @@ def logistic_fit_many(
     steps: list[np.ndarray | None] = [None] * len(specs)
     best = [np.inf] * len(specs)
     done = [False] * len(specs)
+    known = [b.copy() for b in betas]
 
     for _ in range(iterations):
         active = [i for i in range(len(specs)) if not done[i]]
@@ -201,7 +205,7 @@ def logistic_fit_many(
                 steps[i] = steps[i] / 2
                 betas[i] = beta - steps[i]
                 continue
-            best[i] = objective
+            best[i], known[i] = objective, beta
             grad = v[1 : d + 1] + ridge * beta
             hess = v[d + 1 :].reshape(d, d) + np.diag(ridge) + 1e-10 * np.eye(d)
             step = -np.linalg.lstsq(hess, grad, rcond=None)[0]
@@ -209,9 +213,16 @@ def logistic_fit_many(
                 done[i] = True
             steps[i] = step
             betas[i] = beta + step
+    _warn_open(done, iterations)
+    betas = [b if ok else k for b, k, ok in zip(betas, known, done, strict=True)]
     return [(float(b[0]), b[1:]) for b in betas]
 
 
+def _warn_open(done: list[bool], passes: int) -> None:
+    if not all(done):
+        warnings.warn(f"{done.count(False)} of {len(done)} fits did not settle in {passes} passes", stacklevel=3)
+
+
 # --- scoring many models in one pass -----------------------------------------
 
 
@@ -400,6 +411,7 @@ def _group_lasso_fit(train, cols, label, lambdas, members, scale, starts, passes
     steps: list[np.ndarray | None] = [None] * len(lambdas)
     best = [np.inf] * len(lambdas)
     done = [False] * len(lambdas)
+    known = [b.copy() for b in betas]
     for _ in range(passes):
         active = [i for i in range(len(lambdas)) if not done[i]]
         if not active:
@@ -424,13 +436,14 @@ def _group_lasso_fit(train, cols, label, lambdas, members, scale, starts, passes
                 steps[i] = steps[i] / 2
                 betas[i] = beta - steps[i]
                 continue
-            best[i] = objective
+            best[i], known[i] = objective, beta
             g, h = v[2 : d + 3] / n, v[d + 3 :].reshape(d + 1, d + 1) / n + 1e-8 * np.eye(d + 1)
             new = _group_quadratic(h, g, beta, members, pen)
             steps[i] = new - beta
             betas[i] = new
             done[i] = bool(np.max(np.abs(steps[i])) < tol)
-    return betas
+    _warn_open(done, passes)
+    return [b if ok else k for b, k, ok in zip(betas, known, done, strict=True)]
 
 
 def group_lasso_path(train, cols, label, groups: list[int], lambdas=None, evaluate_on=None, passes=15, tol=1e-5):

@@ -3,7 +3,10 @@
 Vectors are normalised, assigned to the nearest of a few pivots and packed into
 blocks of bounded size.  A block meets another block in one task, which keeps
 only the k best per vector, so neither all pairs nor a whole cell is ever
-materialised; block pairs that the triangle inequality rules out are not formed.
+materialised.  Block pairs that the triangle inequality rules out are not formed.
+That prunes clustered vectors of few dimensions; on spread-out vectors of tens of
+dimensions it rules out nothing and every block meets every other, so the work
+grows with the square of the rows.
 """
 
 from __future__ import annotations
