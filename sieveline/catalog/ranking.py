@@ -293,7 +293,7 @@ def sel5(spark, sf):
 
 
 def _typo(c):
-    return F.concat(F.substring(c, 1, 3), F.substring(c, 5, 100), F.lit("s"))
+    return F.concat(F.substring(c, 1, 3), F.substr(c, F.lit(5)), F.lit("s"))
 
 
 # similarity by an independent quadratic program in SQL over the distinct texts

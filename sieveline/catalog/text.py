@@ -152,7 +152,7 @@ SELECT p_brand, chr(10) || 'I used the features [''' || a || '''], ' || chr(10)
 def llm7(spark, sf):
     names = F.sort_array(F.collect_set("p_name"))  # a concept list per brand
     state = table(spark, sf, "part").groupBy("p_brand").agg(names.alias("n")).select(
-        "p_brand", F.slice("n", 1, 2).alias("chosen"), F.slice("n", 3, 10_000).alias("candidates"),
+        "p_brand", F.slice("n", 1, 2).alias("chosen"), F.slice("n", F.lit(3), F.greatest(F.size("n") - 2, F.lit(0))).alias("candidates"),
         F.lit("AUROC").alias("metric"), F.lit("0.75").alias("value"))
     return tp.render_next(state, "llama-2-7b-chat").select("p_brand", "prompt")
 
