@@ -103,7 +103,8 @@ def llm3(spark, sf):
 
 
 @query("llm4_average_scores", _PARSED + f"""
-SELECT concept, {d9('avg(score)')} AS score, string_agg(reasoning, '|' ORDER BY sample_id) AS explanations FROM p GROUP BY concept""")
+SELECT concept, {d9('avg(score)')} AS score, string_agg(CASE WHEN score IS NULL THEN
+  coalesce(nullif(regexp_extract(text, '(?s)\\{{.*\\}}', 0), ''), text) ELSE reasoning END, '|' ORDER BY sample_id) AS explanations FROM p GROUP BY concept""")
 def llm4(spark, sf):
     avg = tp.average_scores(tp.parse_scores(fx_completions(spark, sf)), ["concept"])
     joined = F.when(F.size("explanations") > 0, F.array_join("explanations", "|"))

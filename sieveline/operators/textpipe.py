@@ -129,8 +129,14 @@ def parse_scores(completions: DataFrame) -> DataFrame:
 def average_scores(parsed: DataFrame, by: list[str]) -> DataFrame:
     """(by, score, explanations): mean over usable samples, all explanations in sample order.
 
-    The samples of one concept and variant are few by design (a handful per cell).
+    A sample without a score explains itself by what could not be parsed: the part in
+    braces, or the whole reply.  The samples of one concept and variant are few by design
+    (a handful per cell).
     """
+    braced = tx.braces("text")
+    unparsed = F.when(F.length(braced) > 0, braced).otherwise(F.col("text"))
+    reason = F.when(F.col("score").isNull(), unparsed).otherwise(F.col("reasoning"))
+    parsed = parsed.withColumn("reasoning", reason)
     note = F.struct("sample_id", F.col("reasoning"))
     return parsed.groupBy(*by).agg(
         F.avg("score").alias("score"),
