@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from awkward import SCHEMA, rows
 from sieveline.llm import language, mixing, packing, pitman_yor, simhash, substring_dedup, token_files, toxicity
+from sieveline.llm.arrays import unpacked
 
 
 @pytest.fixture(scope="module")
@@ -290,6 +291,28 @@ def test_seating_matches_the_expected_number_of_tables():
     assert got == pytest.approx(sum(t * p for t, p in exact.items()), rel=0.02)
 
 
+def test_a_frequent_token_is_spread(spark):
+    """The end of every text and a word in every text meet in no one block."""
+    rows = spark.createDataFrame([(i, True, f"a{i} the b{i}".encode()) for i in range(3000)], "id long, learn boolean, text binary")
+    frequent, spread = pitman_yor._frequent(rows, 3000, 48)
+    assert pitman_yor._END in frequent
+    blocks = pitman_yor._blocks(rows, 48, 16, frequent, spread).filter("kind = 2").collect()
+    sizes = [len(unpacked(b["c"], np.int64)) for b in blocks]
+    assert sum(sizes) == 4 * 3000 and max(sizes) < 2 * 4 * 3000 / 48
+
+
+def test_each_context_has_its_own_restaurant(spark):
+    """Of 70,000 words that occur once, each is the context of one customer; the start of one a text."""
+    texts = [(i, True, " ".join(f"w{j}" for j in range(i * 1000, i * 1000 + 1000)).encode()) for i in range(70)]
+    rows = spark.createDataFrame(texts, "id long, learn boolean, text binary")
+    frequent, spread = pitman_yor._frequent(rows, 70, 48)
+    table = pitman_yor._blocks(rows, 48, 16, frequent, spread)
+    model = {"strength": 1.0, "seed": 11, "states": [], "vocabulary": 0, "discount": 0.5, "root_discount": 0.5}
+    answers, _, counts = pitman_yor._sweep(table, [], model, len(frequent))
+    found = Counter(x for r in answers.filter("bucket >= 0").collect() for x in unpacked(r["b"], np.int64).tolist())
+    assert counts[0] == 70 * 1001 and set(found) == {1, 70} and found[1] == 70_000
+
+
 def test_context_lowers_perplexity(spark):
     text = [" ".join(["up", "down"] * 30), " ".join(["left", "right"] * 30)]
     df = spark.createDataFrame([(i, text[i % 2], i < 20) for i in range(24)], "doc_id long, text string, learn boolean")
