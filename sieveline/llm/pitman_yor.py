@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from sieveline.llm.arrays import batch_of, by_group, packed, runs, slices, unpacked, word_hashes, words
 from sieveline.llm.frames import stored
 
-CHUNK_TOKENS, CHUNK_TEXTS = 2 << 20, 1 << 16
+CHUNK_TOKENS, CHUNK_TEXTS = 3 << 19, 1 << 16
 #: Bytes of text for a block, texts a block in the sample for frequent tokens, parts of a block.
-BLOCK_BYTES, SAMPLE, SPLIT = 12 << 20, 40, 4
+BLOCK_BYTES, SAMPLE, SPLIT = 8 << 20, 40, 4
 _END, _START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x57A7257A7257A725)
 _HALF = np.uint64(32)
 
@@ -106,10 +106,15 @@ def _places(names: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nda
 def _chunks(buckets: int, frequent: np.ndarray, spread: np.ndarray):
     def emit(chunk, ids, named, learns, sizes, tokens):
         learns, sizes = np.concatenate(learns), np.concatenate(sizes)
-        names, of = np.unique(np.concatenate([*tokens, [_START]]), return_inverse=True)
+        tokens.append(np.array([_START]))
+        tokens[:] = [np.concatenate(tokens)]
+        names, of = np.unique(tokens.pop(), return_inverse=True)
         context = np.concatenate([of[-1:], of[:-2]])
         context[np.cumsum(sizes)[:-1]] = of[-1]
-        pair, of = np.unique(of[:-1].astype(np.uint64) << _HALF | context.astype(np.uint64), return_inverse=True)
+        pair = of[:-1].astype(np.uint64) << _HALF
+        pair |= context.astype(np.uint64)
+        del of, context
+        pair, of = np.unique(pair, return_inverse=True)
         token, context = (pair >> _HALF).astype(np.int64), pair.astype(np.uint32)
         width = np.ones(len(names), np.int64)
         at, number = _places(names, frequent)
@@ -119,7 +124,9 @@ def _chunks(buckets: int, frequent: np.ndarray, spread: np.ndarray):
         rank = np.empty(len(order), np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
         token, context = token[order], names[context[order]]
-        key = rank[of] << np.uint64(16) | np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+        key = rank[of] << np.uint64(16)
+        del of, rank
+        key |= np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
         key.sort()
         at = runs(key)
         key, count = key[at[:-1]], np.diff(at).astype(np.uint32)
@@ -134,7 +141,8 @@ def _chunks(buckets: int, frequent: np.ndarray, spread: np.ndarray):
             every.append(each)
             yield _row(int(b), chunk, 1, packed(names[token[s][at[:-1]]]), packed(each), packed(context[s]), packed(customers[s]))
         blobs = [np.concatenate(ids), sizes, learns.astype(np.uint8), np.concatenate(named).astype(np.uint8), np.concatenate(every), np.diff(rank, prepend=0).astype(np.uint32), text, count]
-        yield _row((chunk >> 32) % buckets, chunk, 0, *map(packed, blobs))
+        # a group of its own, so that no block's task holds it
+        yield _row(-1 - ((chunk >> 32) * 8191 + chunk % (1 << 32)) % (1 << 30), chunk, 0, *map(packed, blobs))
 
     def task(batches):
         number, held, rows, kept = TaskContext.get().partitionId() << 32, 0, 0, [[] for _ in range(5)]
@@ -157,7 +165,7 @@ def _chunks(buckets: int, frequent: np.ndarray, spread: np.ndarray):
 def _gather(groups: int, frequent: np.ndarray):
     """A block's pairs from all chunks in one row, and who asks for which; rows of texts pass through."""
 
-    def task(key, batches):
+    def task(group, batches):
         sent = []
         for batch in batches:
             kind = batch.column("kind").to_numpy()
@@ -169,19 +177,25 @@ def _gather(groups: int, frequent: np.ndarray):
         if not sent:
             return
         sent.sort(key=lambda s: s[0])
-        names = np.unique(np.concatenate([s[1] for s in sent]))
-        token = np.concatenate([np.repeat(np.searchsorted(names, s[1]), s[2]) for s in sent])
-        contexts, of = np.unique(np.concatenate([s[3] for s in sent]), return_inverse=True)
-        every, of = np.unique(token.astype(np.uint64) << _HALF | of.astype(np.uint64), return_inverse=True)
-        customers = np.bincount(of, weights=np.concatenate([s[4] for s in sent]), minlength=len(every)).astype(np.int64)
-        each = np.bincount((every >> _HALF).astype(np.int64), minlength=len(names)).astype(np.uint32)
-        entries = np.array([len(s[3]) for s in sent], np.int64)
+        chunks, found, each, contexts, learned = map(list, zip(*sent, strict=True))
+        sent.clear()
+        entries = np.array([len(c) for c in contexts], np.int64)
         first = np.cumsum(entries) - entries
+        contexts, of = np.unique(np.concatenate(contexts), return_inverse=True)
+        names = np.unique(np.concatenate(found))
+        key = np.concatenate([np.repeat(np.searchsorted(names, n).astype(np.uint32), e) for n, e in zip(found, each, strict=True)]).astype(np.uint64) << _HALF
+        key |= of.astype(np.uint64)
+        del of, found
+        every, of = np.unique(key, return_inverse=True)
+        del key
+        customers = np.bincount(of, weights=np.concatenate(learned), minlength=len(every)).astype(np.int64)
+        each = np.bincount((every >> _HALF).astype(np.int64), minlength=len(names)).astype(np.uint32)
         steps = np.diff(of, prepend=0)
         steps[first] = of[first]
+        del of, learned
         cuts = np.searchsorted(_scaled(contexts, groups), np.arange(groups + 1))
-        blobs = [each, every.astype(np.uint32), customers, *_places(names, frequent), cuts, contexts, np.stack([[s[0] for s in sent], entries]).astype(np.int64), steps.astype(np.uint32)]
-        yield batch_of(_ROWS, [[x] for x in _row(key[0], sent[0][0], 2, *map(packed, blobs))])
+        blobs = [each, every.astype(np.uint32), customers, *_places(names, frequent), cuts, contexts, np.stack([chunks, entries]).astype(np.int64), steps.astype(np.uint32)]
+        yield batch_of(_ROWS, [[x] for x in _row(group[0], chunks[0], 2, *map(packed, blobs))])
 
     return task
 
