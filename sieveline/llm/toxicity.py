@@ -1,8 +1,8 @@
 """Toxicity: significant maximal-scoring segments of token log-odds.
 
-0. Of labelled rows that share a class and their smallest hashed triple of tokens, as copies
-   and most near copies do, one teaches. Else the rare words of a text with a thousand
-   copies would look like evidence.
+0. Of labelled rows that share a class and the whole sequence of their tokens (by a 64-bit
+   hash), one teaches. Else the rare words of a text with a thousand copies would look like
+   evidence. Near copies differ in a token and teach each.
 1. The teaching rows count, for every token and every stem (first 3 to 6 bytes of a token), the
    toxic and the clean texts that hold it. Tokens are runs of letters, A-Z folded. Tokens
    and stems share ``2**bits`` hashed slots, so counts and model have a fixed size whatever
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.arrays import batch_of, by_group, packed, slices, unpacked, window_hashes, word_hashes, words
+from sieveline.llm.arrays import batch_of, by_group, mix, packed, slices, unpacked, word_hashes, words
 from sieveline.llm.frames import kept, named, schema_of, with_results
 
 _SLICES = 64
@@ -62,19 +62,19 @@ _SIGNS = pa.schema([("id", pa.int64()), ("sign", pa.int64())])
 
 
 def _sign(batches):
-    """Each text's smallest hash of three consecutive tokens (of all its tokens, if fewer)."""
+    """A hash of each text's sequence of tokens."""
     for rows, data, offsets in slices(batches, "text"):
         starts, ends, before = words(data, offsets, _BREAKS)
-        hashes = word_hashes(data, starts, ends, fold=True)
+        place = np.arange(len(starts)) - np.repeat(before[:-1], np.diff(before))
+        hashes = mix(word_hashes(data, starts, ends, fold=True) + mix(place.astype(np.uint64)))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes, dtype=np.uint64)])
-        signs = sums[before[1:]] - sums[before[:-1]]
-        triples = window_hashes(hashes, 3)
-        long = np.flatnonzero(np.diff(before) >= 3)
-        if len(long):
-            cuts = np.stack([before[long], before[long + 1] - 2], 1).ravel()
-            # reduceat takes every stretch between cuts; the even ones are the texts'
-            signs[long] = np.minimum.reduceat(np.append(triples, np.uint64(0)), cuts)[::2]
-        yield batch_of(_SIGNS, [rows.column("id"), signs.view(np.int64)])
+        yield batch_of(_SIGNS, [rows.column("id"), (sums[before[1:]] - sums[before[:-1]]).view(np.int64)])
+
+
+def teaching(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, toxic) of the labelled rows that teach: all but copies within a class; ``texts``: id, text."""
+    signs = texts.mapInArrow(_sign, "id long, sign long").join(labels, "id")
+    return signs.groupBy("sign", "toxic").agg(F.min("id").alias("id")).select("id", "toxic").distinct()
 
 
 _COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
@@ -218,8 +218,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     spark = df.sparkSession
     labels = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signs = texts.mapInArrow(_sign, "id long, sign long").join(labels, "id")
-    teach = kept(signs.groupBy("sign", "toxic").agg(F.min("id").alias("id")).select("id", "toxic").distinct())
+    teach = kept(teaching(texts, labels))
     counts, n = token_counts(texts.join(teach, "id").select("text", "toxic"), bits)
     table = slot_scores(counts, n, prior, errors) - drift
     lam = decay(table, counts[0].astype(float))

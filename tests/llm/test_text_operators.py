@@ -345,6 +345,17 @@ def test_toxic_passages(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_texts_that_share_a_passage_all_teach(spark):
+    """Only copies (but for case and what is no letter) of a class are left out."""
+    passage = " ".join(f"{a}{b}" for a in "abcdefghijkl" for b in "mnopqrstuvwx")
+    own = ["".join("abcdefghij"[int(c)] for c in str(100 + i)) for i in range(50)]
+    texts = [(i, f"{passage} {w} own".encode()) for i, w in enumerate(own)]
+    texts += [(90, f"{passage.upper()}, {own[0]} 12 own!".encode()), (91, f"own {passage} {own[0]}".encode()), (92, texts[0][1])]
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(50)), (90, 0), (91, 0), (92, 1)], "id long, toxic int")
+    out = toxicity.teaching(spark.createDataFrame(texts, "id long, text binary"), labels).collect()
+    assert sorted((r.id, r.toxic) for r in out) == [*((i, i % 2) for i in range(50)), (91, 0), (92, 1)]
+
+
 def test_maximal_segments_match_a_plain_definition():
     """Each segment beats all its parts, and nothing larger does so (checked by brute force)."""
     draw = np.random.default_rng(3)
