@@ -21,7 +21,7 @@ def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or for which no language has a probability of 0.25, go."""
+    """Texts without a letter, or for which no language has a probability of 0.25 beside junk, go."""
     return language.keep_identified(docs, learn=~language.held_out("doc_id", 4, 2), least=0.25)
 
 

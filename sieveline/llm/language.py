@@ -18,6 +18,9 @@ results. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -172,7 +175,18 @@ def train(sample: list[tuple[str, bytes]], epochs: int = 3, seed: int = 0) -> By
     return ByteCnn(classes, seed=seed).fit(x, np.array(labels)[keep], epochs=epochs, seed=seed + 1)
 
 
-def _identify(shared):
+def junk(sample: list[tuple[str, bytes]], seed: int = 5) -> list[tuple[str, bytes]]:
+    """As many pieces of no language as the largest one has: hexadecimal, base64, and texts with their bytes shuffled."""
+    draw = np.random.default_rng(seed)
+    out = []
+    for i in range(max(Counter(lang for lang, _ in sample).values(), default=0)):
+        noise = draw.bytes(int(draw.integers(40, 1024)))
+        text = np.frombuffer(sample[int(draw.integers(len(sample)))][1], np.uint8)
+        out.append(("und", [noise.hex().encode(), base64.b64encode(noise), draw.permutation(text).tobytes()][i % 3][:1024]))
+    return out
+
+
+def _identify(shared, none: bool):
     def task(batches):
         classes, tables = shared.value
         for batch in batches:
@@ -190,6 +204,8 @@ def _identify(shared):
                         np.add.at(total, at, probabilities(tables, x) * weight[:, None])
                     some = np.flatnonzero(lengths[begin:end]) + begin
                     share = total[some - begin] / lengths[some][:, None]
+                    if none and "und" in classes:
+                        share[:, classes.index("und")] = 0
                     best = share.argmax(1)
                     names[some] = np.array(classes, object)[best]
                     scores[some] = np.clip(share[np.arange(len(some)), best], 0, 1)
@@ -221,24 +237,26 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
-def identify(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800, epochs: int = 3) -> DataFrame:
+def identify(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800, epochs: int = 3, none: bool = False) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``; rows where ``learn`` holds and the language is known teach.
 
-    These two replace columns of the same name.
+    These two replace columns of the same name. With ``none``, a further class learned from
+    :func:`junk` takes its part of the probability but is not named.
     """
     taught = df.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     taught = taught.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = train(training_sample(taught, per_language), epochs)
+    sample = training_sample(taught, per_language)
+    model = train(sample + junk(sample) if none else sample, epochs)
     shared = df.sparkSession.sparkContext.broadcast((model.classes, model.tables()) if model else ([], None))
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = df.select(F.struct("*").alias("row"), F.col(text_col).cast("binary").alias("text"), letters.alias("letters"))
-    out = rows.mapInArrow(_identify(shared), schema_of(rows, ["row"], "lang_pred string, score double"))
+    out = rows.mapInArrow(_identify(shared, none), schema_of(rows, ["row"], "lang_pred string, score double"))
     return with_results(out, "row", ["lang_pred", "score"])
 
 
 def keep_identified(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.25) -> DataFrame:
-    """``df`` without the rows whose text has no language (no letter), or none with a score of ``least``."""
+    """``df`` without the rows whose text has no letter, or no language with a score of ``least`` beside junk's."""
     row = fresh(df, "whole_row")
-    found = identify(df.withColumn(row, F.struct("*")), learn, id_col, text_col, lang_col)
+    found = identify(df.withColumn(row, F.struct("*")), learn, id_col, text_col, lang_col, none=True)
     found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return found.select(*[F.col(row).getField(c).alias(c) for c in df.columns])

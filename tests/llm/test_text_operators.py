@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import zlib
@@ -391,6 +392,17 @@ def test_language_on_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_text_in_no_learned_language_goes(spark):
+    """Junk with letters goes, labelled texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = [hashlib.sha512(str(i).encode()).hexdigest() * 3 for i in range(40)]
+    noise += [base64.b64encode(hashlib.sha512(x.encode()).digest() * 4).decode() for x in noise]
+    both = docs.unionByName(spark.createDataFrame([(-1 - i, x, None) for i, x in enumerate(noise)], docs.schema))
+    kept = {r.doc_id for r in language.keep_identified(both, learn=~language.held_out("doc_id", 4, 2)).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).collect()}
+    assert min(kept) >= 0 and len(clean & kept) >= 0.99 * len(clean)
+
+
 def test_language_of_awkward_rows(docs):
     learn = F.col("doc_id") < 50
     out = language.identify(docs, learn, per_language=20, epochs=1)
