@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.runtime import scratch_path
-from sieveline.llm import language, lattice, mixing, packing, pitman_yor, simhash, substring_dedup, token_files, topk, toxicity
+from sieveline.llm import language, lattice, mixing, packing, pitman_yor, simhash, substring_dedup, token_files, token_store, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language.held_out("doc_id", 7, 2)
     out = pitman_yor.score_texts(docs, learn=~held)
     return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op13_token_store")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "token-store")
+    token_store.write_token_store(docs, path)
+    return token_store.read_token_store(spark, path)

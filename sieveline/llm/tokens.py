@@ -22,6 +22,7 @@ class ByteBpe:
     ``ranks`` names the same vocabulary in ``tiktoken`` form. It serves texts in which both
     libraries agree by construction; all others go through ``tokenizers`` itself. A special
     token's string in a text is that token, or ordinary text with ``specials_as_text``.
+    Bytes that are not UTF-8 count as U+FFFD.
     """
 
     def __init__(self, vocabulary: str | None = None, ranks: str | None = None, specials_as_text: bool = False):
@@ -33,14 +34,19 @@ class ByteBpe:
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: bytes) -> np.ndarray:
+        try:
+            words = text.decode()
+        except UnicodeDecodeError:
+            words = text.decode("utf-8", "replace")
+            text = words.encode()
         found = np.frombuffer(text, np.uint8)
         if not len(found):
             return np.zeros(0, np.uint32)
         if found.max() < _PLAIN and (self.specials_as_text or b"<|" not in text):
             gaps = np.flatnonzero(found <= 0x20)
             if max(np.diff(gaps, prepend=-1, append=len(found))) <= _RUN:
-                return self.fast.encode_to_numpy(text.decode(), disallowed_special=())
+                return self.fast.encode_to_numpy(words, disallowed_special=())
         if self.slow is None:
             self.slow = Tokenizer.from_file(self.path)
             self.slow.encode_special_tokens = self.specials_as_text
-        return np.array(self.slow.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        return np.array(self.slow.encode(words, add_special_tokens=False).ids, np.uint32)
