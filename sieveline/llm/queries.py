@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.runtime import scratch_path
-from sieveline.llm import language, lattice, mixing, packing, pitman_yor, simhash, substring_dedup, token_files, token_store, topk, toxicity
+from sieveline.llm import language, lattice, mixing, packing, pitman_yor, simhash, substring_dedup, token_files, token_store, topk, toxicity, whitening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4, scale=256.0)
+
+
 @_query("op13_token_store")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
