@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.runtime import scratch_path
-from sieveline.llm import language, lattice, mixing, packing, pitman_yor, simhash, substring_dedup, token_files, token_store, topk, toxicity, whitening
+from sieveline.llm import conversations, language, lattice, mixing, packing, pitman_yor, simhash, substring_dedup, token_files, token_store, topk, toxicity, whitening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, _ = conversations.repair(conversations.damage(given, every=20))
+    every = given.select(F.col("conv_id").alias("of")).distinct()
+    out = every.join(report, F.col("of").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("of").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @_query("op12_embedding_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4, scale=256.0)
