@@ -15,13 +15,14 @@ width, number of outliers (8 bits each), two zero bytes, the packed words, the o
 positions (8 bits each) and their high bits (32 bits each).
 
 Null and empty texts hold the end id alone. Missing ids come first. Rows that repeat an id
-follow one another in the order of their ids' checksums; equal rows stay separate. A text of
-any length is whole in one file; files close beyond ``file_ids`` ids. An empty table gives no
+follow one another, ordered by their token ids within a writing task; equal rows stay
+separate. A text of any length is whole in one file; files close beyond ``file_ids`` ids. An empty table gives no
 file and reads as no rows. Other columns of the table are not stored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 
@@ -36,6 +37,8 @@ from sieveline.llm.frames import kept, named, stored
 from sieveline.llm.tokens import ByteBpe
 
 BLOCK, LANES = 128, 4
+#: Bytes of text behind one writing task.
+PART_BYTES = 64 << 20
 PERCENTILES = (50, 75, 90, 95, 98, 100)
 HEADER = ("magic", "part", "number", "docs", "ids", "id_blocks", "length_blocks", "lengths_at", "docs_at", "index_at")
 MAGIC = int.from_bytes(b"PFORTOK1", "little")
@@ -44,28 +47,29 @@ _STEPS = BLOCK // LANES
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """(blocks, 128) numbers below 2**width as (blocks, width * 4) words, four interleaved lanes."""
-    v = values.reshape(len(values), _STEPS, LANES)
-    words = np.zeros((len(values), width, LANES), np.uint32)
-    for i in range(_STEPS):
+    n = len(values)
+    v = values.reshape(n, _STEPS, LANES).transpose(1, 0, 2).copy()
+    words = np.zeros((width, n, LANES), np.uint32)
+    for i in range(_STEPS if width else 0):
         word, shift = divmod(i * width, 32)
-        if width:
-            words[:, word] |= v[:, i] << np.uint32(shift)
-            if shift + width > 32:
-                words[:, word + 1] |= v[:, i] >> np.uint32(32 - shift)
-    return words.reshape(len(values), width * LANES)
+        words[word] |= v[i] << np.uint32(shift)
+        if shift + width > 32:
+            words[word + 1] |= v[i] >> np.uint32(32 - shift)
+    return words.transpose(1, 0, 2).reshape(n, width * LANES)
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
-    words = words.reshape(len(words), width, LANES)
-    out = np.zeros((len(words), _STEPS, LANES), np.uint32)
+    n = len(words)
+    words = words.reshape(n, width, LANES).transpose(1, 0, 2).copy()
+    out = np.zeros((_STEPS, n, LANES), np.uint32)
     mask = np.uint32((1 << width) - 1)
     for i in range(_STEPS if width else 0):
         word, shift = divmod(i * width, 32)
-        low = words[:, word] >> np.uint32(shift)
+        low = words[word] >> np.uint32(shift)
         if shift + width > 32:
-            low = low | (words[:, word + 1] << np.uint32(32 - shift))
-        out[:, i] = low & mask
-    return out.reshape(len(words), BLOCK)
+            low |= words[word + 1] << np.uint32(32 - shift)
+        out[i] = low & mask
+    return out.transpose(1, 0, 2).reshape(n, BLOCK)
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -80,10 +84,10 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.concatenate([values, np.repeat(values[-1:], n * BLOCK - len(values))]).astype(np.uint32).reshape(n, BLOCK)
     low = full.min(1)
     delta = full - low[:, None]
-    ordered = np.sort(delta, axis=1)
     ranks = [max(0, math.ceil(BLOCK * p / 100) - 1) for p in PERCENTILES]
-    widths = _bit_length(ordered[:, ranks])
-    beyond = np.stack([(_bit_length(ordered) > widths[:, [j]]).sum(1) for j in range(len(ranks))], 1)
+    widths = _bit_length(np.sort(delta, axis=1)[:, ranks])
+    masks = ((1 << widths) - 1).astype(np.uint32)
+    beyond = np.stack([np.count_nonzero(delta > masks[:, [j]], axis=1) for j in range(len(ranks))], 1)
     at = (widths * LANES * 4 + beyond * 5).argmin(1)
     width, outliers = widths[np.arange(n), at], beyond[np.arange(n), at]
     sizes = 8 + width * LANES * 4 + outliers * 5
@@ -97,7 +101,7 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(width == w)
         words = _pack(delta[rows] & np.uint32((1 << w) - 1), w).astype("<u4").view(np.uint8)
         out[(starts[rows] + 8)[:, None] + np.arange(w * LANES * 4)] = words
-    block, place = np.nonzero(delta.astype(np.uint64) >> width[:, None].astype(np.uint64))
+    block, place = np.divmod(np.flatnonzero(delta > masks[np.arange(n), at][:, None]), BLOCK)
     rank = np.arange(len(block)) - np.repeat(np.cumsum(outliers) - outliers, outliers)
     base = starts[block] + 8 + width[block] * LANES * 4
     out[base + rank] = place
@@ -172,18 +176,28 @@ class TokenFile:
         return pa.array(values, pa.int64(), mask=self.data[at + 8 * self.docs : at + 9 * self.docs] != 0)
 
 
-_ENCODED = pa.schema([("id", pa.int64()), ("wide", pa.bool_()), ("check", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+_ENCODED = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
+
+
+def _encode(vocabulary, ranks, end_id, bounds: list[int], before: int):
+    """``bounds`` divides ids into parts; ``before`` parts hold the rows without an id."""
 
+    def part(doc, turn):
+        if doc is None:
+            return turn % max(1, before)
+        low, high = bisect.bisect_left(bounds, doc), bisect.bisect_right(bounds, doc)
+        return before + low + turn % (high - low + 1)  # an id that is several bounds has that many parts
 
-def _encode(vocabulary, ranks, end_id):
     def task(batches):
         bpe = ByteBpe(vocabulary, ranks)
+        turn = 0
         for rows, _, _ in slices(batches, "text"):
             out = []
             for doc, text in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                ids = np.append(bpe.encode(text or b""), np.uint32(end_id)).astype("<u4")
+                ids = np.append(bpe.encode(text or b""), np.uint32(end_id))
                 wide = bool(ids.max() > 0xFFFF)
-                out.append((doc, wide, zlib.crc32(ids.tobytes()), len(ids), (ids if wide else ids.astype("<u2")).tobytes()))
+                out.append((part(doc, turn), doc, wide, ids.astype("<u4" if wide else "<u2").tobytes()))
+                turn += 1
             if out:
                 yield batch_of(_ENCODED, zip(*out, strict=True))
 
@@ -215,18 +229,21 @@ def _files(file_ids: int):
 def write_token_store(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_ids: int = 4 << 20, vocabulary: str | None = None, ranks: str | None = None) -> None:
     """Write ``df``'s texts as token files under ``path``, in ascending ``id_col`` order.
 
-    Each text is encoded once and its ids, not its bytes, are dealt into ranges of ids; rows
-    that share an id are spread by checksum and row number, so no id fills a task.
+    Each text is encoded once, where it is read; its ids, not its bytes, are dealt into ranges
+    of document ids. The ranges' bounds are approximate quantiles; an id that fills several
+    ranges is dealt over them in turn.
     """
     rows = df.select(named(id_col).cast("long").alias("id"), named(text_col).cast("binary").alias("text"))
-    ddl = "id long, wide boolean, check long, n long, ids binary"
-    encoded = stored(rows.mapInArrow(_encode(vocabulary, ranks, end_id), ddl), "encoded")
-    total, texts = encoded.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).collect()[0]
-    context = df.sparkSession.sparkContext
-    width = max(1, min(texts, context.defaultParallelism), -(-total // (8 * file_ids)))
-    keys = [F.col("id").asc_nulls_first(), F.col("check"), F.xxhash64("ids"), F.col("place")]
-    placed = encoded.withColumn("place", F.monotonically_increasing_id())
-    ordered = placed.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
+    texts, missing, size = rows.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0]
+    width = max(1, min(texts, df.sparkSession.sparkContext.defaultParallelism), -(-size // PART_BYTES))
+    before = -(-width * missing // max(1, texts))
+    width = max(1, width - before)
+    bounds = []
+    if texts > missing and width > 1:
+        shares = [i / width for i in range(1, width)]
+        bounds = rows.agg(F.percentile_approx("id", shares, max(10_000, 20 * width))).collect()[0][0]
+    encoded = rows.mapInArrow(_encode(vocabulary, ranks, end_id, bounds, before), "part int, id long, wide boolean, ids binary")
+    ordered = encoded.repartitionById(width + before, "part").sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     files = ordered.select("id", "wide", "ids").mapInArrow(_files(file_ids), "value binary")
     # the text writer puts bytes down as they are and ends each record, here each file, with a newline
     files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
