@@ -28,19 +28,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.arrays import batch_of, slices, words
-from sieveline.llm.frames import kept, row_key
+from sieveline.llm.frames import kept, named, row_key
 
 #: Golden-ratio step on a circle of 2**31 points (the nearest odd number to 2**31 / phi).
 _CIRCLE, _STEP = 1 << 31, 1327217885
-_RANGES = 1 << 10
+#: Hash ranges of a source's stream: at least so many, and one for so many rows.
+_RANGES, _RANGE_ROWS = 1 << 10, 100_000
 _SLOT_RANGE = 1 << 16
 
 
 def _sizes(batches):
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
     for rows, data, offsets in slices(batches, "text"):
         _, _, before = words(data, offsets)
-        yield batch_of(schema, [rows.column("key"), rows.column("id"), rows.column("source"), np.diff(before)])
+        yield batch_of(schema, [rows.column("key"), rows.column("other"), rows.column("id"), rows.column("source"), np.diff(before)])
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> dict[str | None, float]:
@@ -94,15 +95,22 @@ def schedule(df_session, plan: list[dict], block: int) -> DataFrame:
     return out.select("no", "slot", "rank", at.alias("block"), F.when((F.col("rank") == F.col("need") - 1) & (F.col("last") > 0), F.col("last")).otherwise(whole).alias("words"), (~((F.col("rank") == F.col("need") - 1) & (F.col("last") > 0))).alias("whole"))
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> list:
+    """``key`` and ``other``: hashes of a row's id and text, and of all its columns. Rows that share both are copies."""
+    return [row_key(id_col, text_col).alias("key"), F.xxhash64(F.lit(1), *[named(c) for c in df.columns]).alias("other")]
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, block: int = 1024, seed: int = 0) -> DataFrame:
-    """(key, ``id_col``, size, source_size, target, start, taken) for every row of ``df``.
+    """(key, other, ``id_col``, size, source_size, target, start, taken) for every row of ``df``.
 
-    ``start`` is the text's place in its source's stream, ``taken`` the words that the mix takes.
+    ``start`` is the text's place in its source's stream, ``taken`` the words that the mix
+    takes; ``key`` and ``other`` tell rows apart.
     """
     spark = df.sparkSession
-    rows = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("text"))
-    sized = kept(rows.mapInArrow(_sizes, "key long, id long, source string, size long"))
-    by_source = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    rows = df.select(*_keyed(df, id_col, text_col), named(id_col).cast("long").alias("id"), named(source_col).cast("string").alias("source"), named(text_col).cast("binary").alias("text"))
+    sized = kept(rows.mapInArrow(_sizes, "key long, other long, id long, source string, size long"))
+    found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
+    by_source, counts = {r["source"]: r["n"] for r in found}, {r["source"]: r["rows"] for r in found}
     goal = targets(by_source, weights, cap)
     plan = []
     for source, target in goal.items():
@@ -111,13 +119,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         blocks = -(-size // block)
         plan.append({"source": source, "size": size, "target": target, "blocks": max(1, blocks), "need": passes * blocks + -(-rest // block), "last": rest % block})
     table = spark.createDataFrame([(i, p["source"], p["size"], p["target"]) for i, p in enumerate(plan)], "no int, source string, source_size long, target double")
-    placed = sized.withColumn("h", F.xxhash64("key", F.lit(seed))).withColumn("part", F.pmod(F.col("h"), F.lit(_RANGES)).cast("int"))
+    ranges = max(_RANGES, -(-sum(counts.values()) // _RANGE_ROWS))
+    placed = sized.withColumn("h", F.xxhash64("key", F.lit(seed))).withColumn("part", F.pmod(F.col("h"), F.lit(ranges)).cast("int"))
     parts = placed.groupBy("source", "part").agg(F.sum("size").alias("n"))
     parts = parts.join(table, parts["source"].eqNullSafe(table["source"])).select("no", "source_size", "target", parts["source"].alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "part").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("h", "key", "size", "other").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(parts, placed["source"].eqNullSafe(parts["of"]) & (placed["part"] == parts["of_part"]))
-    placed = kept(placed.select("key", "id", "size", "no", "source_size", "target", (F.col("before") + F.col("inside")).alias("start")))
+    placed = kept(placed.select("key", "other", "id", "size", "no", "source_size", "target", (F.col("before") + F.col("inside")).alias("start")))
     # blocks that a text reaches into, and how often and how far each block is taken
     taken = schedule(spark, plan, block).groupBy("no", "block").agg(F.count_if("whole").alias("times"), F.max(F.when(~F.col("whole"), F.col("words"))).alias("part"))
     reach = placed.filter("size > 0").select("no", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
@@ -126,7 +135,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     parts_taken = reach.join(taken, ["no", "block"]).select("no", "start", (F.col("times") * (high - low) + F.greatest(F.lit(0), F.least(high, F.coalesce("part", F.lit(0))) - low)).alias("n"))
     sums = parts_taken.groupBy("no", "start").agg(F.sum("n").alias("n"), F.lit(True).alias("some"))
     out = placed.withColumn("some", F.col("size") > 0).join(sums, ["no", "start", "some"], "left")
-    return out.select("key", F.col("id").alias(id_col), "size", "source_size", "target", "start", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
+    return out.select("key", "other", F.col("id").alias(id_col), "size", "source_size", "target", "start", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -135,11 +144,11 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts of which nothing is taken go. A cut text is its first words, joined by one space.
     """
     found = mix(df, id_col, text_col, source_col, **options).filter("taken > 0")
-    left = F.col("taken") % F.col("size")
-    each = found.groupBy("key").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias("whole"), F.collect_list(F.when(left > 0, left)).alias("cuts"))
-    rows = df.select(row_key(id_col, text_col).alias("key"), F.struct("*").alias("row")).dropDuplicates(["key"])
-    pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.col("cuts"))
-    rows = rows.join(each, "key").select("row", F.explode(pieces).alias("first"))
+    times, left = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), times), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))
+    taken = found.select("key", "other", F.explode(pieces).alias("first"))  # at most cap + 1 for a row
+    rows = df.select(*_keyed(df, id_col, text_col), F.struct("*").alias("row")).dropDuplicates(["key", "other"])
+    rows = rows.join(taken, ["key", "other"]).select("row", "first")
     text = F.col("row").getField(text_col)
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.lit(1), F.greatest(F.col("first"), F.lit(1)).cast("int")), " ")
     text = F.when(F.col("first") < 0, text).otherwise(cut)

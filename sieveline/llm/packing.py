@@ -6,10 +6,12 @@ pieces of its length, and ranks map to places of the solved patterns. Ranks come
 counts of (length, salt) groups, so one length may hold any share of the rows.
 
 Branch and bound: the largest remaining length is completed by undominated fillings of the
-rest of its sequence, least waste first; a filling is used as often as its lengths last. A
-branch is left when its waste shows that it can't beat the incumbent. Incumbents are the
-best-fit-decreasing packing and then every better one found. The search ends when a lower
-bound is met or after ``steps`` nodes (the incumbent is returned then).
+rest of its sequence, all of them in turn, least waste first, made as the search asks for them
+from the sums that the remaining lengths can reach. A filling is used as often as its lengths
+last, on the way back once less. A branch is left when its waste shows that it can't beat the
+incumbent. Incumbents are the best-fit-decreasing packing and then every better one found.
+The search ends with the fewest sequences, when a lower bound is met or nothing is left to
+try, or after ``steps`` tries with the incumbent.
 
 Null and empty texts are one end token. Repeated rows are packed each for itself. An empty
 table gives an empty result.
@@ -29,7 +31,8 @@ from sieveline.llm.arrays import batch_of, slices
 from sieveline.llm.frames import fresh, kept, named, schema_of
 from sieveline.llm.tokens import ByteBpe
 
-_SALTS = 256
+#: Parts of the pieces of one length: at least so many, and one for so many pieces.
+_SALTS, _SALT_ROWS = 256, 100_000
 
 
 def _pieces(capacity: int, end_id: int, vocabulary, ranks, keep_ids: bool):
@@ -109,135 +112,156 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
     return [x for group in open_bins.values() for x in group]
 
 
-def _fillings(sizes: list[int], counts: dict[int, int], gap: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``gap``, least waste first; ``sizes`` ascends and has counts above 0.
+def _sums(sizes: list[int], counts: dict[int, int], gap: int) -> list[int]:
+    """For each number of smallest ``sizes``: bit t is set if lengths among them can add up to t."""
+    within = (1 << (gap + 1)) - 1
+    out, now = [1], 1
+    for size in sizes:
+        n, step = min(counts[size], gap // size), 1
+        while n > 0:
+            use = min(step, n)
+            now |= now << (size * use) & within
+            n, step = n - use, step * 2
+        out.append(now)
+    return out
+
+
+def _exact(sizes: list[int], counts: dict[int, int], sums: list[int], total: int):
+    """Every multiset of ``sizes`` that adds up to ``total``, longest lengths first."""
+
+    def options(number, rest, chosen):
+        for i in range(bisect.bisect_right(sizes, rest, 0, number), 0, -1):
+            if not sums[i] >> rest & 1:
+                return
+            size = sizes[i - 1]
+            for n in range(min(counts[size], rest // size), 0, -1):
+                if sums[i - 1] >> (rest - n * size) & 1:
+                    yield i - 1, rest - n * size, (*chosen, *(size,) * n)
+
+    if not total:
+        yield ()
+        return
+    stack = [options(len(sizes), total, ())]
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+        elif step[1]:
+            stack.append(options(*step))
+        else:
+            yield step[2]
+
+
+def _dominated(chosen: tuple[int, ...], free: int, waste: int) -> bool:
+    """Can an unused length (a bit of ``free``) join, or take the place of some lengths, within the room?"""
+    one = many = 0
+    for size in chosen:
+        many |= many << size | one << size
+        one |= 1 << size
+    low, high = many | 1, one << 1 if waste else 0  # a single length is replaced by a longer one only
+    for reach, width in ((low, waste + 1), (high, waste)):
+        step = 1
+        while step < width:
+            grow = min(step, width - step)
+            reach |= reach << grow
+            step += grow
+        if width and reach & free & ~1:
+            return True
+    return False
+
+
+def _fillings(sizes: list[int], counts: dict[int, int], gap: int):
+    """Undominated fillings of ``gap``, as they are asked for, least waste first; ``sizes`` ascends.
+
+    A filling is dominated when an unused length fits beside it, or in the place of one or
+    several of its lengths, since a packing never gets worse by such an exchange.
+    """
+    sizes = sizes[: bisect.bisect_right(sizes, gap)]
+    sums = _sums(sizes, counts, gap)
+    left = sum(1 << s for s in sizes)
+    for total in range(gap, -1, -1):
+        if not sums[-1] >> total & 1:
+            continue
+        for chosen in _exact(sizes, counts, sums, total):
+            free = left
+            for size in set(chosen):
+                if chosen.count(size) == counts[size]:
+                    free &= ~(1 << size)
+            if not _dominated(chosen, free, gap - total):
+                yield chosen
+
+
+def _key(pattern: tuple[int, ...], capacity: int):
+    """Order of fillings around one length: by waste, then longest lengths first."""
+    return capacity - sum(pattern), [-s for s in pattern]
 
-    A filling is dominated when an unused length fits beside it, or can take the place of one
-    or two of its lengths, since a packing never gets worse by such an exchange.
+
+def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths, times) that hold every length of ``counts`` in few sequences.
+
+    The fewest, unless ``steps`` fillings were tried before that was certain.
     """
-    top = bisect.bisect_right(sizes, gap)
-    if not top:
-        return [()]
-    if sizes[top - 1] == gap:
-        return [(gap,)]
-    found: list[tuple[int, ...]] = []
-    tries = 0
-
-    def free(size, chosen):
-        return counts[size] > chosen.count(size)
-
-    def undominated(chosen, waste):
-        def swap(out):
-            at = bisect.bisect_right(sizes, out)
-            return at < len(sizes) and sizes[at] <= out + waste and free(sizes[at], chosen)
-
-        if waste >= sizes[0] and any(free(s, chosen) for s in sizes[: bisect.bisect_right(sizes, waste)]):
-            return False
-        if any(swap(a) for a in set(chosen)):
-            return False
-        for i, a in enumerate(chosen):
-            for b in chosen[i + 1 :]:
-                at = bisect.bisect_left(sizes, a + b)
-                if at < len(sizes) and sizes[at] <= a + b + waste and free(sizes[at], chosen):
-                    return False
-        return True
-
-    def extend(chosen, room, top):
-        nonlocal tries
-        at = min(top, bisect.bisect_right(sizes, room))
-        more = False
-        while at > 0 and len(found) < limit and tries < limit * 20:
-            size = sizes[at - 1]
-            if free(size, chosen):
-                more = True
-                extend((*chosen, size), room - size, at)
-                if found and sum(found[-1]) == gap and len(found[-1]) <= len(chosen) + 1:
-                    return  # an exact filling dominates its refinements
-            at -= 1
-        if not more:
-            tries += 1
-            if chosen and undominated(chosen, room):
-                found.append(chosen)
-
-    # exact pairs first: none is dominated when no single length fits exactly
-    low, high, pairs = 0, top - 1, []
-    while low <= high and len(pairs) < 2:
-        both = sizes[low] + sizes[high]
-        if both == gap and (low < high or counts[sizes[low]] > 1):
-            pairs.append((sizes[high], sizes[low]))
-        low, high = (low + 1, high) if both < gap else (low, high - 1)
-    if pairs:
-        return pairs
-    extend((), gap, top)
-    if not found:
-        # every filling that was tried is dominated by one beyond the limit: take the greedy one
-        chosen, room = (), gap
-        for size in reversed(sizes[:top]):
-            while size <= room and free(size, chosen):
-                chosen, room = (*chosen, size), room - size
-        return [chosen]
-    return sorted(found, key=lambda f: (gap - sum(f), len(f)))
-
-
-def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000, width: int = 12) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, times) that hold every length of ``counts`` in few sequences."""
     counts = {s: n for s, n in counts.items() if n > 0}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(t for _, t in best)
     bound = lower_bound(counts, capacity)
-    if fewest <= bound:
-        return best
     total = sum(s * n for s, n in counts.items())
     left, sizes = dict(counts), sorted(counts)
-    path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list] = []
-    waste = used = nodes = 0
+    path: list[list] = []  # pattern, times
+    waste = used = tries = 0
 
-    def take(pattern, times, sign):
+    def take(pattern, times):
+        nonlocal waste, used
         for s in set(pattern):
             before = left[s]
-            left[s] = before - sign * times * pattern.count(s)
+            left[s] = before - times * pattern.count(s)
             if before and not left[s]:
                 sizes.pop(bisect.bisect_left(sizes, s))
             elif not before and left[s]:
                 bisect.insort(sizes, s)
+        waste, used = waste + times * (capacity - sum(pattern)), used + times
 
     def options():
+        """Fillings around the longest length left; equal longest ones take them in order."""
         large = sizes[-1]
-        left[large] -= 1
-        rest = sizes if left[large] else sizes[:-1]
-        out = [(large, *f) for f in _fillings(rest, left, capacity - large, width)]
-        left[large] += 1
-        return list(reversed(out))
-
-    stack.append(options())
-    while stack and nodes < steps and fewest > bound:
-        nodes += 1
-        if not stack[-1]:
-            stack.pop()
-            if path:
-                pattern, times = path.pop()
-                take(pattern, times, -1)
-                waste, used = waste - times * (capacity - sum(pattern)), used - times
-            continue
-        pattern = stack[-1].pop()
-        times = min(left[s] // pattern.count(s) for s in set(pattern))
-        spare = times * (capacity - sum(pattern))
-        if waste + spare > (fewest - 1) * capacity - total:
-            continue  # even with no further waste this can't beat the incumbent
-        take(pattern, times, 1)
-        path.append((pattern, times))
-        waste, used = waste + spare, used + times
-        if not sizes:
-            if used < fewest:
-                fewest, best = used, list(path)
-            pattern, times = path.pop()
-            take(pattern, times, -1)
-            waste, used = waste - times * (capacity - sum(pattern)), used - times
+        after = _key(path[-1][0], capacity) if path and path[-1][0][0] == large else None
+        counts = dict(left)
+        counts[large] -= 1
+        rest = list(sizes) if counts[large] else sizes[:-1]
+        for filling in _fillings(rest, counts, capacity - large):
+            pattern = (large, *filling)
+            if after is None or _key(pattern, capacity) > after:
+                yield pattern
+
+    stack = [options()] if fewest > bound else []
+    while stack and tries < steps and fewest > bound:
+        if len(path) == len(stack):  # back from below: use the last filling once less, or another one
+            pattern, times = path[-1]
+            take(pattern, -times)
+            path[-1][1] = times = times - 1
+            if not times:
+                path.pop()
+        else:
+            pattern = next(stack[-1], None)
+            # wastes grow, so when one filling can't beat the incumbent no later one can
+            if pattern is None or waste + capacity - sum(pattern) > (fewest - 1) * capacity - total:
+                stack.pop()
+                continue
+            room = (fewest - 1) * capacity - total - waste
+            times = min(left[s] // pattern.count(s) for s in set(pattern))
+            if sum(pattern) < capacity:
+                times = min(times, room // (capacity - sum(pattern)))
+            path.append([pattern, times])
+        if not times:
             continue
-        stack.append(options())
+        tries += 1
+        take(pattern, times)
+        if sizes and used + 1 < fewest:
+            stack.append(options())
+        elif not sizes and used < fewest:
+            fewest, best = used, [tuple(p) for p in path]
     return best
 
 
@@ -283,7 +307,9 @@ def pack(pieces: DataFrame, order_by: list[str], capacity: int = 2048, steps: in
     spark = pieces.sparkSession
     salt, number, before, rank = (fresh(pieces, n) for n in ("salt", "number", "before", "rank"))
     keys = [named(c) for c in order_by]
-    rows = kept(pieces.withColumn(salt, F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int")))
+    rows = kept(pieces)
+    salts = max(_SALTS, -(-rows.count() // _SALT_ROWS))
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
     groups = kept(rows.groupBy("length", salt).agg(F.count("*").alias(number)))
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum(number).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(bin_completion(counts, capacity, steps)))

@@ -15,8 +15,9 @@ A group whose variants would be too many for one task (many near copies) is deal
 sub-groups by parities of the remaining bits; a sub-group generates its own variants only.
 
 Null and empty texts have fingerprint zero and are linked like any other. Equal texts have
-equal fingerprints and one component. Rows that repeat an id get the same component. A
-component's id is its smallest non-null doc_id. An empty table gives an empty result.
+equal fingerprints and one component. Rows that repeat an id go by their texts, each with the
+component of its own. A component's id is its smallest non-null doc_id. Texts of any length
+count whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.arrays import SPACES, batch_of, by_group, runs, slices, words
 from sieveline.llm.components import connected_components, union_find
-from sieveline.llm.frames import kept, named
+from sieveline.llm.frames import fresh, kept, named, row_key
 
 #: Variants that one task sorts at once.
 GROUP_VARIANTS = 2 << 20
@@ -93,11 +94,13 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
 
 
 def _fingerprint_task(shingle: int):
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """Every column but the text, and the text's fingerprint."""
 
     def task(batches):
         for rows, data, offsets in slices(batches, "text"):
-            yield batch_of(schema, [rows.column("id"), fingerprints(data, offsets, shingle).view(np.int64)])
+            names = [n for n in rows.schema.names if n != "text"]
+            prints = pa.array(fingerprints(data, offsets, shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], prints], names=[*names, "fp"])
 
     return task
 
@@ -217,24 +220,40 @@ def near_links(prints: DataFrame, bits: int, group_variants: int = GROUP_VARIANT
     return sent.groupBy("bucket", "sub", "sub_bits").applyInArrow(by_group(_link(lead, bits), _EDGES), "a long, b long")
 
 
+def _rooted(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint; root is its component's smallest fingerprint."""
+    nodes = kept(prints.select("fp").distinct())
+    roots = connected_components(near_links(nodes, bits))
+    joined = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """(``id_col``, fingerprint, component_id) for every row of ``df``."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = df.select(named(id_col).cast("long").alias("id"), named(text_col).cast("binary").alias("text"))
     prints = kept(rows.mapInArrow(_fingerprint_task(shingle), "id long, fp long"))
-    nodes = kept(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = connected_components(near_links(nodes.select("fp"), bits))
-    nodes = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
+    nodes = kept(_rooted(prints, bits).join(first, "fp"))
     ids = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(ids, "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
+    out = prints.join(nodes.join(ids, "root").select("fp", "component_id"), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
-    """``df`` with one row of each component: the one with its smallest id. Rows without an id all stay."""
-    first = near_duplicates(df, id_col, text_col, shingle, bits).filter(F.col(id_col) == F.col("component_id"))
-    once = df.join(first.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return once.select(*[named(c) for c in df.columns]).unionByName(df.filter(F.col(id_col).isNull()))
+    """``df`` with one row of each component: the one with its smallest id, missing ids last.
+
+    Rows are told apart by id, text and all other columns (two 64-bit hashes), so an id that
+    repeats with another text loses nothing.
+    """
+    one, two = fresh(df, "one"), fresh(df, "two")
+    keyed = df.withColumn(one, row_key(id_col, text_col)).withColumn(two, F.xxhash64(F.lit(1), *[named(c) for c in df.columns]))
+    rows = keyed.select(named(id_col).cast("long").alias("id"), F.col(one).alias("one"), F.col(two).alias("two"), named(text_col).cast("binary").alias("text"))
+    prints = kept(rows.mapInArrow(_fingerprint_task(shingle), "id long, one long, two long, fp long"))
+    order = F.struct(F.col("id").isNull().alias("missing"), "id", "one", "two")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    chosen = _rooted(prints, bits).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = chosen.select(F.col("first.one").alias(one), F.col("first.two").alias(two))
+    return keyed.join(chosen, [one, two], "left_semi").dropDuplicates([one, two]).select(*[named(c) for c in df.columns])
 
 
 def brute_force(texts: list[str | None], shingle: int = 4, bits: int = 4) -> list[tuple[int, int]]:

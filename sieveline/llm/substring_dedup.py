@@ -39,6 +39,8 @@ from sieveline.llm.frames import named, row_key, schema_of, with_results
 MAX_SKETCH_BITS = 28
 #: Words of text that a second-pass chunk holds.
 CHUNK_WORDS = 4 << 20
+#: Bytes of text behind one group of windows.
+BUCKET_BYTES = 12 << 20
 _SHARD_BITS = 5
 _ROW_STEPS = (np.uint64(1), np.uint64(0x9FB21C651E98DF25))
 
@@ -160,10 +162,10 @@ def _candidates(sketch, bits: int, window: int, buckets: int):
         # one of each window goes to its group, marked when it is known already
         multi = known[begin].astype(np.uint32) << np.uint32(31)
         h1, h2, at = h1[begin], h2[begin], at[begin] | multi
-        cut = np.searchsorted(h1, [np.uint64((i << 64) // buckets) for i in range(1, buckets)])
-        for b, (x, y, z) in enumerate(zip(np.split(h1, cut), np.split(h2, cut), np.split(at, cut), strict=True)):
-            if len(x):
-                yield b, chunk, 2, x.tobytes(), y.tobytes(), z.tobytes()
+        goes = (h1 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        cut = runs(goes)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield int(goes[a]), chunk, 2, h1[a:b].tobytes(), h2[a:b].tobytes(), at[a:b].tobytes()
 
     def task(batches):
         number, base = TaskContext.get().partitionId() << 32, 0
@@ -273,8 +275,9 @@ def _cut(batches):
         )
 
 
-def sketch_bits(n_texts: int) -> int:
-    return min(MAX_SKETCH_BITS, max(16, math.ceil(math.log2(256 * max(1, n_texts)))))
+def sketch_bits(text_bytes: int) -> int:
+    """A slot for 16 bytes of text, some four for an anchor."""
+    return min(MAX_SKETCH_BITS, max(16, math.ceil(math.log2(max(1, text_bytes) / 16))))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, bits: int | None = None) -> DataFrame:
@@ -283,9 +286,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("window must be at least 2")
     spark = df.sparkSession
     texts = df.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    n = df.count()
-    bits = bits or sketch_bits(n)
-    buckets = max(32, min(1 << 15, math.ceil(n / 4000)))
+    size = df.agg(F.coalesce(F.sum(F.octet_length(named(text_col))), F.lit(0))).head()[0]
+    bits = bits or sketch_bits(size)
+    buckets = max(32, math.ceil(size / BUCKET_BYTES))
     sketch = spark.sparkContext.broadcast(_merged_sketch(texts, bits, window))
     traffic = texts.mapInArrow(_candidates(sketch, bits, window, buckets), _TRAFFIC_DDL)
     grouped = traffic.groupBy("bucket").applyInArrow(by_group(_group, _TRAFFIC), _TRAFFIC_DDL)

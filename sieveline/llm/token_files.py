@@ -8,7 +8,9 @@ files. The scan runs over ranges of blocks: each range by itself, then the range
 
 Files are one stream in the order of their paths. An empty document counts 0 tokens. Tokens
 after the last separator are one more document. Empty files hold nothing. A file is read as
-one binary row, so writers bound its size (:func:`write_token_files` does).
+one binary row, so writers bound its bytes (:func:`write_token_files` does, but for a single
+longer text). Rows without an id and repeated rows are counted each; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,38 +21,48 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.arrays import batch_of, packed, slices, unpacked
-from sieveline.llm.frames import kept
+from sieveline.llm.frames import kept, named
 from sieveline.llm.tokens import ByteBpe
 
 END_OF_TEXT = 50256
 BLOCK_TOKENS = 1 << 20
 
 
-def _encode(vocabulary, ranks, end_id):
+def _encode(vocabulary, ranks, end_id, file_bytes):
+    """Files' bytes but for the last end id; a text is whole in one file."""
+    schema, mark = pa.schema([("ids", pa.binary())]), end_id.to_bytes(2, "little")
+
     def task(batches):
         bpe = ByteBpe(vocabulary, ranks, specials_as_text=True)
+        held, size = [], 0
         for rows, _, _ in slices(batches, "text"):
-            out = []
             for text in rows.column("text").to_pylist():
                 ids = bpe.encode(text or b"")
                 if len(ids) and (ids.max() > 0xFFFF or (ids == end_id).any()):
                     raise ValueError("a text's ids must fit 16 bits and differ from the end-of-document id")
-                out.append(ids.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+                if held and size + 2 * len(ids) > file_bytes:
+                    yield batch_of(schema, [[mark.join(held)]])
+                    held, size = [], 0
+                held.append(ids.astype("<u2").tobytes())
+                size += 2 * len(ids) + 2
+        if held:
+            yield batch_of(schema, [[mark.join(held)]])
 
     return task
 
 
-def write_token_files(df: DataFrame, path: str, text_col: str = "text", end_id: int = END_OF_TEXT, vocabulary: str | None = None, ranks: str | None = None, texts_per_file: int = 4096) -> None:
+def write_token_files(df: DataFrame, path: str, text_col: str = "text", end_id: int = END_OF_TEXT, vocabulary: str | None = None, ranks: str | None = None, file_bytes: int = 16 << 20) -> None:
     """Write ``df``'s texts as flat token files: each partition's rows in order, null as empty.
 
-    Spark's text writer puts the raw id bytes down with the end-of-document id as the line
-    separator, so any file system that Spark writes will do.
+    A file holds at most ``file_bytes``, or one longer text. Spark's text writer puts the raw
+    id bytes down, a record a file, with the end-of-document id as the line separator, so any
+    file system that Spark writes will do.
     """
-    ids = df.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(_encode(vocabulary, ranks, end_id), "ids binary")
+    texts = df.select(named(text_col).cast("binary").alias("text"))
+    ids = texts.mapInArrow(_encode(vocabulary, ranks, end_id, file_bytes), "ids binary")
     mark = end_id.to_bytes(2, "little").decode("latin-1")
     writer = ids.select(F.col("ids").cast("string").alias("value")).write
-    writer.option("encoding", "ISO-8859-1").option("lineSep", mark).option("maxRecordsPerFile", texts_per_file).text(path)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", mark).option("maxRecordsPerFile", 1).text(path)
 
 
 _BLOCKS = pa.schema([("path", pa.string()), ("block", pa.int32()), ("tokens", pa.int64()), ("ends", pa.int64()), ("last", pa.int64()), ("places", pa.binary())])
@@ -136,9 +148,9 @@ def corpus_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     first = found.groupBy("part").agg(F.min("number").alias("base"))
     found = found.join(first, "part").withColumn("row", F.col("number") - F.col("base"))
     place = F.monotonically_increasing_id()
-    rows = df.select(F.col(id_col), place.alias("place"), F.lit(True).alias("given"))
-    rows = rows.select(id_col, "given", F.shiftrightunsigned("place", 33).cast("int").alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("row"))
+    rows = df.select(named(id_col).alias("id"), place.alias("place"), F.lit(True).alias("given"))
+    rows = rows.select("id", "given", F.shiftrightunsigned("place", 33).cast("int").alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("row"))
     out = rows.join(found, ["part", "row"], "full")
     whole = F.col("given").isNotNull() & F.col("n_tokens").isNotNull()
     n = F.when(whole, F.col("n_tokens")).otherwise(F.raise_error(F.lit("the token files and the rows differ")).cast("long"))
-    return out.select(id_col, F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "number", "start", n.alias("n_tokens"))
+    return out.select(F.col("id").alias(id_col), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "number", "start", n.alias("n_tokens"))

@@ -101,8 +101,13 @@ def test_links_and_components(vectors):
         assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == want
 
 
-def test_recall_on_given_vectors(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").filter("label = 1")
+def test_recall_against_brute_force(spark):
+    """Clusters whose members lie around a cosine of 0.98 of each other, in 64 dimensions."""
+    draw = np.random.default_rng(12)
+    centers = draw.normal(size=(150, 64))
+    x = centers[draw.integers(0, 150, 3000)] + draw.normal(size=(3000, 64)) * draw.choice([0.05, 0.1, 0.14, 0.2], (3000, 1))
+    x = np.concatenate([x, draw.normal(size=(2000, 64)), np.repeat(centers[:1], 300, 0) * draw.uniform(0.5, 2, (300, 1))])
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.astype(np.float32).tolist())], SCHEMA.names[:3]).selectExpr("vec_id", "cast(embedding as array<float>) embedding", "label").repartition(4)
     given = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
     x = lattice.unit(np.array([g[1] for g in given]))
     want = {given[i][0]: int(n) for i, n in enumerate((x @ x.T >= 0.98).sum(1) - 1)}
