@@ -129,15 +129,37 @@ def balanced_class_weights(counts: dict) -> dict:
 
 
 class LogisticSpec:
-    """One member of a batch: which features, which held-out fold, which penalty."""
+    """One member of a batch: which features, which held-out fold, which penalty.
 
-    def __init__(self, subset, c=1.0, hold_out=None):
+    With ``center`` and ``scale`` (one number for each feature of ``subset``) the model is
+    fitted, and its penalty applies, to ``(x - center) / scale``.
+    """
+
+    def __init__(self, subset, c=1.0, hold_out=None, center=None, scale=None):
         self.subset, self.c, self.hold_out = list(subset), float(c), hold_out
+        self.center, self.scale = center, scale
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        xs = x[:, self.subset]
+        return xs if self.center is None else (xs - self.center) / self.scale
+
+    def raw(self, intercept: float, coef: np.ndarray) -> tuple[float, np.ndarray]:
+        """The same model for the features as they are."""
+        if self.center is None:
+            return intercept, coef
+        return float(intercept - np.sum(coef * self.center / self.scale)), coef / self.scale
+
 
+def complete(cols: list[str]):
+    """True for rows in which no column is missing or infinite, the rows that fits use."""
+    whole = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return F.forall(features_array(cols), whole)
 
-def _label_counts(df: DataFrame, label: str, fold: str | None) -> dict:
+
+def _label_counts(df: DataFrame, cols: list[str], label: str, fold: str | None) -> dict:
     keys = [F.col(fold).cast("int").alias("f")] if fold else [F.lit(0).alias("f")]
-    rows = df.groupBy(*keys, F.col(label).cast("double").alias("y")).count().collect()  # folds x classes
+    rows = df.filter(complete([*cols, label]))
+    rows = rows.groupBy(*keys, F.col(label).cast("double").alias("y")).count().collect()  # folds x classes
     return {(r["f"], r["y"]): r["count"] for r in rows}
 
 
@@ -160,7 +182,7 @@ def logistic_fit_many(
     spec whose objective went up.  A fit that has not settled after ``iterations`` passes is
     warned about and returned at the best point whose objective was computed.
     """
-    counts = _label_counts(df, label, fold)
+    counts = _label_counts(df, cols, label, fold)
     class_w = []
     for s in specs:
         kept = {}
@@ -178,12 +200,12 @@ def logistic_fit_many(
         active = [i for i in range(len(specs)) if not done[i]]
         if not active:
             break
-        jobs = [(i, specs[i].subset, specs[i].hold_out, betas[i], class_w[i]) for i in active]
+        jobs = [(i, specs[i], betas[i], class_w[i]) for i in active]
 
         def kernel(x, y, w, f, jobs=jobs):
-            for i, subset, hold, beta, cw in jobs:
-                keep = slice(None) if hold is None else f != hold
-                xs, ys = x[keep][:, subset], y[keep]
+            for i, spec, beta, cw in jobs:
+                keep = slice(None) if spec.hold_out is None else f != spec.hold_out
+                xs, ys = spec.scaled(x[keep]), y[keep]
                 if not len(ys):
                     continue
                 z = np.hstack([np.ones((len(xs), 1)), xs])
@@ -227,7 +249,10 @@ def _warn_open(done: list[bool], passes: int) -> None:
 
 
 def margins_long(df: DataFrame, cols: list[str], label: str, models: list, specs: list, fold: str | None) -> DataFrame:
-    """(model, f, y, margin) for every model on the rows of its held-out fold, all rows when it has none."""
+    """(model, f, y, margin) for every model on the rows of its held-out fold, all rows when it has none.
+
+    Like fits, scores are over complete rows.  Coefficients are those of the features as they are.
+    """
     entries = []
     for i, ((b, w), s) in enumerate(zip(models, specs, strict=True)):
         full = np.zeros(len(cols))
@@ -246,6 +271,8 @@ def margins_long(df: DataFrame, cols: list[str], label: str, models: list, specs
             if not b.num_rows:
                 continue
             rows, y, _, f = _batch_arrays(b, d)
+            whole = np.isfinite(rows).all(1) & np.isfinite(y)
+            rows, y, f = rows[whole], y[whole], f[whole]
             m = rows @ coef.T + bias
             r, c = np.nonzero((holds[None, :] == -1) | (holds[None, :] == f[:, None]))
             yield pa.RecordBatch.from_pydict({
@@ -296,6 +323,16 @@ def fit_models(df, cols, label, specs, fold, task):
     ]
 
 
+def fold_means(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of (cells x folds) scores over the folds that have one."""
+    have = np.isfinite(scores)
+    if not have.any():
+        raise ValueError("no fold has a score: no complete rows, or one class only")
+    n = np.where(have.any(1), have.sum(1), np.nan)
+    mean = np.where(have, scores, 0.0).sum(1) / n
+    return mean, np.sqrt(np.where(have, (scores - mean[:, None]) ** 2, 0.0).sum(1) / n)
+
+
 def grid_search(df, cols, label, fold, task, grid=None):
     """Cross-validated penalty grid, refitted on all rows: (table rows, best penalty, intercept, coefs)."""
     grid = list(grid or (LOGISTIC_C if task == "classification" else RIDGE_ALPHA))
@@ -304,10 +341,10 @@ def grid_search(df, cols, label, fold, task, grid=None):
     specs = [LogisticSpec(everything, c, f) for c, f in itertools.product(grid, ids)]
     models = fit_models(df, cols, label, specs, fold, task)
     scores = cv_scores(df, cols, label, models, specs, fold, task).reshape(len(grid), len(ids))
-    mean = scores.mean(axis=1)
+    mean, spread = fold_means(scores)
     best = int(np.nanargmax(mean))
     (b, w), = fit_models(df, cols, label, [LogisticSpec(everything, grid[best])], fold, task)
-    rows = [(float(p), float(m), float(s)) for p, m, s in zip(grid, mean, scores.std(axis=1), strict=True)]
+    rows = [(float(p), float(m), float(s)) for p, m, s in zip(grid, mean, spread, strict=True)]
     return rows, grid[best], b, w
 
 
@@ -336,7 +373,7 @@ def sequential_select(
             subsets.append(picked if direction == "forward" else [i for i in range(d) if i not in picked])
         specs = [LogisticSpec(s, penalty, f) for s in subsets for f in ids]
         models = fit_models(df, cols, label, specs, fold, task)
-        scores = cv_scores(df, cols, label, models, specs, fold, task).reshape(len(subsets), len(ids)).mean(axis=1)
+        scores, _ = fold_means(cv_scores(df, cols, label, models, specs, fold, task).reshape(len(subsets), len(ids)))
         best = int(np.nanargmax(scores))
         if tol is not None and scores[best] - old < tol:
             break

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.scalars import stable_hash
+from sieveline.functions.scalars import nan_to_null, stable_hash
 from sieveline.operators import stats
 from sieveline.operators.ranks import fuzzy_match
 from sieveline.runtime import small_rows
@@ -32,18 +32,23 @@ def ordered(scores: DataFrame, name: str, by: list[str] = (), seed: int = 1, sco
     """Add 1-based ``pos`` by score descending; exact ties by a seeded hash, missing scores last."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     return scores.withColumn(
-        "pos", F.row_number().over(w.orderBy(F.desc_nulls_last(score), stable_hash(seed, name), name))
+        "pos", F.row_number().over(w.orderBy(_best_first(score), stable_hash(seed, name), name))
     )
 
 
+def _best_first(score: str):
+    """Descending; NULL and NaN are both missing and come last."""
+    return nan_to_null(score).desc_nulls_last()
+
+
 def by_threshold(scores: DataFrame, threshold: float, score: str = "score") -> DataFrame:
-    return scores.filter(F.col(score) >= threshold)
+    return scores.filter(nan_to_null(score) >= threshold)
 
 
 def by_topk(scores: DataFrame, name: str, k: int, by: list[str] = (), seed: int = 1) -> DataFrame:
     """The k best per group; Spark prunes each partition to k rows before the shuffle."""
     if not by:
-        best = scores.orderBy(F.desc_nulls_last("score"), stable_hash(seed, name), name).limit(k)
+        best = scores.orderBy(_best_first("score"), stable_hash(seed, name), name).limit(k)
         return ordered(best, name, (), seed)
     return ordered(scores, name, by, seed).filter(F.col("pos") <= k)
 
@@ -162,7 +167,7 @@ def mrmr(df: DataFrame, cols: list[str], label: str, task: str, k: int | None =
     """
     score_fn = stats.f_classif if task == "classification" else stats.f_regression
     relevance = {r["feature"]: r["score"] for r in small_rows(score_fn(df, cols, label))}
-    rel = np.array([relevance.get(c) or 0.0 for c in cols])
+    rel = np.nan_to_num([relevance.get(c) or 0.0 for c in cols])
     corr = np.abs(stats.pair_correlations(df, cols))
     left, chosen, out = list(range(len(cols))), [], []
     for _ in range(k or len(cols)):
@@ -222,7 +227,7 @@ def filter_features(df, cols, label, task, ratio: float, score_fn="mi") -> DataF
     positions = {c: i for i, c in enumerate(cols)}
     rows = [
         (r["feature"], float(r["score"]), positions[r["feature"]])
-        for r in small_rows(fn(df, cols, label, task)) if r["score"] is not None
+        for r in small_rows(fn(df, cols, label, task)) if r["score"] is not None and not math.isnan(r["score"])
     ]
     table = df.sparkSession.createDataFrame(rows, "feature string, score double, col int")
     return top_percentile(table, "feature", int(100 * ratio), order="col").drop("col")

@@ -60,8 +60,8 @@ def pearson(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """Absolute Pearson correlation of each feature with the label."""
     parts = []
     for chunk in _chunks(cols):
-        aggs = [F.abs(F.corr(F.col(f"`{c}`").cast("double"), F.col(label).cast("double"))).alias(f"{i}_score")
-                for i, c in enumerate(chunk)]
+        y = nan_to_null(F.col(f"`{label}`"))
+        aggs = [F.abs(F.corr(nan_to_null(F.col(f"`{c}`")), y)).alias(f"{i}_score") for i, c in enumerate(chunk)]
         parts.append(_stack(df.agg(*aggs), [], chunk, ["score"]))
     out = parts[0]
     for p in parts[1:]:
@@ -75,7 +75,7 @@ def spearman(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     The label ranks are attached once; every feature then needs only sums per
     distinct value, so no second rank join back to the rows is made.
     """
-    base = df.withColumn("_y", F.col(label).cast("double")).filter(F.col("_y").isNotNull())
+    base = df.withColumn("_y", nan_to_null(F.col(f"`{label}`"))).filter(F.col("_y").isNotNull())
     y_ranks = mid_ranks(base.select("_y"), [], "_y").select(
         "_y", (F.col("mid_rank") - (F.col("total_n") + 1) / F.lit(2.0)).alias("_ry")
     )
@@ -96,12 +96,12 @@ def spearman(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 
 
 def class_moments(df: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """(label, feature, n, mean, var): one aggregate, as many rows as classes."""
+    """(label, feature, n, mean, var): one aggregate, as many rows as classes; missing values skipped."""
     parts = []
     for chunk in _chunks(cols):
         aggs = []
         for i, c in enumerate(chunk):
-            v = F.col(f"`{c}`").cast("double")
+            v = nan_to_null(F.col(f"`{c}`"))
             aggs += [F.count(v).alias(f"{i}_n"), F.avg(v).alias(f"{i}_mean"), F.var_pop(v).alias(f"{i}_var")]
         parts.append(_stack(df.groupBy(label).agg(*aggs), [label], chunk, ["n", "mean", "var"]))
     out = parts[0]
@@ -115,7 +115,7 @@ def _between_within(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     n, mu, var = F.col("n"), F.col("mean"), F.col("var")
     # sum n*(mu - m)^2 is sum n*mu^2 - n*m^2, taken around a per-feature origin for accuracy
     w = Window.partitionBy("feature")  # one row per class
-    centred = per_class.withColumn("_m", F.sum(n * mu).over(w) / F.sum(n).over(w))
+    centred = per_class.filter(n > 0).withColumn("_m", F.sum(n * mu).over(w) / F.sum(n).over(w))
     return centred.groupBy("feature").agg(
         F.sum(n * (mu - F.col("_m")) * (mu - F.col("_m"))).alias("between"),
         F.sum(n * var).alias("within"),
@@ -144,7 +144,7 @@ def f_regression(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     for chunk in _chunks(cols):
         aggs = []
         for i, c in enumerate(chunk):
-            v, y = F.col(f"`{c}`").cast("double"), F.col(label).cast("double")
+            v, y = nan_to_null(F.col(f"`{c}`")), nan_to_null(F.col(f"`{label}`"))
             aggs += [F.corr(v, y).alias(f"{i}_r"), F.count(F.when(v.isNotNull(), y)).alias(f"{i}_n")]
         parts.append(_stack(df.agg(*aggs), [], chunk, ["r", "n"]))
     out = parts[0]
@@ -184,9 +184,10 @@ def feature_edges(df: DataFrame, cols: list[str], bins: int) -> dict[str, list[f
 
 
 def _edge_bin(c: str, edges: list[float]) -> Column:
-    if not edges:
-        return F.lit(0)
-    return bin_of(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(float(e)) for e in edges]))
+    """The bin of a value; NULL where it is missing."""
+    v = nan_to_null(F.col(f"`{c}`"))
+    at = bin_of(v, F.array(*[F.lit(float(e)) for e in edges])) if edges else F.lit(0)
+    return F.when(v.isNotNull(), at)
 
 
 def mutual_info_binned(
@@ -209,6 +210,7 @@ def mutual_info_binned(
     ])
     narrow = spread(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, label])]))
     long = narrow.select(y.cast("string").alias("y"), F.explode(entries).alias("_e")).select("y", "_e.*")
+    long = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     return mutual_info_counts(long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
 
 
