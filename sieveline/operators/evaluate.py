@@ -14,10 +14,10 @@ from sieveline.operators.ordering import cumulative
 from sieveline.runtime import spread
 
 
-def _score_totals(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+def _score_totals(df: DataFrame, label: str, score: str, by: list[str], series: int | None = None) -> DataFrame:
     pos = (F.col(label) > 0.5).cast("bigint")
     narrow = spread(df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias(label)))
-    return cumulative(narrow, by, "_s", {"pos": pos, "neg": 1 - pos})
+    return cumulative(narrow, by, "_s", {"pos": pos, "neg": 1 - pos}, series=series)
 
 
 def _auroc_sum():
@@ -30,11 +30,11 @@ def _auprc_sum():
     return F.sum(F.col("pos") * tp / n)
 
 
-def auroc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
-    """Area under the ROC curve; a tied pair counts one half."""
+def auroc(df: DataFrame, label: str, score: str, by: list[str] = (), series: int | None = None) -> DataFrame:
+    """Area under the ROC curve; a tied pair counts one half.  ``series``: the most groups there can be, if known."""
     by = list(by)
     pairs = F.max("total_pos").cast("double") * F.max("total_neg")
-    return _score_totals(df, label, score, by).groupBy(*by).agg(
+    return _score_totals(df, label, score, by, series).groupBy(*by).agg(
         (_auroc_sum() / F.when(pairs > 0, pairs)).alias("auroc")
     )
 

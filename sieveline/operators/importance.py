@@ -58,7 +58,7 @@ def permutation(
         "_r", "_j", "_y", (F.col("_m") + F.col("_delta")).alias("_s")
     )
     if task == "classification":
-        per = auroc(scored, "_y", "_s", by=["_j", "_r"]).withColumnRenamed("auroc", "_v")
+        per = auroc(scored, "_y", "_s", by=["_j", "_r"], series=len(cols) * n_repeats).withColumnRenamed("auroc", "_v")
         full = auroc(base, "_y", "_m").first()["auroc"]
         drop = F.lit(full) - F.col("_v")
     else:

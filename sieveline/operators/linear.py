@@ -293,7 +293,7 @@ def cv_scores(df, cols, label, models, specs, fold, task) -> np.ndarray:
 
     scored = margins_long(df, cols, label, models, specs, fold)
     if task == "classification":
-        rows = auroc(scored, "y", "margin", by=["model"]).collect()  # one row per model
+        rows = auroc(scored, "y", "margin", by=["model"], series=len(specs)).collect()  # one row per model
         out = {r["model"]: r["auroc"] for r in rows}
     else:
         rows = scored.groupBy("model").agg(F.avg(F.abs(F.col("y") - F.col("margin"))).alias("mae")).collect()
@@ -510,7 +510,7 @@ def group_lasso_path(train, cols, label, groups: list[int], lambdas=None, evalua
     specs = [LogisticSpec(range(d)) for _ in models]
     target = evaluate_on if evaluate_on is not None else train
     scored = margins_long(target, cols, label, models, specs, None)
-    aurocs = {r["model"]: r["auroc"] for r in auroc(scored, "y", "margin", by=["model"]).collect()}
+    aurocs = {r["model"]: r["auroc"] for r in auroc(scored, "y", "margin", by=["model"], series=len(specs)).collect()}
     rows = []
     for step, (lam, (_, w)) in enumerate(zip(seq, models, strict=True)):
         kept = [c for c, v in zip(cols, w, strict=True) if abs(v) > 0]

@@ -5,17 +5,20 @@ one task.  Series here are features or models, so a single one can hold a third
 of all rows.  The functions below never do that:
 
 1. rows are first reduced to one row per (series, distinct value), map-side;
-2. each series is range-split into buckets at approximate quantiles, so a bucket
-   holds about ``1/buckets`` of it however skewed the series sizes are;
+2. each series is range-split into buckets at approximate quantiles of its distinct
+   values, so a bucket holds about ``1/buckets`` of them however skewed the series are;
 3. windows run per (series, bucket) and are shifted by the bucket totals, a table
    of ``series x buckets`` rows.
 
-The bucket edges only decide where the work runs; the results are exact.
+Sketches, bucket totals and brackets are tables of the same plan: nothing is run or
+collected while a plan is built, and no number of series is too many.  A caller that
+knows how many series there can be says so with ``series``; only then are these tables
+broadcast, when their size is bounded by it.  The bucket edges only decide where the
+work runs; the results are exact.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,16 +26,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.functions.scalars import HASH_BITS
-from sieveline.runtime import shuffle_width, small_rows, small_table
+from sieveline.functions.scalars import HASH_BITS, nan_to_null
+from sieveline.runtime import shuffle_width, small_rows, TooManyRows
 
-_SERIES_LIMIT = 20_000
 _STEP = 64  # edges compared per level when a value is placed in its bucket
+_BROADCAST_BYTES = 64 << 20
 
 
 def bucket_count(df: DataFrame) -> int:
     """Buckets per series: twice the shuffle width, so windows use the whole cluster."""
-    return max(8, min(4096, 2 * shuffle_width(df.sparkSession)))
+    return max(8, 2 * shuffle_width(df.sparkSession))
+
+
+def _bounded(table: DataFrame, by: list[str], series: int | None, row_bytes: int) -> DataFrame:
+    """``table`` (a row or few for each series) with a broadcast hint if its size is known to be small."""
+    most = 1 if not by else series
+    return F.broadcast(table) if most is not None and most * row_bytes <= _BROADCAST_BYTES else table
 
 
 def _bucket_of(value: str, n_edges: int) -> Column:
@@ -51,36 +60,37 @@ def cumulative(
     value: str,
     sums: dict[str, Column],
     buckets: int | None = None,
+    series: int | None = None,
 ) -> DataFrame:
     """One row per (``by``, distinct ``value``) with exact running totals.
 
     For each ``name → expression`` in ``sums`` the result has ``name`` (the sum
     over rows with that value), ``before_name`` (sum over strictly smaller
     values) and ``total_name`` (sum over the series).  Missing values are skipped.
+    The rows are read once and reduced; sketch, buckets and totals are made of the
+    reduced rows.
     """
     keys = list(by) or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
-    v = F.col(value).cast("double")
-    base = base.withColumn(value, v).filter(v.isNotNull() & ~F.isnan(v))
+    base = base.withColumn(value, nan_to_null(F.col(value))).filter(F.col(value).isNotNull())
     b = buckets or bucket_count(df)
-
     probs = [i / b for i in range(1, b)]
-    edges = base.groupBy(*keys).agg(F.percentile_approx(value, probs, 10 * b).alias("_edges"))
-    local_edges = small_table(edges, _SERIES_LIMIT)
-    edges = edges if local_edges is None else local_edges
+
+    per_value = base.groupBy(*keys, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()])
+    # naming the sums keeps this branch equal to the others, so that they share one exchange
+    whole = reduce(lambda x, y: x | y, [F.col(k).isNotNull() for k in sums], F.lit(True))
+    edges = per_value.groupBy(*keys).agg(F.percentile_approx(F.when(whole, F.col(value)), probs, 10 * b).alias("_edges"))
     if len(probs) > _STEP:
         every = F.transform(
             F.sequence(F.lit(_STEP), F.lit(len(probs)), F.lit(_STEP)), lambda i: F.element_at("_edges", i)
         )
         edges = edges.withColumn("_coarse", every)
-    per_value = base.groupBy(*keys, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()])
-    tagged = (
-        per_value.join(edges, keys).withColumn("_b", _bucket_of(value, len(probs))).drop("_edges", "_coarse")
-    )
+    tagged = per_value.join(_bounded(edges, by, series, 9 * b), keys)
+    tagged = tagged.withColumn("_b", _bucket_of(value, len(probs))).drop("_edges", "_coarse")
 
     over_buckets = Window.partitionBy(*keys).orderBy("_b")
     prior = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    entire = Window.partitionBy(*keys)
     offsets = (
         tagged.groupBy(*keys, "_b")
         .agg(*[F.sum(k).alias(f"_s_{k}") for k in sums])
@@ -88,16 +98,14 @@ def cumulative(
             *keys,
             "_b",
             *[F.coalesce(F.sum(f"_s_{k}").over(prior), F.lit(0)).alias(f"_off_{k}") for k in sums],
-            *[F.sum(f"_s_{k}").over(whole).alias(f"total_{k}") for k in sums],
+            *[F.sum(f"_s_{k}").over(entire).alias(f"total_{k}") for k in sums],
         )
     )
     within = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select(
         "*", *[F.coalesce(F.sum(k).over(within), F.lit(0)).alias(f"_in_{k}") for k in sums]
     )
-    # series x buckets rows: broadcast only when the series were found to be few
-    few = local_edges is not None and len(probs) <= 512
-    out = local.join(F.broadcast(offsets) if few else offsets, [*keys, "_b"])
+    out = local.join(_bounded(offsets, by, series, b * (32 + 16 * len(sums))), [*keys, "_b"])
     return out.select(
         *by,
         value,
@@ -107,9 +115,9 @@ def cumulative(
     )
 
 
-def mid_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def mid_ranks(df: DataFrame, by: list[str], value: str, series: int | None = None) -> DataFrame:
     """(``by``, ``value``, ``n``, ``mid_rank``): average rank of each distinct value."""
-    cum = cumulative(df, by, value, {"n": F.lit(1)})
+    cum = cumulative(df, by, value, {"n": F.lit(1)}, series=series)
     return cum.select(
         *by, value, "n", (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias("mid_rank"), "total_n"
     )
@@ -121,163 +129,100 @@ def mid_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 _ACCURACY = 10_000  # the sketch's rank error is at most n / _ACCURACY
 _MARGIN = 3.0 / _ACCURACY
-_SMALL_SERIES = 5 * _ACCURACY
-_COLLECT_ROWS = 500_000
-_REFINE = 200  # sub-intervals per refinement
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted (lo, hi) spans with those that meet joined."""
+    kind = "array<struct<lo:double,hi:double>>"
+
+    def add(found, span):
+        last = F.try_element_at(found, F.lit(-1))
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], span["hi"]).alias("hi"))
+        meets = (F.size(found) > 0) & (span["lo"] <= last["hi"])
+        joined = F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(longer))
+        return F.when(meets, joined).otherwise(F.concat(found, F.array(span))).cast(kind)
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
 
 
 def values_at(
-    df: DataFrame, by: list[str], value: str, probs: list[float], positions: Callable[[int], list[int]]
-) -> dict[tuple, tuple[int, dict[int, float]]]:
-    """Exact order statistics: series → (its size, {0-based position: value}).
-
-    ``positions(n)`` lists the wanted positions of a series of ``n`` values, each
-    within one rank of a share in ``probs``.  A quantile sketch brackets every
-    wanted value; the next pass counts the rows outside the brackets and the
-    distinct values inside them, which pins the value down exactly.  Brackets
-    that would still hold too many rows are narrowed first.  Rows are never
-    shuffled: a pass returns a few numbers per series.
+    df: DataFrame, by: list[str], value: str, probs: list[float], positions: Callable[[Column], Column],
+    series: int | None = None,
+) -> DataFrame:
+    """Exact order statistics: ``by``, ``n`` (values in the series) and ``at``, the values at 0-based positions.
+
+    ``positions(n)`` is the array of wanted positions of a series of ``n`` values, each
+    within one rank of a share in ``probs``.  A quantile sketch brackets every wanted value.
+    One more pass keeps the rows inside brackets, a few thousandths of all, and counts the
+    others by the bracket that follows them; ranks inside come from :func:`cumulative`.
+    Brackets and counts are tables on the executors, joined by series.
     """
     keys = list(by) or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
-    v = F.col(value).cast("double")
-    base = base.select(*keys, v.alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    base = base.select(*keys, nan_to_null(F.col(value)).alias("_v")).filter(F.col("_v").isNotNull())
     grid = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-_MARGIN, _MARGIN)})
+    place = {p: i for i, p in enumerate(grid)}
     sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", grid, _ACCURACY).alias("e")
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+        F.percentile_approx("_v", grid, _ACCURACY).alias("_e"),
     )
-    need, brackets, size = {}, {}, {}
-    for r in small_rows(sketch, _SERIES_LIMIT):
-        s = tuple(r[k] for k in keys)
-        at = dict(zip(grid, r["e"], strict=True))
-        size[s], need[s] = r["n"], sorted(set(positions(r["n"])))
-        brackets[s] = _merged([(at[min(max(p - _MARGIN, 0.0), 1.0)], at[min(max(p + _MARGIN, 0.0), 1.0)]) for p in probs])
-    if not need:
-        return {}
-    sized = lambda found: {(s if by else ()): (size[s], at) for s, at in found.items()}
-    if max(size.values()) <= _SMALL_SERIES:
-        return sized(_values_by_ranks(base, keys, need))
-
-    inside = sum(n * 2 * _MARGIN * len(probs) for n in size.values())
-    while inside > _COLLECT_ROWS:
-        brackets, inside = _narrowed(base, keys, brackets, need)
-    found = {}
-    rows = _bracketed(base, keys, brackets).groupBy(*keys, "_s", F.when(F.col("_in"), F.col("_v")).alias("x")).agg(
-        F.count(F.lit(1)).alias("c"), F.min("_v").alias("low")
+    end = lambda p: F.col("_e")[place[min(max(p, 0.0), 1.0)]]
+    spans = F.array(*[F.struct(end(p - _MARGIN).alias("lo"), end(p + _MARGIN).alias("hi")) for p in probs])
+    # the margin is a few ranks at least; in a shorter series every value is a candidate
+    entire = F.array(F.struct(F.col("_least").alias("lo"), F.col("_most").alias("hi")))
+    brackets = sketch.select(*keys, "n", _merged(F.when(F.col("n") * _MARGIN >= 4, spans).otherwise(entire)).alias("_m"))
+    room = 64 + 16 * len(probs)
+
+    tagged = base.join(_bounded(brackets.drop("n"), by, series, room), keys)
+    tagged = tagged.withColumn("_s", F.size(F.filter("_m", lambda m: m["hi"] < F.col("_v"))))
+    tagged = tagged.withColumn("_in", F.coalesce(F.try_element_at("_m", F.col("_s") + 1)["lo"] <= F.col("_v"), F.lit(False)))
+    # values inside brackets, and one row for the others before each bracket; both small
+    cells = tagged.groupBy(*keys, "_s", "_in", F.when(F.col("_in"), F.col("_v")).alias("_x")).agg(F.count(F.lit(1)).alias("c"))
+    inner = cumulative(cells.filter("_in"), [*keys, "_s"], "_x", {"c": F.col("c")})
+    sums = cells.groupBy(*keys, "_s").agg(F.sum(F.when(~F.col("_in"), F.col("c"))).alias("_out"), F.sum("c").alias("_c"))
+    prior = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bracket
+    ahead = sums.select(*keys, "_s", (F.coalesce(F.sum("_c").over(prior), F.lit(0)) + F.coalesce("_out", F.lit(0))).alias("_ahead"))
+    ranked = inner.join(ahead, [*keys, "_s"]).select(
+        *keys, F.col("_x"), (F.col("_ahead") + F.col("before_c")).alias("_low"), F.col("c").alias("_c")
     )
-    items: dict[tuple, list] = {}
-    for r in rows.collect():  # brackets per series plus the distinct values inside them
-        items.setdefault(tuple(r[k] for k in keys), []).append((r["low"], r["c"], r["x"]))
-    for s, wanted in need.items():
-        found[s] = _walk(sorted(items[s], key=lambda t: t[0]), wanted)
-        if found[s] is None:  # a value outside its bracket: fall back to the rank table
-            return sized(_values_by_ranks(base, keys, need))
-    return sized(found)
-
-
-def _merged(spans: list[tuple[float, float]]) -> list[list[float]]:
-    out: list[list[float]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return out
-
-
-def _bracketed(base: DataFrame, keys: list[str], brackets: dict) -> DataFrame:
-    """Rows with ``_s`` (brackets that end below the value) and ``_in`` (inside the next one)."""
-    schema = T.StructType([
-        *[base.schema[k] for k in keys],
-        T.StructField("_lo", T.ArrayType(T.DoubleType())), T.StructField("_hi", T.ArrayType(T.DoubleType())),
-    ])
-    rows = [(*s, [b[0] for b in bs], [b[1] for b in bs]) for s, bs in brackets.items()]
-    table = base.sparkSession.createDataFrame(rows, schema)  # one row per series, at most _SERIES_LIMIT
-    tagged = base.join(F.broadcast(table), keys).withColumn("_s", F.size(F.filter("_hi", lambda h: h < F.col("_v"))))
-    return tagged.withColumn("_in", F.coalesce(F.try_element_at("_lo", F.col("_s") + 1) <= F.col("_v"), F.lit(False)))
-
-
-def _walk(items: list[tuple], wanted: list[int]) -> dict[int, float] | None:
-    out, before, at = {}, 0, 0
-    for _, count, x in items:
-        while at < len(wanted) and wanted[at] < before + count:
-            if x is None:
-                return None
-            out[wanted[at]] = x
-            at += 1
-        before += count
-    return out
-
-
-def _narrowed(base: DataFrame, keys: list[str], brackets: dict, need: dict):
-    """Smaller brackets around the wanted positions, and an estimate of the rows inside them."""
-    inner = [i / _REFINE for i in range(_REFINE + 1)]
-    rows = _bracketed(base, keys, brackets).groupBy(*keys, "_s", "_in").agg(
-        F.count(F.lit(1)).alias("c"), F.min("_v").alias("low"),
-        F.percentile_approx(F.when(F.col("_in"), F.col("_v")), inner, _ACCURACY).alias("e"),
-    )
-    items: dict[tuple, list] = {}
-    for r in rows.collect():  # two rows per bracket
-        items.setdefault(tuple(r[k] for k in keys), []).append((r["low"], r["c"], r["e"]))
-    out, inside = {}, 0.0
-    for s, wanted in need.items():
-        spans, before, at = [], 0, 0
-        for low, count, edges in sorted(items[s], key=lambda t: t[0]):
-            while at < len(wanted) and wanted[at] < before + count:
-                if edges is None:
-                    spans.append((low, low))
-                else:
-                    f = (wanted[at] - before) / count * _REFINE
-                    lo, hi = max(int(f) - 1, 0), min(int(f) + 2, _REFINE)
-                    spans.append((edges[lo], edges[hi]))
-                    inside += count * (hi - lo) / _REFINE
-                at += 1
-            before += count
-        out[s] = _merged(spans)
-    return out, (0.0 if out == brackets else inside)
-
-
-def _values_by_ranks(base: DataFrame, keys: list[str], need: dict) -> dict:
-    """The same from running totals of all distinct values."""
-    cum = cumulative(base, keys, "_v", {"n": F.lit(1)})
-    schema = T.StructType([*[base.schema[k] for k in keys], T.StructField("_p", T.ArrayType(T.LongType()))])
-    wanted = base.sparkSession.createDataFrame([(*s, p) for s, p in need.items()], schema)
-    covered = lambda p: (p >= F.col("before_n")) & (p < F.col("before_n") + F.col("n"))
-    hits = cum.join(F.broadcast(wanted), keys).withColumn("_p", F.filter("_p", covered)).filter(F.size("_p") > 0)
-    out: dict[tuple, dict[int, float]] = {}
-    for r in hits.select(*keys, "_v", "_p").collect():  # one row per wanted position and series at most
-        out.setdefault(tuple(r[k] for k in keys), {}).update(dict.fromkeys(r["_p"], r["_v"]))
-    return out
-
+    ranked = ranked.join(sketch.select(*keys, "n"), keys).withColumn("_p", positions(F.col("n")))
+    covered = lambda p: (p >= F.col("_low")) & (p < F.col("_low") + F.col("_c"))
+    hits = ranked.withColumn("_h", F.filter(F.array_distinct("_p"), covered)).filter(F.size("_h") > 0)
+    hits = hits.select(*keys, "n", "_p", F.explode("_h").alias("_h"), "_x")
+    found = hits.groupBy(*keys, "n", "_p").agg(F.map_from_entries(F.collect_list(F.struct("_h", "_x"))).alias("_f"))
+    missed = F.raise_error(F.lit("a wanted value lies outside its bracket")).cast("array<double>")
+    at = F.transform("_p", lambda p: F.col("_f")[p])
+    at = F.when(F.size(F.col("_f")) == F.size(F.array_distinct("_p")), at).otherwise(missed)
+    return found.select(*by, "n", at.alias("at"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], series: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation: ``by`` plus ``q0 .. qk``."""
+    def ends(n):
+        spot = [F.lit(float(p)) * (n - 1) for p in probs]
+        return F.array(*[f(x).cast("long") for x in spot for f in (F.floor, F.ceil)])
 
-def _series_frame(df: DataFrame, by: list[str], rows: list[tuple], tail: str) -> DataFrame:
-    fields = [df.schema[c] for c in by]
-    return df.sparkSession.createDataFrame(rows, T.StructType([*fields, *T.StructType.fromDDL(tail).fields]))
+    found = values_at(df, by, value, probs, ends, series)
+    cuts = []
+    for i, p in enumerate(probs):
+        low, high = F.col("at")[2 * i], F.col("at")[2 * i + 1]
+        spot = F.lit(float(p)) * (F.col("n") - 1)
+        cuts.append((low + (high - low) * (spot - F.floor(spot))).alias(f"q{i}"))
+    return found.select(*by, *cuts)
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: ``by`` plus ``q0 .. qk``."""
-    ends = lambda n: [(math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in probs]
-    found = values_at(df, by, value, probs, lambda n: [x for pair in ends(n) for x in pair])
-    rows = []
-    for s, (n, at) in found.items():
-        cuts = [
-            float(at[lo] + (at[hi] - at[lo]) * (p * (n - 1) - lo)) for p, (lo, hi) in zip(probs, ends(n), strict=True)
-        ]
-        rows.append((*s, *cuts))
-    return _series_frame(df, by, rows, ", ".join(f"q{i} double" for i in range(len(probs))))
-
-
-def equal_depth_edges(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+def equal_depth_edges(df: DataFrame, by: list[str], value: str, k: int, series: int | None = None) -> DataFrame:
     """``by`` plus ``edges``: the values at 0-based positions ``floor(j*n/k)``, j=1..k-1.
 
     ``size(filter(edges, e <= v))`` is then the equal-depth bin of ``v``; equal
     values always share a bin.
     """
-    starts = lambda n: [j * n // k for j in range(1, k)]
-    found = values_at(df, by, value, [j / k for j in range(1, k)], starts)
-    rows = [(*s, [float(at[p]) for p in starts(n)]) for s, (n, at) in found.items()]
-    return _series_frame(df, by, rows, "edges array<double>")
+    if k < 2:
+        counts = df.filter(nan_to_null(F.col(value)).isNotNull())
+        counts = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
+        return counts.select(*by, F.array().cast("array<double>").alias("edges"))
+    starts = lambda n: F.array(*[F.floor(F.lit(j) * n / F.lit(k)).cast("long") for j in range(1, k)])
+    return values_at(df, by, value, [j / k for j in range(1, k)], starts, series).select(*by, F.col("at").alias("edges"))
 
 
 def bin_of(value, edges) -> Column:
@@ -289,150 +234,92 @@ def bin_of(value, edges) -> Column:
 # exact cuts of a total order: "the first k rows of each stratum"
 # ---------------------------------------------------------------------------
 
-_LEVEL_BITS = 12
-_LEAF_ROWS = 400_000  # rows that may be looked at directly, over all cuts of a level
-_HISTOGRAM_ROWS = 1_000_000  # rows of a level's histogram, over all strata or cuts
+_INLINE_CUTS = 256  # cuts that are looked at as literals; more are a table
+
+
+def _level_bits(df: DataFrame, bits: int) -> int:
+    """Key bits of a histogram: some hundred buckets a shuffle partition, so a bucket's rows are few."""
+    return min(bits, max(12, (128 * shuffle_width(df.sparkSession)).bit_length()))
 
 
 def exact_cuts(
-    df: DataFrame,
-    by: list[str],
-    key: Column,
-    tie: str,
-    ranks: Callable[[int, tuple], list[int]],
-    bits: int = HASH_BITS,
-) -> dict[tuple, list[tuple | None]]:
+    df: DataFrame, by: list[str], key: Column, tie: str, ranks: Callable[[Column], Column], bits: int = HASH_BITS,
+) -> dict[tuple, list[tuple]] | DataFrame:
     """Boundary rows of the order (``key``, ``tie``) within each stratum.
 
-    ``ranks(n, stratum)`` lists how many rows of a stratum of ``n`` go before each
-    cut; the result maps a stratum to its cuts, each the (key, tie) of the first row after
-    the cut, or None when every row lies before it.
+    ``ranks(n)`` is the ascending array of how many rows of a stratum of ``n`` go before each
+    cut (it may use the columns ``by``); a cut is the (key, tie) of the first row after it,
+    and is left out when every row lies before it.
 
-    A radix descent: a histogram of the key's top bits (one map-side reduced
-    aggregate) locates the bucket of each cut, and only buckets that are still
-    large are split by their next bits.  Histograms and the few rows of the last
-    buckets are all that leaves the executors, so applying the cuts is a pure
-    projection: the data rows are never shuffled or sorted.  Many strata take more,
-    coarser levels, so what a level collects is bounded by ``_HISTOGRAM_ROWS`` and
-    ``_LEAF_ROWS`` or, beyond, by a few rows for each cut that is returned.
+    A histogram of the key's top bits, a map-side reduced aggregate, says in which bucket
+    each cut lies and how many rows precede it there; only the rows of these buckets are
+    numbered.  Histogram, buckets and cuts are tables by (stratum, bucket), so any number of
+    strata will do.  A few cuts come back as {stratum: [(key, tie)]}, and applying them is
+    a projection; many as a table (``by``, ``_bounds``).
 
     ``key`` is a BIGINT in [0, 2**bits); rows with a NULL key take no part.
     """
-    base = df.select(*by, key.alias("_k"), F.col(tie).alias("_t"))
-    strata = base.select(*by).distinct().count() if by else 1
-    shift = max(bits - _level_bits(strata), 0)
-    hist = base.groupBy(*by, F.shiftright("_k", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    counts: dict[tuple, dict[int, int]] = {}
-    for r in hist.collect():  # at most 2**_level_bits rows for each stratum
-        if r["_b"] is not None:
-            counts.setdefault(tuple(r[c] for c in by), {})[r["_b"]] = r["_c"]
-
-    cuts: dict[tuple, list[tuple | None]] = {}
-    pending = []  # (stratum, cut number, bucket, rows before it in the bucket, rows in it)
-    for s, buckets in counts.items():
-        wanted = ranks(sum(buckets.values()), s)
-        cuts[s] = [None] * len(wanted)
-        pending += _locate(s, list(enumerate(wanted)), buckets)
-
-    while pending:
-        leaf = max(16, _LEAF_ROWS // len(pending))
-        leaves = [p for p in pending if p[4] <= leaf or shift == 0]
-        deeper = [p for p in pending if p not in leaves]
-        if leaves:
-            groups = {(p[0], p[2]) for p in leaves}
-            oversized = {(p[0], p[2]) for p in leaves if p[4] > leaf}
-            rows: dict[tuple, list] = {}
-            small = [g for g in groups if g not in oversized]
-            if small:
-                for r in _rows_in(base, by, small, shift).collect():  # at most _LEAF_ROWS, or 16 per cut
-                    rows.setdefault((tuple(r[c] for c in by), r["_b"]), []).append((r["_k"], r["_t"]))
-            for s, i, b, offset, _ in leaves:
-                if (s, b) in oversized:  # one key value repeated: order by the tie-break
-                    r = _rows_in(base, by, [(s, b)], shift).orderBy("_k", "_t").offset(offset).limit(1).collect()[0]
-                    cuts[s][i] = (r["_k"], r["_t"])
-                else:
-                    cuts[s][i] = sorted(rows[(s, b)])[offset]
-        if not deeper:
-            break
-        finer = max(shift - _level_bits(len(deeper)), 0)
-        inside = _rows_in(base, by, sorted({(p[0], p[2]) for p in deeper}, key=str), shift)
-        sub = inside.groupBy(*by, "_b", F.shiftright("_k", finer).alias("_f")).agg(F.count(F.lit(1)).alias("_c"))
-        fine: dict[tuple, dict[int, int]] = {}
-        for r in sub.collect():  # at most 2**_level_bits rows for each cut
-            fine.setdefault((tuple(r[c] for c in by), r["_b"]), {})[r["_f"]] = r["_c"]
-        pending = []
-        for s, i, b, offset, _ in deeper:
-            pending += _locate(s, [(i, offset)], fine[(s, b)])
-        shift = finer
-    return cuts
-
-
-def _level_bits(groups: int) -> int:
-    """Key bits that a level may resolve when so many groups are looked at together."""
-    return max(1, min(_LEVEL_BITS, int(math.log2(max(2, _HISTOGRAM_ROWS / max(1, groups))))))
-
-
-def _locate(stratum, wanted: list[tuple[int, int]], buckets: dict[int, int]) -> list[tuple]:
-    out, before = [], 0
-    order = sorted(wanted, key=lambda w: w[1])
-    at = 0
-    for b in sorted(buckets):
-        while at < len(order) and order[at][1] < before + buckets[b]:
-            i, rank = order[at]
-            out.append((stratum, i, b, rank - before, buckets[b]))
-            at += 1
-        before += buckets[b]
-    return out
-
-
-def _same(by: list[str], stratum: tuple) -> Column:
-    cond = F.lit(True)
-    for c, v in zip(by, stratum, strict=True):
-        cond = cond & F.col(c).eqNullSafe(F.lit(v))
-    return cond
-
-
-def _rows_in(base: DataFrame, by: list[str], groups, shift: int) -> DataFrame:
-    """Rows whose (stratum, bucket) is one of ``groups``, with the bucket as ``_b``.
-
-    A broadcast join with the few wanted buckets, so the key is computed once.
-    """
-    schema = T.StructType([*[base.schema[c] for c in by], T.StructField("_b", T.LongType())])
-    wanted = base.sparkSession.createDataFrame([(*s, b) for s, b in groups], schema)
-    tagged = base.withColumn("_b", F.shiftright("_k", shift))
-    cond = reduce(lambda x, y: x & y, [tagged[c].eqNullSafe(wanted[c]) for c in [*by, "_b"]])
-    return tagged.join(F.broadcast(wanted), cond, "left_semi")
-
-
-_INLINE_STRATA = 64
-
-
-def with_cut_index(df: DataFrame, by: list[str], cuts: dict, key: str, tie: str, out: str) -> DataFrame:
+    base = df.select(*by, key.alias("_k"), F.col(tie).alias("_t")).filter(F.col("_k").isNotNull())
+    shift = bits - _level_bits(df, bits)
+    base = base.withColumn("_b", F.shiftright("_k", shift))
+    hist = base.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    stratum = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # buckets of the histogram
+    prior = stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select("*", F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_low"), F.sum("_c").over(stratum).alias("_n"))
+    inside = lambda r: (r >= F.col("_low")) & (r < F.col("_low") + F.col("_c"))
+    hits = hist.select(*by, "_b", F.transform(F.filter(ranks(F.col("_n")), inside), lambda r: (r - F.col("_low")).cast("long")).alias("_r"))
+    hits = hits.filter(F.size("_r") > 0)
+    hits = hits.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(by)], F.col("_b").alias("_of_b"), "_r")
+    few = _collected(hits, _INLINE_CUTS)
+    if few is not None:
+        hits = F.broadcast(df.sparkSession.createDataFrame(few, hits.schema))
+    cond = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(by)]
+    rows = base.join(hits, reduce(lambda x, y: x & y, cond, F.col("_b") == F.col("_of_b"))).select(*by, "_b", "_k", "_t", "_r")
+    number = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_k", "_t")) - 1
+    times = F.size(F.filter("_r", lambda r: r == F.col("_i")))  # equal ranks are cuts of their own
+    bounds = rows.withColumn("_i", number.cast("long")).withColumn("_times", times).filter("_times > 0")
+    bounds = bounds.select(*by, F.struct(F.col("_k").alias("k"), F.col("_t").alias("t"), "_times").alias("_c"))
+    table = bounds.groupBy(*by).agg(F.sort_array(F.collect_list("_c")).alias("_c"))  # a stratum's cuts
+    each = F.flatten(F.transform("_c", lambda c: F.array_repeat(F.struct(c["k"].alias("k"), c["t"].alias("t")), c["_times"])))
+    table = table.select(*by, each.alias("_bounds"))
+    if few is None:
+        return table
+    return {tuple(r[c] for c in by): [(x["k"], x["t"]) for x in r["_bounds"]] for r in table.collect()}  # at most _INLINE_CUTS
+
+
+def _collected(df: DataFrame, limit: int) -> list | None:
+    """The rows, if there are at most ``limit``."""
+    try:
+        return small_rows(df, limit)
+    except TooManyRows:
+        return None
+
+
+def with_cut_index(df: DataFrame, by: list[str], cuts: dict | DataFrame, key: str, tie: str, out: str) -> DataFrame:
     """Add ``out`` = the number of cuts at or before the row (0 = before the first).
 
-    A projection with literal bounds for a few strata, a join with the table of
-    bounds for many.
+    A projection with literal bounds, or a join with the table of bounds.
     """
-    if len(cuts) <= _INLINE_STRATA:
+    if isinstance(cuts, dict):
         return df.withColumn(out, _inline_index(by, cuts, F.col(key), tie))
-    bound = T.StructType([T.StructField("k", T.LongType()), T.StructField("t", df.schema[tie].dataType)])
-    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("_bounds", T.ArrayType(bound))])
-    rows = [(*s, [b for b in bounds if b is not None]) for s, bounds in cuts.items()]
-    table = df.sparkSession.createDataFrame(rows, schema)
-    small = len(rows) <= _SERIES_LIMIT
     after = lambda b: (F.col(key) > b["k"]) | ((F.col(key) == b["k"]) & (F.col(tie) >= b["t"]))
-    joined = df.join(F.broadcast(table) if small else table, by, "left")
-    return joined.withColumn(out, F.coalesce(F.size(F.filter("_bounds", after)), F.lit(0))).drop("_bounds")
+    named = cuts.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(by)], "_bounds")
+    cond = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(by)], F.lit(True))
+    joined = df.join(named, cond, "left")
+    index = F.coalesce(F.size(F.filter("_bounds", after)), F.lit(0))
+    return joined.withColumn(out, index).drop("_bounds", *[f"_of_{i}" for i in range(len(by))])
+
+
+def _same(by: list[str], stratum: tuple) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, stratum, strict=True)], F.lit(True))
 
 
 def _inline_index(by: list[str], cuts: dict, key: Column, tie: str) -> Column:
     out = F.lit(0)
     for s, bounds in cuts.items():
         passed = F.lit(0)
-        for bound in bounds:
-            if bound is not None:
-                after = (key > F.lit(bound[0])) | ((key == F.lit(bound[0])) & (F.col(tie) >= F.lit(bound[1])))
-                passed = passed + after.cast("int")
+        for k, t in bounds:
+            passed = passed + ((key > F.lit(k)) | ((key == F.lit(k)) & (F.col(tie) >= F.lit(t)))).cast("int")
         out = passed if not by else F.when(_same(by, s), passed).otherwise(out)
     return out
 
@@ -444,10 +331,10 @@ def row_positions(df: DataFrame, key: Column, tie: str, out: str, by: list[str]
     are shifted by the bucket sizes.
     """
     by = list(by)
-    bits = min(16, max(3, bucket_count(df).bit_length()))
+    bits = max(3, bucket_count(df).bit_length())
     tagged = df.withColumn("_k", key).withColumn("_b", F.shiftright(F.col("_k"), HASH_BITS - bits))
     counts = tagged.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    # at most 65,536 bucket sizes per group
+    # a few bucket sizes for each shuffle partition and group
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_k", tie)) - 1

@@ -1,7 +1,7 @@
 """Splits, folds and samples: deterministic, engine-independent, exact in size.
 
 Rows are ordered by a seeded md5 of their id; a split is a cut of that order.
-See ``ordering.exact_cuts``: no data row is shuffled to assign it.
+See ``ordering.exact_cuts``: with few strata no data row is shuffled to assign it.
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.scalars import stable_hash
 from sieveline.operators.ordering import exact_cuts, with_cut_index
-from sieveline.runtime import small_rows, spread
+from sieveline.runtime import spread
 
 TEST_SEED = 42  # fixed value: the test set is the same for every run seed
 
 
-def _first_share(n: int, share: float) -> int:
+def _first_share(share: float):
     # rounded first, so that a product like 3.0000000000000004 counts as 3
-    return math.ceil(round(n * share, 9))
+    return lambda n: F.array(F.ceil(F.round(n * F.lit(float(share)), 9)).cast("long"))
 
 
 def split(
@@ -40,11 +40,11 @@ def split(
     keys = {"_ht": stable_hash(TEST_SEED, row_id), "_hv": stable_hash(f"val{seed}", row_id)}
     # only ids, labels and hashes are kept, for the few passes that find the cuts
     ids = spread(df.select(*by, row_id)).withColumns(keys).persist()
-    test_cuts = exact_cuts(ids, by, F.col("_ht"), row_id, lambda n, _: [_first_share(n, test_share)])
+    test_cuts = exact_cuts(ids, by, F.col("_ht"), row_id, _first_share(test_share))
     val_cuts = None
     if val_share is not None:
         rest = with_cut_index(ids, by, test_cuts, "_ht", row_id, "_rest").filter(F.col("_rest") > 0)
-        val_cuts = exact_cuts(rest, by, F.col("_hv"), row_id, lambda n, _: [_first_share(n, val_share)])
+        val_cuts = exact_cuts(rest, by, F.col("_hv"), row_id, _first_share(val_share))
     ids.unpersist()
 
     marked = with_cut_index(df.withColumns(keys), by, test_cuts, "_ht", row_id, "_rest")
@@ -61,9 +61,13 @@ def take_split(df: DataFrame, part: str) -> DataFrame:
     return df if part == "all" else df.filter(F.col("split") == part)
 
 
-def _fold_starts(n: int, k: int) -> list[int]:
+def _fold_starts(k: int):
     # k blocks whose sizes differ by at most one, larger blocks first
-    return [i * (n // k) + min(i, n % k) for i in range(1, k)]
+    def starts(n):
+        least = F.floor(n / F.lit(k)).cast("long")
+        return F.array(*[F.lit(i) * least + F.least(F.lit(i), n % k) for i in range(1, k)]).cast("array<long>")
+
+    return starts
 
 
 def folds(df: DataFrame, row_id: str, k: int = 5, label: str | None = None, seed: int = 1) -> DataFrame:
@@ -71,7 +75,7 @@ def folds(df: DataFrame, row_id: str, k: int = 5, label: str | None = None, seed
     by = [label] if label else []
     h = stable_hash(f"fold{seed}", row_id)
     ids = spread(df.select(*by, row_id)).withColumn("_h", h).persist()
-    cuts = exact_cuts(ids, by, F.col("_h"), row_id, lambda n, _: _fold_starts(n, k))
+    cuts = exact_cuts(ids, by, F.col("_h"), row_id, _fold_starts(k))
     ids.unpersist()
     return with_cut_index(df.withColumn("_h", h), by, cuts, "_h", row_id, "fold").drop("_h")
 
@@ -83,37 +87,33 @@ def block_folds(df: DataFrame, row_id: str, k: int = 5) -> DataFrame:
         return df.withColumn("fold", F.lit(0))
     keyed = df.withColumn("_h", F.col(row_id).cast("bigint") - F.lit(int(lo)))
     bits = max(int(hi - lo).bit_length(), 1)
-    cuts = exact_cuts(keyed, [], F.col("_h"), row_id, lambda n, _: _fold_starts(n, k), bits)
+    cuts = exact_cuts(keyed, [], F.col("_h"), row_id, _fold_starts(k), bits)
     return with_cut_index(keyed, [], cuts, "_h", row_id, "fold").drop("_h")
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    rows = small_rows(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), 10_000)
-    return {r[label]: r["n"] for r in rows}
-
-
-def _keep_quota(df: DataFrame, row_id: str, label: str, seed, quota: dict) -> DataFrame:
+def _keep_quota(df: DataFrame, row_id: str, label: str, seed, quota) -> DataFrame:
+    """The first ``quota(n)`` rows of each class of ``n`` rows, in hash order."""
     keyed = df.withColumn("_h", stable_hash(seed, row_id))
-    sizes = {(c,): q for c, q in quota.items()}
-    cuts = exact_cuts(keyed, [label], F.col("_h"), row_id, lambda n, s: [sizes.get(s, 0)])
+    cuts = exact_cuts(keyed, [label], F.col("_h"), row_id, lambda n: F.array(quota(n).cast("long")))
     marked = with_cut_index(keyed, [label], cuts, "_h", row_id, "_cut")
     return marked.filter(F.col("_cut") == 0).drop("_h", "_cut")
 
 
 def balance(df: DataFrame, row_id: str, label: str, seed: int = TEST_SEED) -> DataFrame:
     """Keep all positives (label 1) and equally many negatives, chosen by hash."""
-    counts = class_counts(df, label)
-    n_pos = next((n for c, n in counts.items() if c == 1), 0)
-    return _keep_quota(df, row_id, label, f"bal{seed}", {c: min(n, n_pos) for c, n in counts.items()})
+    n_pos = df.filter(F.col(label) == 1).count()
+    return _keep_quota(df, row_id, label, f"bal{seed}", lambda n: F.least(n, F.lit(n_pos)))
 
 
 def stratified_cap(df: DataFrame, row_id: str, label: str, cap: int = 50_000, seed: int = 1) -> DataFrame:
     """At most ``cap`` rows with the class shares kept; all rows when there are fewer."""
-    counts = class_counts(df, label)
-    total = sum(counts.values())
+    total = df.count()
     if total <= cap:
         return df
-    return _keep_quota(df, row_id, label, f"cap{seed}", {c: cap * n // total for c, n in counts.items()})
+    def share(n):
+        return (n * F.lit(cap) - (n * F.lit(cap)) % F.lit(total)) / F.lit(total)
+
+    return _keep_quota(df, row_id, label, f"cap{seed}", share)
 
 
 def sample_names(names: DataFrame, name: str, ratio: float, seed: int = 1) -> DataFrame:

@@ -83,7 +83,7 @@ def spearman(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     long = to_long(rows, cols, ["_ry"])
     cum = cumulative(
         long, ["feature"], "value",
-        {"n": F.lit(1), "sy": F.col("_ry"), "syy": F.col("_ry") * F.col("_ry")},
+        {"n": F.lit(1), "sy": F.col("_ry"), "syy": F.col("_ry") * F.col("_ry")}, series=len(cols),
     )
     rx = F.col("before_n") + (F.col("n") + 1) / F.lit(2.0) - (F.col("total_n") + 1) / F.lit(2.0)
     sums = cum.groupBy("feature").agg(
@@ -179,7 +179,7 @@ def mutual_info_discrete(df: DataFrame, cols: list[str], label: str) -> DataFram
 
 def feature_edges(df: DataFrame, cols: list[str], bins: int) -> dict[str, list[float]]:
     """Equal-depth bin edges per column (a fitted, column-sized statistic)."""
-    rows = small_rows(equal_depth_edges(to_long(df, cols, []), ["feature"], "value", bins))
+    rows = small_rows(equal_depth_edges(to_long(df, cols, []), ["feature"], "value", bins, series=len(cols)))
     return {r["feature"]: [e for e in r["edges"] if e is not None] for r in rows}
 
 

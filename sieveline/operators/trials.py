@@ -107,11 +107,11 @@ def predictions(fitted, vec: DataFrame, task: str) -> DataFrame:
     return out.select("split", "label", prob.alias("prob"))
 
 
-def trial_metrics(scored: DataFrame, task: str) -> dict[tuple[int, str], float]:
+def trial_metrics(scored: DataFrame, task: str, n_trials: int) -> dict[tuple[int, str], float]:
     """(trial, split) → AUROC or mean absolute error, for all trials in one evaluation."""
     keys = ["trial", "split"]
     if task == "classification":
-        rows = auroc(scored, "label", "prob", by=keys).collect()  # three rows per trial
+        rows = auroc(scored, "label", "prob", by=keys, series=3 * n_trials).collect()  # three rows per trial
         return {(r["trial"], r["split"]): r["auroc"] for r in rows}
     rows = scored.groupBy(*keys).agg(mae("label", "prob").alias("mae")).collect()  # three rows per trial
     return {(r["trial"], r["split"]): r["mae"] for r in rows}
@@ -136,7 +136,7 @@ def _linear_trials(df: DataFrame, cols: list[str], label: str, task: str, params
         scored = scored.select(
             F.col("model").alias("trial"), split_name.alias("split"), F.col("y").alias("label"), F.col("margin").alias("prob")
         )
-        return trial_metrics(scored, task)
+        return trial_metrics(scored, task, len(params))
     finally:
         rows.unpersist()
 
@@ -166,7 +166,7 @@ def random_search(
             for trial, f in enumerate(fitted):
                 part = predictions(f, vec, task).withColumn("trial", F.lit(trial))
                 scored = part if scored is None else scored.unionByName(part)
-            metric = trial_metrics(scored, task)
+            metric = trial_metrics(scored, task, n_trials)
         finally:
             vec.unpersist()
     rows = [
