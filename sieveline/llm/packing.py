@@ -33,6 +33,8 @@ from sieveline.llm.tokens import ByteBpe
 
 #: Parts of the pieces of one length: at least so many, and one for so many pieces.
 _SALTS, _SALT_ROWS = 256, 100_000
+#: Deepest levels of the search that hold their fillings; each takes up to a megabyte.
+_LEVELS = 32
 
 
 def _pieces(capacity: int, end_id: int, vocabulary, ranks, keep_ids: bool):
@@ -223,10 +225,12 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -
                 bisect.insort(sizes, s)
         waste, used = waste + times * (capacity - sum(pattern)), used + times
 
-    def options():
-        """Fillings around the longest length left; equal longest ones take them in order."""
+    def options(tried):
+        """Fillings around the longest length left, after ``tried``; equal longest ones take them in order."""
         large = sizes[-1]
         after = _key(path[-1][0], capacity) if path and path[-1][0][0] == large else None
+        if tried is not None:
+            after = max(after or (-1, []), _key(tried, capacity))
         counts = dict(left)
         counts[large] -= 1
         rest = list(sizes) if counts[large] else sizes[:-1]
@@ -235,7 +239,9 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -
             if after is None or _key(pattern, capacity) > after:
                 yield pattern
 
-    stack = [options()] if fewest > bound else []
+    # a level's fillings and the last one it used; only the deepest levels keep their
+    # generators, others are made anew when the search comes back to them
+    stack: list[list] = [[options(None), None]] if fewest > bound else []
     while stack and tries < steps and fewest > bound:
         if len(path) == len(stack):  # back from below: use the last filling once less, or another one
             pattern, times = path[-1]
@@ -244,11 +250,14 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -
             if not times:
                 path.pop()
         else:
-            pattern = next(stack[-1], None)
+            if stack[-1][0] is None:
+                stack[-1][0] = options(stack[-1][1])
+            pattern = next(stack[-1][0], None)
             # wastes grow, so when one filling can't beat the incumbent no later one can
             if pattern is None or waste + capacity - sum(pattern) > (fewest - 1) * capacity - total:
                 stack.pop()
                 continue
+            stack[-1][1] = pattern
             room = (fewest - 1) * capacity - total - waste
             times = min(left[s] // pattern.count(s) for s in set(pattern))
             if sum(pattern) < capacity:
@@ -259,7 +268,9 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -
         tries += 1
         take(pattern, times)
         if sizes and used + 1 < fewest:
-            stack.append(options())
+            if len(stack) >= _LEVELS:
+                stack[-_LEVELS][0] = None
+            stack.append([options(None), None])
         elif not sizes and used < fewest:
             fewest, best = used, [tuple(p) for p in path]
     return best

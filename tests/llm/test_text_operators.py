@@ -243,7 +243,9 @@ def brute_bins(sizes, capacity):
     return best
 
 
-def test_bin_completion_is_near_the_optimum():
+@pytest.mark.parametrize("levels", [32, 1])
+def test_bin_completion_is_near_the_optimum(monkeypatch, levels):
+    monkeypatch.setattr(packing, "_LEVELS", levels)  # 1: every level above the last makes its fillings anew
     draw = np.random.default_rng(4)
     equal = 0
     for _ in range(40):
