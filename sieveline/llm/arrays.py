@@ -149,6 +149,17 @@ def unpacked(blob, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def packed_by_byte(array: np.ndarray) -> bytes:
+    """Like :func:`packed`, all first bytes of the numbers, then all second ones, ...: small numbers shrink more."""
+    flat_ = np.ascontiguousarray(array).reshape(-1)
+    return packed(flat_.view(np.uint8).reshape(len(flat_), flat_.itemsize).T)
+
+
+def unpacked_by_byte(blob, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(unpacked(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 def runs(ordered: np.ndarray) -> np.ndarray:
     """Where each run of equal values of a sorted array starts, and its length at the end."""
     if not len(ordered):

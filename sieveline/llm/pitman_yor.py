@@ -37,10 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.arrays import batch_of, by_group, packed, runs, slices, unpacked, word_hashes, words
+from sieveline.llm.arrays import batch_of, by_group, runs, slices, word_hashes, words
+from sieveline.llm.arrays import packed_by_byte as packed
+from sieveline.llm.arrays import unpacked_by_byte as unpacked
 from sieveline.llm.frames import stored
 
-CHUNK_TOKENS, CHUNK_TEXTS = 3 << 19, 1 << 16
+CHUNK_TOKENS, CHUNK_TEXTS = 1 << 20, 1 << 16
 #: Bytes of text for a block, texts a block in the sample for frequent tokens, parts of a block.
 BLOCK_BYTES, SAMPLE, SPLIT = 8 << 20, 40, 4
 _END, _START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x57A7257A7257A725)
@@ -50,7 +52,8 @@ _HALF = np.uint64(32)
 #: turn; then (pair, text) entries: pairs, texts, counts. kind 1, a chunk's pairs for a block: tokens,
 #: pairs of each, contexts, customers. kind 2, a block: pairs of each token, contexts, customers;
 #: spread tokens' places and numbers; groups' cuts in the contexts, their hashes; chunks and
-#: how many pairs each sent, these pairs.
+#: how many pairs each sent, these pairs. Contexts of a block's pairs and all (pair, text) and chunks'
+#: pairs are steps from the one before.
 _COLUMNS = ["a", "b", "c", "d", "e", "f", "g", "h", "i"]
 _ROWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), *[(x, pa.binary()) for x in _COLUMNS]])
 _ROWS_DDL = "bucket int, chunk long, kind int, " + ", ".join(f"{x} binary" for x in _COLUMNS)
@@ -194,7 +197,7 @@ def _gather(groups: int, frequent: np.ndarray):
         steps[first] = of[first]
         del of, learned
         cuts = np.searchsorted(_scaled(contexts, groups), np.arange(groups + 1))
-        blobs = [each, every.astype(np.uint32), customers, *_places(names, frequent), cuts, contexts, np.stack([chunks, entries]).astype(np.int64), steps.astype(np.uint32)]
+        blobs = [each, np.diff(every.astype(np.uint32), prepend=np.uint32(0)), customers, *_places(names, frequent), cuts, contexts, np.stack([chunks, entries]).astype(np.int64), steps.astype(np.uint32)]
         yield batch_of(_ROWS, [[x] for x in _row(group[0], chunks[0], 2, *map(packed, blobs))])
 
     return task
@@ -287,12 +290,17 @@ def _local(model: dict, batches):
     return rows[0], unpacked(rows[0]["d"], np.int64), total, {**model, "states": states, "spread": [(s[0][number], s[1][number]) for s in model["states"]]}
 
 
+def _pairs(r: dict):
+    """A block's pairs of each token, their contexts and customers."""
+    return unpacked(r["a"], np.uint32), np.cumsum(unpacked(r["b"], np.uint32), dtype=np.uint32), unpacked(r["c"], np.int64)
+
+
 def _totals(shared):
     """A block's tables after the next sweep, to the groups of its contexts, and its counts."""
 
     def task(key, batches):
         r, at, _, model = _local(shared.value, batches)
-        each, context, customers = unpacked(r["a"], np.uint32), unpacked(r["b"], np.uint32), unpacked(r["c"], np.int64)
+        each, context, customers = _pairs(r)
         for token, tables, root, root_tables in _seatings(model, r["bucket"], each, context, customers, at):  # noqa: B007
             pass
         sweep, cuts = len(model["states"]), unpacked(r["f"], np.int64)
@@ -366,7 +374,7 @@ def _score(shared, keep: int):
 
     def task(key, batches):
         r, at, total, model = _local(shared.value, batches)
-        each, context, customers = unpacked(r["a"], np.uint32), unpacked(r["b"], np.uint32), unpacked(r["c"], np.int64)
+        each, context, customers = _pairs(r)
         uniform = 1 / (model["vocabulary"] + 1)
         p, used = np.zeros(len(context)), 0
         for sweep, (token, tables, root, root_tables) in enumerate(_seatings({**model, "states": model["states"][:-1]}, r["bucket"], each, context, customers, at)):
