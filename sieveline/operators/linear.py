@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Tasks whose sums are added in one group before the groups are.
 _FAN_IN = 64
+#: Numbers in one row of a task's sums.
+_TILE = 1 << 16
 
 
 def features_array(cols: list[str]):
@@ -50,9 +52,10 @@ def sum_blocks(
 
     ``kernel(x, y, w, fold)`` sees one Arrow batch as numpy arrays.  Rows with a
     missing or non-finite number are left out (complete cases); with ``missing``
-    the kernel gets all rows and finds NaN there.  A task emits one row per key;
-    the rows are added element-wise by a JVM vector summary, first within groups of
-    tasks, so that no reducer gets a row from every task.
+    the kernel gets all rows and finds NaN there.  A task emits each key's array in
+    tiles of half a megabyte, so a wide matrix is no wide row; tiles are added
+    element-wise by a JVM vector summary, spread by key and tile, first within groups
+    of tasks, so that no reducer gets a row from every task.
     """
     packed = df.select(
         features_array(cols).alias("x"),
@@ -77,22 +80,27 @@ def sum_blocks(
                     continue
             for key, m in kernel(x, y, w, f):
                 acc[key] = acc[key] + m if key in acc else np.array(m, dtype=float)
-        if acc:
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(list(acc), pa.int32()),
-                "grp": pa.array([part // _FAN_IN] * len(acc), pa.int32()),
-                "v": pa.array([m.ravel() for m in acc.values()], pa.list_(pa.float64())),
-            })
+        for key, m in acc.items():
+            flat = m.ravel()
+            for tile in range(0, max(1, len(flat)), _TILE):
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array([key], pa.int32()), "tile": pa.array([tile // _TILE], pa.int32()),
+                    "grp": pa.array([part // _FAN_IN], pa.int32()),
+                    "v": pa.array([flat[tile : tile + _TILE]], pa.list_(pa.float64())),
+                })
 
     sums = (
-        packed.mapInArrow(partial, "key int, grp int, v array<double>")
-        .groupBy("key", "grp")
+        packed.mapInArrow(partial, "key int, tile int, grp int, v array<double>")
+        .groupBy("key", "tile", "grp")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-        .groupBy("key")
+        .groupBy("key", "tile")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-        .collect()  # one row per model, feature-sized
+        .collect()  # feature-sized, in tiles
     )
-    return {r["key"]: np.array(r["v"]) for r in sums}
+    out: dict[int, list] = {}
+    for r in sorted(sums, key=lambda r: (r["key"], r["tile"])):
+        out.setdefault(r["key"], []).append(np.array(r["v"]))
+    return {key: np.concatenate(tiles) for key, tiles in out.items()}
 
 
 # --- ridge ------------------------------------------------------------------
@@ -420,94 +428,19 @@ GROUP_LAMBDAS = [
 ]
 
 
-def _group_quadratic(h, g, beta, groups, penalties, sweeps=500, tol=1e-9):
-    """Minimise 0.5 (b-beta)'H(b-beta) + g'(b-beta) + sum pen_k ||b_k|| by accelerated proximal steps."""
-    scale = max(np.linalg.eigvalsh(h)[-1], 1e-12)
-    x, z, t = beta.copy(), beta.copy(), 1.0
-    for _ in range(sweeps):
-        u = z - (g + h @ (z - beta)) / scale
-        new = u.copy()
-        for idx, pen in zip(groups, penalties, strict=True):
-            norm = np.linalg.norm(u[idx])
-            new[idx] = 0.0 if norm <= pen / scale else u[idx] * (1 - pen / scale / norm)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z = new + (t - 1) / t_new * (new - x)
-        if np.max(np.abs(new - x)) < tol:
-            return new
-        x, t = new, t_new
-    return x
-
-
-_BATCH_NUMBERS = 4_000_000  # numbers a task may hold for one joint pass over several penalties
-
-
-def _group_lasso_fit(train, cols, label, lambdas, members, scale, starts, passes, tol):
-    """Coefficients for several penalties at once: one data pass per joint step."""
-    d = len(cols)
-    betas = [b.copy() for b in starts]
-    steps: list[np.ndarray | None] = [None] * len(lambdas)
-    best = [np.inf] * len(lambdas)
-    done = [False] * len(lambdas)
-    known = [b.copy() for b in betas]
-    for _ in range(passes):
-        active = [i for i in range(len(lambdas)) if not done[i]]
-        if not active:
-            break
-        jobs = [(i, betas[i]) for i in active]
-
-        def kernel(x, y, w, f, jobs=jobs):
-            z = np.hstack([np.ones((len(x), 1)), x])
-            for i, beta in jobs:
-                m = z @ beta
-                p = 1.0 / (1.0 + np.exp(-np.clip(m, -500, 500)))
-                loss = np.sum(np.logaddexp(0, m) - y * m)
-                curve = (z * (p * (1 - p))[:, None]).T @ z
-                yield i, np.concatenate([[len(x), loss], z.T @ (p - y), curve.ravel()])
-
-        sums = sum_blocks(train, cols, label, kernel)
-        for i in active:
-            v, beta, pen = sums[i], betas[i], lambdas[i] * scale
-            n = v[0]
-            objective = v[1] / n + sum(q * np.linalg.norm(beta[idx]) for idx, q in zip(members, pen, strict=True))
-            if steps[i] is not None and objective > best[i] + 1e-10:
-                steps[i] = steps[i] / 2
-                betas[i] = beta - steps[i]
-                continue
-            best[i], known[i] = objective, beta
-            g, h = v[2 : d + 3] / n, v[d + 3 :].reshape(d + 1, d + 1) / n + 1e-8 * np.eye(d + 1)
-            new = _group_quadratic(h, g, beta, members, pen)
-            steps[i] = new - beta
-            betas[i] = new
-            done[i] = bool(np.max(np.abs(steps[i])) < tol)
-    _warn_open(done, passes)
-    return [b if ok else k for b, k, ok in zip(betas, known, done, strict=True)]
-
-
-def group_lasso_path(train, cols, label, groups: list[int], lambdas=None, evaluate_on=None, passes=15, tol=1e-5):
+def group_lasso_path(train, cols, label, groups: list[int], lambdas=None, evaluate_on=None):
     """Group-lasso logistic path from strong to weak penalties, then no penalty.
 
     Mean log loss + lambda * sum_k ||w_k|| / sqrt(|k|) (the groups' inverse size
-    scaling).  A step is one data pass that returns loss, gradient and curvature
-    for every penalty still moving; the penalised quadratics are solved on the
-    driver.  Wide tables are walked in runs of penalties, each started from the
-    previous run's last solution.  Returns rows (step, lambda, n_selected, auroc,
+    scaling), by :func:`sparse.sparse_path`.  Returns rows (step, lambda, n_selected, auroc,
     features); AUROC is on ``evaluate_on``.
     """
     from sieveline.operators.evaluate import auroc
+    from sieveline.operators.sparse import sparse_path
 
-    d = len(cols)
-    gid = np.asarray(groups)
-    members = [np.flatnonzero(gid == g) + 1 for g in np.unique(gid)]
-    scale = np.array([1.0 / np.sqrt(len(m)) for m in members])
     seq = sorted(lambdas if lambdas is not None else GROUP_LAMBDAS, reverse=True) + [0.0]
-    run = max(1, _BATCH_NUMBERS // (d + 2) ** 2)
-    betas, start = [], np.zeros(d + 1)
-    for lo in range(0, len(seq), run):
-        part = seq[lo : lo + run]
-        betas += _group_lasso_fit(train, cols, label, part, members, scale, [start] * len(part), passes, tol)
-        start = betas[-1]
-    models = [(float(b[0]), b[1:]) for b in betas]
-    specs = [LogisticSpec(range(d)) for _ in models]
+    models = sparse_path(train, cols, label, "classification", seq, groups, sizes=True)
+    specs = [LogisticSpec(range(len(cols))) for _ in models]
     target = evaluate_on if evaluate_on is not None else train
     scored = margins_long(target, cols, label, models, specs, None)
     aurocs = {r["model"]: r["auroc"] for r in auroc(scored, "y", "margin", by=["model"], series=len(specs)).collect()}
@@ -523,24 +456,14 @@ def group_lasso_path(train, cols, label, groups: list[int], lambdas=None, evalua
 
 def lasso_coefficients(df: DataFrame, cols: list[str], label: str, task: str, strength: float) -> list[tuple[str, float]]:
     """L1 coefficients per feature: C of a balanced logistic model, or alpha of a linear one."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.regression import LinearRegression
+    from sieveline.operators.sparse import sparse_path
 
-    vec = df.select(array_to_vector(features_array(cols)).alias("features"), F.col(label).cast("double").alias("label"))
+    penalty = strength
     if task == "classification":
-        counts = {r["label"]: r["count"] for r in vec.groupBy("label").count().collect()}  # classes
-        n = sum(counts.values())
-        weights = balanced_class_weights(counts)
-        w = F.when(F.col("label") > 0.5, F.lit(weights.get(1.0, 1.0))).otherwise(F.lit(weights.get(0.0, 1.0)))
-        model = LogisticRegression(
-            weightCol="w", elasticNetParam=1.0, regParam=1.0 / (strength * n), standardization=False,
-            maxIter=300, tol=1e-8,
-        ).fit(vec.withColumn("w", w))
-    else:
-        model = LinearRegression(
-            elasticNetParam=1.0, regParam=strength, standardization=False, maxIter=300, tol=1e-8
-        ).fit(vec)
-    return list(zip(cols, [float(c) for c in model.coefficients.toArray()], strict=True))
+        n = sum(_label_counts(df, cols, label, None).values())
+        penalty = 1.0 / (strength * max(1, n))
+    ((_, w),) = sparse_path(df, cols, label, task, [penalty], balanced=task == "classification")
+    return list(zip(cols, w.tolist(), strict=True))
 
 
 def logistic_ml(df: DataFrame, cols: list[str], label: str, c: float = 1.0):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import importance as imp
-from sieveline.operators import linear, report, trials
+from sieveline.operators import linear, sparse, report, trials
 from sieveline.operators import select as sel
 from sieveline.operators.encode import MixedEncoder
 from sieveline.operators.split import block_folds, folds, split
@@ -93,11 +93,11 @@ def test_group_lasso_path(planted):
     sizes = [r[2] for r in rows]
     assert sizes == sorted(sizes)
     # the walked path equals the joint one
-    old, linear._BATCH_NUMBERS = linear._BATCH_NUMBERS, 1
+    old, sparse._PASS_NUMBERS = sparse._PASS_NUMBERS, 1
     try:
         again = linear.group_lasso_path(df, COLS, "y", groups, lambdas)
     finally:
-        linear._BATCH_NUMBERS = old
+        sparse._PASS_NUMBERS = old
     assert [r[4] for r in again] == [r[4] for r in rows]
     assert np.allclose([r[3] for r in again], [r[3] for r in rows], atol=1e-4)
 
