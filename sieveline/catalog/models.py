@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from sieveline.catalog import query, r6, rounded, table
 from sieveline.catalog.fixtures import CUST, CUST_NUM, LINE, LINE_NUM, d6, duck_hash, fx_cust, fx_line
 from sieveline.operators import importance as imp
-from sieveline.operators import linear, stats, trials
+from sieveline.operators import infold, linear, stats, trials
 from sieveline.operators import select as sel
 from sieveline.operators.encode import ColumnFilter, MixedEncoder
 from sieveline.operators.split import block_folds, folds, split, take_split
+from sieveline.operators.sparse import sparse_path
 from sieveline.operators.textpipe import sequential_selection
-from sieveline.catalog.statistics import _GAPS, with_gaps
+from sieveline.catalog.statistics import _GAPS, with_gaps, with_nans
 from sieveline.plans.experiments import compare_models, compare_selection, encoded_parts
 from sieveline.runtime import spread
 
@@ -91,6 +92,78 @@ def mod3_lines(spark, sf):
     return out.select("penalty", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
+_CHAIN_ALPHA = [0.1, 10.0, 1000.0, 10000.0]
+
+
+def _scaled_in_folds_sql() -> str:
+    a, b, c = _LINE_FEATURES
+    alphas = ", ".join(f"({x}::DOUBLE)" for x in _CHAIN_ALPHA)
+    long = " UNION ALL ".join(f"SELECT fold, y, {j} AS j, {x}::DOUBLE AS v FROM t" for j, x in enumerate("abc"))
+    value = lambda j: f"CASE {j} WHEN 0 THEN a WHEN 1 THEN b ELSE c END"
+    det = "((aa + alpha) * (bb + alpha) - ab * ab)"
+    return f"""
+WITH fx AS ({LINE}), t AS (SELECT {a} AS a, {b} AS b, {c} AS c, l_extendedprice AS y,
+  ntile(5) OVER (ORDER BY {duck_hash('fold1', 'row_id')}, row_id) - 1 AS fold FROM fx),
+long AS ({long}), folds AS (SELECT unnest(range(5)) AS f),
+st AS (SELECT f, j, avg(v) AS m, stddev_pop(v) AS s, avg(y) AS my, abs(corr(v, y)) AS r FROM long, folds WHERE fold <> f GROUP BY f, j),
+best AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY r DESC, j) AS k FROM st),
+p AS (SELECT u.f, u.my, u.m AS m1, u.s AS s1, u.j AS j1, w.m AS m2, w.s AS s2, w.j AS j2 FROM best u JOIN best w ON u.f = w.f AND u.k = 1 AND w.k = 2),
+z AS (SELECT f, fold, y - my AS y, ({value('j1')} - m1) / s1 AS z1, ({value('j2')} - m2) / s2 AS z2 FROM t, p),
+g AS (SELECT f, sum(z1 * z1) AS aa, sum(z1 * z2) AS ab, sum(z2 * z2) AS bb, sum(z1 * y) AS ay, sum(z2 * y) AS yb FROM z WHERE fold <> f GROUP BY f),
+w AS (SELECT f, alpha, (ay * (bb + alpha) - yb * ab) / {det} AS w1, (yb * (aa + alpha) - ay * ab) / {det} AS w2 FROM g, (VALUES {alphas}) q(alpha)),
+e AS (SELECT alpha, f, -avg(abs(y - w1 * z1 - w2 * z2)) AS score FROM z JOIN w USING (f) WHERE fold = f GROUP BY alpha, f)
+SELECT alpha AS penalty, 2::INT AS size, round(avg(score), 4) + 0.0 AS mean, round(stddev_pop(score), 4) + 0.0 AS std FROM e GROUP BY alpha"""
+
+
+@query("mod4_ridge_scaled_in_folds", _scaled_in_folds_sql())
+def mod4_scaled(spark, sf):
+    """Scaling and the choice of the two best columns are fitted inside every fold."""
+    df = fx_line(spark, sf).select("row_id", *_LINE_FEATURES, "l_extendedprice")
+    df = folds(spread(df), "row_id", 5).persist()
+    found = infold.chain_search(df, _LINE_FEATURES, "l_extendedprice", "fold", "regression", _CHAIN_ALPHA, [2], "f")
+    df.unpersist()
+    out = found.table(spark).drop("best")
+    return out.withColumn("mean", F.round("mean", 4) + 0.0).withColumn("std", F.round("std", 4) + 0.0)
+
+
+@query("mod4_logistic_chain_in_folds")
+def mod4_logistic(spark, sf):
+    """A balanced logistic chain over (C, number of columns), chosen by MRMR inside every fold."""
+    df, cols = _encoded(spark, sf)
+    df = folds(df, "row_id", 5, "y").persist()
+    found = infold.chain_search(df, cols, "y", "fold", "classification", linear.LOGISTIC_C, [2, 4, len(cols)], "mrmr")
+    df.unpersist()
+    return rounded(found.table(spark), "mean", "std")
+
+
+def _newton_sql(steps: int = 30) -> str:
+    """Balanced L2 logistic regression of two columns by Newton steps, solved by Cramer's rule."""
+    det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+    d0 = "(g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2))"
+    d1 = "(h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02))"
+    d2 = "(h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02))"
+    return f"""
+WITH RECURSIVE fx AS ({CUST}), n AS (SELECT count(*) AS n, sum(label) AS n1 FROM fx),
+t AS MATERIALIZED (SELECT n_orders / 10.0::DOUBLE AS x1, c_acctbal / 10000.0::DOUBLE AS x2, label::DOUBLE AS y,
+  CASE WHEN label = 1 THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END AS w FROM fx, n),
+it(k, b0, b1, b2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT k + 1, b0 - {d0} / {det}, b1 - {d1} / {det}, b2 - {d2} / {det} FROM (
+    SELECT k, b0, b1, b2, sum(w * (p - y)) AS g0, sum(w * (p - y) * x1) + b1 AS g1, sum(w * (p - y) * x2) + b2 AS g2,
+      sum(q) AS h00, sum(q * x1) AS h01, sum(q * x2) AS h02, sum(q * x1 * x1) + 1 AS h11, sum(q * x1 * x2) AS h12, sum(q * x2 * x2) + 1 AS h22
+    FROM (SELECT *, w * p * (1 - p) AS q FROM (SELECT it.*, t.*, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM it, t WHERE k < {steps}))
+    GROUP BY k, b0, b1, b2)),
+z AS (SELECT * FROM it WHERE k = {steps})
+SELECT 'intercept' AS feature, round(b0, 4) + 0.0 AS coef FROM z UNION ALL SELECT 'x1', round(b1, 4) + 0.0 FROM z UNION ALL SELECT 'x2', round(b2, 4) + 0.0 FROM z"""
+
+
+@query("mod1_balanced_logistic_two_columns", _newton_sql())
+def mod1_two(spark, sf):
+    df = fx_cust(spark, sf).select((F.col("n_orders") / 10).alias("x1"), (F.col("c_acctbal") / 10000).alias("x2"), "label")
+    model = linear.logistic_ml(df, ["x1", "x2"], "label")
+    rows = [("intercept", float(model.intercept)), *zip(["x1", "x2"], map(float, model.coefficients.toArray()), strict=True)]
+    return _pairs(spark, rows, "feature string, coef double").withColumn("coef", F.round("coef", 4) + 0.0)
+
+
 @query("mod1_balanced_logistic")
 def mod1(spark, sf):
     df, cols = _encoded(spark, sf)
@@ -250,6 +323,12 @@ def sel10_gaps(spark, sf):
     return rounded(out, "score")
 
 
+@query("sel10_mrmr_with_nan", _mrmr_sql(_GAPS.format(CUST)))
+def sel10_nan(spark, sf):
+    out = sel.select_features(with_nans(fx_cust(spark, sf)), CUST_NUM, "label", "mrmr", topk=len(CUST_NUM))
+    return rounded(out, "score")
+
+
 def _mrmr_embeddings_sql(k: int) -> str:
     picks = []
     for step in range(1, k):
@@ -282,6 +361,50 @@ def sel11(spark, sf):
     return sel.select_features(df, cols, "y", "lasso", "regression", strength=100.0).withColumn("score", F.round("score", 2))
 
 
+_PATH_COLUMNS = {"n_orders": 10.0, "n_urgent": 5.0, "avg_total": 200000.0, "c_acctbal": 10000.0}
+
+
+def _violations(df, cols, label, task, penalties, groups, sizes):
+    """(penalty, grp, violation): by how much each group breaks the optimality conditions, from plain averages."""
+    found = sparse_path(df, cols, label, task, penalties, groups, sizes=sizes)
+    aggs = []
+    for i, (b, w) in enumerate(found):
+        margin = sum((F.col(c) * float(v) for c, v in zip(cols, w, strict=True)), F.lit(float(b)))
+        error = (1 / (1 + F.exp(-margin)) if task == "classification" else margin) - F.col(label)
+        aggs += [F.avg(error * F.col(c)).alias(f"{i}_{j}") for j, c in enumerate(cols)]
+    grads = df.agg(*aggs).first()
+    rows = []
+    for i, (lam, (_, w)) in enumerate(zip(penalties, found, strict=True)):
+        for g in sorted(set(groups)):
+            idx = [j for j, k in enumerate(groups) if k == g]
+            grad, beta = np.array([grads[f"{i}_{j}"] for j in idx]), w[idx]
+            pen, size = lam / (np.sqrt(len(idx)) if sizes else 1.0), np.linalg.norm(beta)
+            gap = np.linalg.norm(grad + pen * beta / size) if size else max(0.0, np.linalg.norm(grad) - pen)
+            rows.append((float(lam), g, float(gap)))
+    return rounded(df.sparkSession.createDataFrame(rows, "penalty double, grp int, violation double"), "violation")
+
+
+def _no_violation_sql(penalties, n_groups):
+    lams = ", ".join(f"({float(x)}::DOUBLE)" for x in penalties)
+    return f"SELECT p.v AS penalty, g.v::INT AS grp, 0.0::DOUBLE AS violation FROM (VALUES {lams}) p(v), range(0, {n_groups}) g(v)"
+
+
+def _path_rows(spark, sf):
+    return fx_cust(spark, sf).select(*[(F.col(c) / s).alias(c) for c, s in _PATH_COLUMNS.items()], F.col("label").cast("double").alias("label")).persist()
+
+
+@query("sel16_group_lasso_optimality", _no_violation_sql([*linear.GROUP_LAMBDAS, 0.0], 3))
+def sel16_optimal(spark, sf):
+    df = _path_rows(spark, sf)
+    return _violations(df, list(_PATH_COLUMNS), "label", "classification", [*linear.GROUP_LAMBDAS, 0.0], [0, 0, 1, 2], True)
+
+
+@query("sel11_lasso_optimality", _no_violation_sql([0.0005, 0.01, 0.05, 0.1, 1.0], 3))
+def sel11_optimal(spark, sf):
+    df, cols = _path_rows(spark, sf), ["n_orders", "n_urgent", "c_acctbal"]
+    return _violations(df, cols, "avg_total", "regression", [0.0005, 0.01, 0.05, 0.1, 1.0], [0, 1, 2], False)
+
+
 @query("sel12_recursive_elimination")
 def sel12(spark, sf):
     df, cols = _encoded(spark, sf, label="avg_total")
@@ -432,12 +555,21 @@ def imp3(spark, sf):
     return values.groupBy("feature").agg(F.round(F.avg(F.abs("value")), 2).alias("score"))
 
 
+@query("imp3_sampled_shapley_of_a_linear_model", f"""
+WITH fx AS ({CUST}) SELECT 'n_orders' AS feature, {d6('avg(abs(2.5 * (n_orders - 7)))')} AS score FROM fx
+UNION ALL SELECT 'n_urgent', {d6('avg(abs(-1.25 * (n_urgent - 2)))')} FROM fx""")
+def imp3_linear(spark, sf):
+    predict = lambda x: x.withColumn("prediction", F.col("x")[0] * 2.5 - F.col("x")[1] * 1.25)
+    values = imp.sampled_shap(fx_cust(spark, sf), "row_id", ["n_orders", "n_urgent"], predict, [[7.0, 2.0]], n_orders=4)
+    return rounded(values.groupBy("feature").agg(F.avg(F.abs("value")).alias("score")), "score")
+
+
 @query("imp4_kmeans_sweep")
 def imp4(spark, sf):
     df = table(spark, sf, "embeddings")
     cols = [f"e{i}" for i in range(64)]
     wide = df.select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    curve, best, _ = imp.kmeans_sweep(wide, cols, max_iter=20)
+    curve, best, _ = imp.kmeans_sweep(wide, cols)
     return curve.select("k", F.round("inertia", 2).alias("inertia"), (F.col("k") == best).alias("knee"))
 
 

@@ -209,6 +209,45 @@ def agg15_gaps(spark, sf):
     return rounded(stats.correlations(with_gaps(fx_cust(spark, sf)), CUST_NUM), "corr")
 
 
+def with_nans(df):
+    """The same gaps as NaN, which statistics take for missing as well."""
+    return df.withColumn("c_acctbal", F.when(F.col("n_orders") % 5 != 0, F.col("c_acctbal")).otherwise(F.lit(float("nan"))))
+
+
+def _nan_long(label: str) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS value, {label} AS y FROM fx" for c in CUST_NUM if c != label)
+    return f"WITH fx AS ({_GAPS.format(CUST)}), long AS (SELECT * FROM ({parts}) WHERE value IS NOT NULL)"
+
+
+_NAN_SCATTER = _nan_long("label") + """,
+pc AS (SELECT feature, y, count(*) AS nc, avg(value) AS mu, var_pop(value) AS v FROM long GROUP BY ALL),
+ov AS (SELECT feature, count(*) AS n, avg(value) AS m FROM long GROUP BY ALL),
+s AS (SELECT feature, sum(nc * (mu - m) ** 2) AS b, sum(nc * v) AS w, any_value(n) AS n, count(*) AS k FROM pc JOIN ov USING (feature) GROUP BY feature)
+"""
+
+
+@query("agg10_pearson_with_nan", _nan_long("label") + f" SELECT feature, {d6('abs(corr(value, y))')} AS score FROM long GROUP BY feature")
+def agg10_nan(spark, sf):
+    return rounded(stats.pearson(with_nans(fx_cust(spark, sf)), CUST_NUM, "label"), "score")
+
+
+@query("agg12_fisher_with_nan", _NAN_SCATTER + f"SELECT feature, {d6('b / w')} AS score FROM s")
+def agg12_nan(spark, sf):
+    return rounded(stats.fisher(with_nans(fx_cust(spark, sf)), CUST_NUM, "label"), "score")
+
+
+@query("agg14_f_classif_with_nan", _NAN_SCATTER + f"SELECT feature, {d6('(b / (k - 1)) / (w / (n - k))')} AS score FROM s")
+def agg14_nan(spark, sf):
+    return rounded(stats.f_classif(with_nans(fx_cust(spark, sf)), CUST_NUM, "label"), "score")
+
+
+@query("agg14_f_regression_with_nan", _nan_long("avg_total") + f""", r AS (SELECT feature, corr(value, y) ** 2 AS r2, count(*) AS n FROM long GROUP BY feature)
+SELECT feature, {d6('r2 / (1 - r2) * (n - 2)')} AS score FROM r""")
+def agg14_regr_nan(spark, sf):
+    cols = [c for c in CUST_NUM if c != "avg_total"]
+    return rounded(stats.f_regression(with_nans(fx_cust(spark, sf)), cols, "avg_total"), "score")
+
+
 _LINE_PAIRS = [(a, b) for i, a in enumerate(LINE_NUM) for b in LINE_NUM[i + 1 :]]
 
 
