@@ -185,6 +185,35 @@ def chain_search(
     return Search(rows, *cells[best], chain)
 
 
+def tune_subsets(
+    df: DataFrame, cols: list[str], label: str, fold: str, task: str, subsets: list[list[int]],
+    penalties: list[float] | None = None,
+) -> list[tuple[float, float, np.ndarray]]:
+    """(penalty, intercept, coefficients of the columns as they are) of each subset's tuned model.
+
+    Every subset is scaled and cross-validated over the penalties by itself, but all
+    (subset, penalty, fold) cells share the passes; then each is refitted on all rows at its best.
+    """
+    grid = list(penalties or (linear.LOGISTIC_C if task == "classification" else linear.RIDGE_ALPHA))
+    grams = stats.gram(df, [*cols, label], fold=fold)
+    if not grams:
+        raise ValueError("no complete rows")
+    holds, total = sorted(grams), sum(grams.values())
+    parts = {h: scaled_sums(total - grams[h] if h is not None else total, np.ones(len(cols), bool)) for h in [*holds, None]}
+
+    def spec(subset, penalty, hold):
+        at = np.array(subset, int)
+        return linear.LogisticSpec(subset, penalty, hold, parts[hold].center[at], parts[hold].scale[at])
+
+    specs = [spec(s, p, h) for s in subsets for p in grid for h in holds]
+    models = fit_specs(df, cols, label, specs, fold, task, grams)
+    scores = linear.cv_scores(df, cols, label, models, specs, fold, task).reshape(-1, len(holds))
+    mean = linear.fold_means(scores)[0].reshape(len(subsets), len(grid))
+    best = [grid[int(np.nanargmax(row))] if np.isfinite(row).any() else grid[0] for row in mean]
+    last = [spec(s, p, None) for s, p in zip(subsets, best, strict=True)]
+    return [(p, b, w) for p, (b, w) in zip(best, fit_specs(df, cols, label, last, fold, task, grams), strict=True)]
+
+
 def predict(df: DataFrame, chain: Chain, task: str, out: str = "prediction") -> DataFrame:
     """``df`` with the chain's prediction, or the probability of class 1."""
     margin = chain.margin()

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-from sieveline.operators import linear
+from sieveline.operators import infold, linear
 from sieveline.operators.encode import MixedEncoder
 from sieveline.operators.report import path_table
 from sieveline.operators.select import SCORE_FUNCTIONS, filter_features, select_features
@@ -27,8 +27,10 @@ def compare_selection(
     methods: list[str], ratios: list[float], seeds: list[int], strengths: list[float] = (),
     saved: DataFrame | None = None,
 ) -> DataFrame:
-    """(fs_method, ratio, frac, mean, std): test metric of a linear model per method and ratio over seeds.
+    """(fs_method, ratio, frac, mean, std): test metric of a tuned linear model per method and ratio over seeds.
 
+    Every selected set of columns has its penalty tuned by cross-validation on the training
+    rows, with scaling inside the folds; the sets of all methods and ratios are tuned together.
     ``lasso`` is run at each of ``strengths``, which then stands in the ratio column;
     a strength that selects nothing is a row with frac 0 (the intercept alone).  ``llm-ratio``
     and ``llm-rank`` methods select by the ``saved`` table.  Each seed reads, splits and encodes the source once for all methods and
@@ -46,7 +48,8 @@ def compare_selection(
                 picks.append((method, ratio, chosen))
         subsets = sorted({tuple(sorted(p[2])) for p in picks})
         specs = [linear.LogisticSpec([cols.index(c) for c in s]) for s in subsets]
-        models = linear.fit_models(train, cols, label, specs, None, task)
+        tuned = infold.tune_subsets(train, cols, label, "fold", task, [s.subset for s in specs])
+        models = [(b, w) for _, b, w in tuned]
         scores = linear.cv_scores(test, cols, label, models, specs, None, task)
         by_subset = dict(zip(subsets, scores, strict=True))
         for method, ratio, chosen in picks:

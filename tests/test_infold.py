@@ -103,6 +103,16 @@ def test_logistic_chain_equals_plain_fits(table, rows):
     assert dict(sorted((r.y, r.prediction) for r in got)) == pytest.approx(dict(zip(y.tolist(), (1 / (1 + np.exp(-m))).tolist(), strict=True)), abs=1e-6)
 
 
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_subsets_are_tuned_each_by_itself(table, task):
+    label = "y" if task == "regression" else "z"
+    got = infold.tune_subsets(table, COLS, label, "fold", task, [[0, 1, 2, 3], [1], [0, 2]])
+    for (penalty, b, w), names in zip(got, (COLS, ["b"], ["a", "c"]), strict=True):
+        alone = infold.chain_search(table, names, label, "fold", task)
+        assert penalty == alone.penalty and b == pytest.approx(alone.chain.intercept, abs=1e-5)
+        assert np.allclose(w, alone.chain.coef, atol=1e-6)
+
+
 def test_unscaled_columns_and_own_selector(table, rows):
     x, y, _ = rows
     found = infold.chain_search(table, COLS, "y", "fold", "regression", [1.0], [2], lambda gram, penalty: [3, 0, 1, 2], scale=[])
