@@ -11,7 +11,7 @@ from the sums that the remaining lengths can reach. A filling is used as often a
 last, on the way back once less. A branch is left when its waste shows that it can't beat the
 incumbent. Incumbents are the best-fit-decreasing packing and then every better one found.
 The search ends with the fewest sequences, when a lower bound is met or nothing is left to
-try, or after ``steps`` tries with the incumbent.
+try, or after ``steps`` fillings, dominated ones included, with the incumbent.
 
 Null and empty texts are one end token. Repeated rows are packed each for itself. An empty
 table gives an empty result.
@@ -118,7 +118,11 @@ def _sums(sizes: list[int], counts: dict[int, int], gap: int) -> list[int]:
     """For each number of smallest ``sizes``: bit t is set if lengths among them can add up to t."""
     within = (1 << (gap + 1)) - 1
     out, now = [1], 1
-    for size in sizes:
+    most = 1 | within & -(1 << sizes[0]) if sizes else 1  # nothing lies between 0 and the smallest
+    for i, size in enumerate(sizes):
+        if now == most:
+            out.extend([now] * (len(sizes) - i))
+            break
         n, step = min(counts[size], gap // size), 1
         while n > 0:
             use = min(step, n)
@@ -172,15 +176,16 @@ def _dominated(chosen: tuple[int, ...], free: int, waste: int) -> bool:
     return False
 
 
-def _fillings(sizes: list[int], counts: dict[int, int], gap: int):
-    """Undominated fillings of ``gap``, as they are asked for, least waste first; ``sizes`` ascends.
+def _fillings(sizes: list[int], counts: dict[int, int], gap: int, have: int | None = None):
+    """Fillings of ``gap``, as they are asked for, least waste first; None for each dominated one. ``sizes`` ascends.
 
-    A filling is dominated when an unused length fits beside it, or in the place of one or
+    ``have`` holds the sizes as bits. ``counts`` must be the same whenever the next one is
+    asked for. A filling is dominated when an unused length fits beside it, or in the place of one or
     several of its lengths, since a packing never gets worse by such an exchange.
     """
     sizes = sizes[: bisect.bisect_right(sizes, gap)]
     sums = _sums(sizes, counts, gap)
-    left = sum(1 << s for s in sizes)
+    left = (sum(1 << s for s in sizes) if have is None else have) & ((1 << (gap + 1)) - 1)
     for total in range(gap, -1, -1):
         if not sums[-1] >> total & 1:
             continue
@@ -189,8 +194,7 @@ def _fillings(sizes: list[int], counts: dict[int, int], gap: int):
             for size in set(chosen):
                 if chosen.count(size) == counts[size]:
                     free &= ~(1 << size)
-            if not _dominated(chosen, free, gap - total):
-                yield chosen
+            yield None if _dominated(chosen, free, gap - total) else chosen
 
 
 def _key(pattern: tuple[int, ...], capacity: int):
@@ -201,7 +205,7 @@ def _key(pattern: tuple[int, ...], capacity: int):
 def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, times) that hold every length of ``counts`` in few sequences.
 
-    The fewest, unless ``steps`` fillings were tried before that was certain.
+    The fewest, unless ``steps`` fillings were looked at before that was certain.
     """
     counts = {s: n for s, n in counts.items() if n > 0}
     if any(not 0 < s <= capacity for s in counts):
@@ -213,16 +217,19 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -
     left, sizes = dict(counts), sorted(counts)
     path: list[list] = []  # pattern, times
     waste = used = tries = 0
+    have = sum(1 << s for s in sizes)
 
     def take(pattern, times):
-        nonlocal waste, used
+        nonlocal waste, used, have
         for s in set(pattern):
             before = left[s]
             left[s] = before - times * pattern.count(s)
             if before and not left[s]:
                 sizes.pop(bisect.bisect_left(sizes, s))
+                have ^= 1 << s
             elif not before and left[s]:
                 bisect.insort(sizes, s)
+                have ^= 1 << s
         waste, used = waste + times * (capacity - sum(pattern)), used + times
 
     def options(tried):
@@ -231,13 +238,10 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -
         after = _key(path[-1][0], capacity) if path and path[-1][0][0] == large else None
         if tried is not None:
             after = max(after or (-1, []), _key(tried, capacity))
-        counts = dict(left)
-        counts[large] -= 1
-        rest = list(sizes) if counts[large] else sizes[:-1]
-        for filling in _fillings(rest, counts, capacity - large):
-            pattern = (large, *filling)
-            if after is None or _key(pattern, capacity) > after:
-                yield pattern
+        alone = not left[large]  # asked for while the one that the fillings lie beside is taken out
+        for filling in _fillings(sizes[:-1] if alone else sizes, left, capacity - large, have ^ (1 << large) if alone else have):
+            pattern = None if filling is None else (large, *filling)
+            yield pattern if pattern and (after is None or _key(pattern, capacity) > after) else None
 
     # a level's fillings and the last one it used; only the deepest levels keep their
     # generators, others are made anew when the search comes back to them
@@ -252,9 +256,15 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -
         else:
             if stack[-1][0] is None:
                 stack[-1][0] = options(stack[-1][1])
-            pattern = next(stack[-1][0], None)
+            large = sizes[-1]
+            left[large] -= 1  # the one that the fillings lie beside
+            pattern = next(stack[-1][0], ())
+            left[large] += 1
+            tries += 1
+            if pattern is None:
+                continue
             # wastes grow, so when one filling can't beat the incumbent no later one can
-            if pattern is None or waste + capacity - sum(pattern) > (fewest - 1) * capacity - total:
+            if not pattern or waste + capacity - sum(pattern) > (fewest - 1) * capacity - total:
                 stack.pop()
                 continue
             stack[-1][1] = pattern
@@ -265,7 +275,6 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = 20_000) -
             path.append([pattern, times])
         if not times:
             continue
-        tries += 1
         take(pattern, times)
         if sizes and used + 1 < fewest:
             if len(stack) >= _LEVELS:
