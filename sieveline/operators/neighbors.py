@@ -1,25 +1,32 @@
 """Exact cosine k-nearest-neighbour graph and the scores built on it.
 
 Vectors are normalised, assigned to the nearest of a few pivots and packed into
-blocks of bounded size.  A block meets another block in one task, which keeps
-only the k best per vector, so neither all pairs nor a whole cell is ever
-materialised.  Block pairs that the triangle inequality rules out are not formed.
+groups of bounded size.  A task holds one group and has the other vectors stream past
+it, keeping the k best per vector, so neither all pairs nor a whole cell is ever
+materialised.  Cells that the triangle inequality rules out are not sent to a group.
 That prunes clustered vectors of few dimensions; on spread-out vectors of tens of
-dimensions it rules out nothing and every block meets every other, so the work
-grows with the square of the rows.
+dimensions it rules out nothing and every vector meets every other, so the comparisons
+grow with the square of the rows.  What is shuffled grows with the rows: there are a few
+groups for each core, and more only when these would not fit a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalars import stable_hash
-from sieveline.runtime import broadcast_if_small, cut_lineage
+from sieveline.runtime import cut_lineage
 
 _DECIMALS = 9  # similarities are compared after rounding, so ties break by id
+_GROUPS_A_CORE = 2  # each group is sent every vector that its own may be near to
+_QUERIES, _CANDIDATES = 512, 2048  # vectors compared at once
 
 
 def _assign(df: DataFrame, row_id: str, vec: str, pivots: np.ndarray) -> DataFrame:
@@ -61,10 +68,76 @@ def _cell_targets(stats, pivots: np.ndarray, k: int) -> dict[int, list[int]]:
     return out
 
 
-def cosine_knn(df: DataFrame, row_id: str, vec: str, k: int = 5, block: int = 2048) -> DataFrame:
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, which of them are there); a missing id has a filler in its place."""
+    there = pc.is_valid(column).to_numpy(zero_copy_only=False)
+    filler = pa.scalar(0 if pa.types.is_integer(column.type) else "", column.type)
+    return pc.fill_null(column, filler).to_numpy(zero_copy_only=False), there
+
+
+class _Best:
+    """The k best candidates of every vector of a group, while candidates pass in ascending order of id."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, there: np.ndarray, k: int):
+        self.x, self.ids, self.there, self.k = x, ids, there, k
+        self.sim = np.full((len(x), k), -np.inf)
+        self.dst = np.empty((len(x), k), dtype=ids.dtype)
+        self.dst_there = np.zeros((len(x), k), dtype=bool)
+
+    def meet(self, x: np.ndarray, ids: np.ndarray, there: np.ndarray) -> None:
+        """Take in candidates, whose ids follow those of all before."""
+        for at in range(0, len(ids), _CANDIDATES):
+            tile = slice(at, at + _CANDIDATES)
+            for lo in range(0, len(self.x), _QUERIES):
+                self._tile(slice(lo, lo + _QUERIES), x[tile], ids[tile], there[tile])
+
+    def _tile(self, rows: slice, x: np.ndarray, ids: np.ndarray, there: np.ndarray) -> None:
+        sim = self.x[rows] @ x.T
+        # an equal similarity loses to the smaller id met before; less than half a unit of rounding
+        # above the worst kept one is equal
+        least = self.sim[rows, -1] + 0.4 * 10.0**-_DECIMALS
+        r, c = np.divmod(np.flatnonzero(sim > least[:, None]), max(1, len(ids)))
+        value = np.round(sim[r, c], _DECIMALS)
+        other = ~((self.ids[rows][r] == ids[c]) & self.there[rows][r] & there[c])
+        other &= (value > self.sim[rows, -1][r]) & (value < np.inf)
+        r, c, value = r[other], c[other], value[other]
+        if not len(r):
+            return
+        hit = np.unique(r)
+        at = hit + rows.start
+        r = np.concatenate([np.repeat(hit, self.k), r])
+        value = np.concatenate([self.sim[at].ravel(), value])
+        dst = np.concatenate([self.dst[at].ravel(), ids[c]])
+        known = np.concatenate([self.dst_there[at].ravel(), there[c]])
+        order = np.lexsort((-value, r))  # stable: of equal ones the earlier
+        r = r[order]
+        first = order[np.arange(len(r)) - np.searchsorted(r, r) < self.k]
+        self.sim[at] = value[first].reshape(-1, self.k)
+        self.dst[at] = dst[first].reshape(-1, self.k)
+        self.dst_there[at] = known[first].reshape(-1, self.k)
+
+    def rows(self, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(self.x), _CANDIDATES):
+            part = slice(lo, lo + _CANDIDATES)
+            found = np.isfinite(self.sim[part])
+            src = np.repeat(self.ids[part], found.sum(1))
+            src_missing = ~np.repeat(self.there[part], found.sum(1))
+            yield pa.RecordBatch.from_pydict({
+                "src": pa.array(src, id_type, mask=src_missing),
+                "dst": pa.array(self.dst[part][found], id_type, mask=~self.dst_there[part][found]),
+                "similarity": pa.array(self.sim[part][found]),
+            })
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def cosine_knn(df: DataFrame, row_id: str, vec: str, k: int = 5, block: int = 65_536) -> DataFrame:
     """(src, dst, rank, similarity): the k most similar other rows of every row, exact.
 
-    Ties in the similarity (rounded to 9 places) go to the smaller id.
+    Ties in the similarity (rounded to 9 places) go to the smaller id.  A task holds about
+    ``block`` vectors at most, and a batch of those that stream past.
     """
     spark = df.sparkSession
     pivot_rows = df.select(F.col(vec).cast("array<double>").alias("v")).orderBy(stable_hash("pivot", row_id)).limit(64)
@@ -75,73 +148,55 @@ def cosine_knn(df: DataFrame, row_id: str, vec: str, k: int = 5, block: int = 20
     rows = cut_lineage(_assign(df, row_id, vec, pivots))
     stats = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()  # <= 64
     targets = _cell_targets(stats, pivots, k)
-    # few rows per cell: merge small cells into shared blocks, cut large ones by hash
-    blocks_of, next_block, fill = {}, 0, block + 1
+    # every vector is sent to every group: a few groups a core, more when they would be too large
+    wanted = _GROUPS_A_CORE * spark.sparkContext.defaultParallelism
+    block = max(1, min(block, -(-sum(r["n"] for r in stats) // wanted)))
+    # few rows per cell: merge small cells into shared groups, cut large ones by hash
+    groups_of, n_groups, fill = {}, 0, block + 1
     for r in sorted(stats, key=lambda r: r["cell"]):
         if r["n"] <= block:
             if fill + r["n"] > block:
-                next_block, fill = next_block + 1, 0
-            blocks_of[r["cell"]] = [next_block]
+                n_groups, fill = n_groups + 1, 0
+            groups_of[r["cell"]] = [n_groups - 1]
             fill += r["n"]
         else:
-            parts = -(-2 * r["n"] // block)  # hash parts vary in size, aim at half a block
-            blocks_of[r["cell"]] = list(range(next_block + 1, next_block + 1 + parts))
-            next_block, fill = next_block + parts, block + 1
-    cell_blocks = spark.createDataFrame(
-        [(c, b, len(b)) for c, b in blocks_of.items()], "cell int, blocks array<int>, parts int"
+            parts = -(-r["n"] // block)
+            groups_of[r["cell"]] = list(range(n_groups, n_groups + parts))
+            n_groups, fill = n_groups + parts, block + 1
+    met_by = {c: sorted({g for a, cells in targets.items() if c in cells for g in groups_of[a]}) for c in groups_of}
+    # a group of several cells compares with all that any of them needs
+    cell_groups = spark.createDataFrame(
+        [(c, gs, len(gs), met_by[c]) for c, gs in groups_of.items()],
+        "cell int, groups array<int>, parts int, met_by array<int>",
     )
-    cells_in = {}
-    for c, bs in blocks_of.items():
-        for b in bs:
-            cells_in.setdefault(b, set()).add(c)
-    reach = {
-        b: sorted({tb for c in cs for t in targets[c] for tb in blocks_of[t]}) for b, cs in cells_in.items()
-    }
-    sources = {}
-    for b, tbs in reach.items():
-        for t in tbs:
-            sources.setdefault(t, []).append(b)
-    links = broadcast_if_small(spark.createDataFrame(
-        [(b, reach[b], sources.get(b, [])) for b in reach], "b int, meets array<int>, met_by array<int>"
-    ))
     slot = (F.pmod(stable_hash("block", "id"), F.col("parts")) + 1).cast("int")
-    placed = (
-        rows.join(F.broadcast(cell_blocks), "cell")  # at most 64 rows
-        .select("id", "x", F.element_at("blocks", slot).alias("b"))
-        .join(links, "b")
-    )
-    # both sides read the checkpointed rows; the aliases keep their columns apart
-    left = placed.alias("l").select("id", "x", F.col("b").alias("qb"), F.explode("meets").alias("sb"))
-    right = placed.alias("r").select(
-        F.col("id").alias("id2"), F.col("x").alias("x2"), F.explode("met_by").alias("qb2"), F.col("b").alias("sb2")
-    )
-
-    def best(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(s):
-            return pd.DataFrame({"src": [], "dst": [], "similarity": []})
-        s = s.sort_values("id2", kind="stable")
-        qi, si = q["id"].to_numpy(), s["id2"].to_numpy()
-        sx = np.stack(s["x2"].to_numpy())
-        out = []
-        for lo in range(0, len(qi), 512):
-            ids = qi[lo : lo + 512]
-            sim = np.round(np.stack(q["x"].to_numpy()[lo : lo + 512]) @ sx.T, _DECIMALS)
-            sim[ids[:, None] == si[None, :]] = -np.inf
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            val = np.take_along_axis(sim, top, axis=1)
-            out.append(pd.DataFrame({
-                "src": np.repeat(ids, top.shape[1]), "dst": si[top].ravel(), "similarity": val.ravel(),
-            }))
-        res = pd.concat(out)
-        return res[np.isfinite(res["similarity"])]
+    placed = rows.join(F.broadcast(cell_groups), "cell")  # at most 64 rows
+    own = F.array(F.struct(F.element_at("groups", slot).alias("g"), F.lit(0).alias("side")))
+    sent = F.concat(own, F.transform("met_by", lambda g: F.struct(g.alias("g"), F.lit(1).alias("side"))))
+    parted = placed.select("id", "x", F.explode(sent).alias("_to")).select("_to.g", "_to.side", "id", "x")
+    # a partition for each group: first its own vectors, then the others in order of their ids
+    parted = parted.repartitionById(max(1, n_groups), "g").sortWithinPartitions("side", F.col("id").asc_nulls_last())
+
+    def best(batches):
+        mine, held = [], None
+        for b in batches:
+            side = b.column("side").to_numpy()
+            n_own = int(np.searchsorted(side, 1))
+            own, others = b.slice(0, n_own), b.slice(n_own)
+            if n_own:
+                mine.append((_matrix(own), *_ids(own.column("id"))))
+            if others.num_rows:
+                if held is None:
+                    held = _Best(*(np.concatenate(parts) for parts in zip(*mine, strict=True)), k) if mine else False
+                if held:
+                    held.meet(_matrix(others), *_ids(others.column("id")))
+        if held:
+            yield from held.rows(b.schema.field("id").type)
 
     id_type = rows.schema["id"].dataType.simpleString()
-    local = (
-        left.groupBy("qb", "sb").cogroup(right.groupBy("qb2", "sb2"))
-        .applyInPandas(best, f"src {id_type}, dst {id_type}, similarity double")
-    )
+    local = parted.mapInArrow(best, f"src {id_type}, dst {id_type}, similarity double")
     order = F.struct((-F.col("similarity")).alias("s"), F.col("dst"))
-    # at most k candidates per (row, block) reach this point
+    # k candidates of each row reach this point
     best_k = local.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("_l"))
     return best_k.select("src", F.posexplode("_l").alias("_p", "_e")).select(
         "src", F.col("_e.dst").alias("dst"), (F.col("_p") + 1).cast("int").alias("rank"),

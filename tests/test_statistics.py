@@ -125,3 +125,20 @@ def test_ranking_metrics_with_ties(spark):
     assert auroc(df, "y", "s").first()["auroc"] == pytest.approx(pairs / 12)
     # thresholds 0.9 (1 of 2), 0.8 (2 of 3), 0.7, 0.5 (3 of 6)
     assert average_precision(df, "y", "s").first()["auprc"] == pytest.approx((1 / 2 + 2 / 3 + 3 / 6) / 3)
+
+
+def test_cosine_neighbours_stream_past_groups(spark):
+    """Copies fill more than one group, ties go to the smaller id, and no pairs of blocks are shuffled."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.ones((60, 6)), rng.normal(size=(140, 6))])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
+    found = neighbors.cosine_knn(df, "id", "v", 4, block=16)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(unit @ unit.T, 9)
+    got = {(r["src"], r["rank"]): r["dst"] for r in found.collect()}
+    assert len(got) == 4 * len(x)
+    for i, src in enumerate(ids):
+        best = sorted((-sim[i, j], int(dst)) for j, dst in enumerate(ids) if dst != src)[:4]
+        assert [got[src, n + 1] for n in range(4)] == [dst for _, dst in best]
