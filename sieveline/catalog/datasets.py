@@ -353,7 +353,7 @@ def trim_above(df, limits: dict[str, float]):
     """Keep rows at or below every column's exact quantile, all taken on the untrimmed rows."""
     long = to_long(df, list(limits), [])
     probs = sorted(set(limits.values()))
-    cuts = {r["feature"]: r for r in quantiles(long, ["feature"], "value", probs).collect()}  # one row per column
+    cuts = {r["feature"]: r for r in quantiles(long, ["feature"], "value", probs, series=len(limits)).collect()}  # one row per column
     cond = F.lit(True)
     for c, p in limits.items():
         cond = cond & (F.col(f"`{c}`") <= F.lit(cuts[c][f"q{probs.index(p)}"]))

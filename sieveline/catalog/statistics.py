@@ -47,7 +47,7 @@ SELECT feature, {d6('quantile_cont(value, 0.5)')} AS q0, {d6('quantile_cont(valu
 FROM long GROUP BY feature""")
 def agg6(spark, sf):
     long = stats.to_long(fx_line(spark, sf), LINE_NUM, [])
-    return rounded(quantiles(long, ["feature"], "value", [0.5, 0.95, 0.998]), "q0", "q1", "q2")
+    return rounded(quantiles(long, ["feature"], "value", [0.5, 0.95, 0.998], series=len(LINE_NUM)), "q0", "q1", "q2")
 
 
 def _duck_mi(counts: str) -> str:
