@@ -30,7 +30,7 @@ SELECT feature, value, count(*) AS n, min(r) + (count(*) - 1) / 2.0::DOUBLE AS m
 FROM (SELECT feature, value, rank() OVER (PARTITION BY feature ORDER BY value) AS r FROM long) GROUP BY feature, value""")
 def win2(spark, sf):
     long = stats.to_long(fx_line(spark, sf), LINE_NUM, [])
-    return mid_ranks(long, ["feature"], "value").select("feature", "value", "n", "mid_rank")
+    return mid_ranks(long, ["feature"], "value", series=len(LINE_NUM)).select("feature", "value", "n", "mid_rank")
 
 
 @query("win3_position_scores", _ORDERED + "SELECT llm_model, concept, (n - (pos - 1))::DOUBLE AS score FROM o")

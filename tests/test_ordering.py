@@ -156,3 +156,30 @@ def test_balance_and_cap(spark):
     df = spark.range(1000).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
     assert {r["y"]: r["count"] for r in sp.balance(df, "id", "y").groupBy("y").count().collect()} == {0: 100, 1: 100}
     assert {r["y"]: r["count"] for r in sp.stratified_cap(df, "id", "y", 105).groupBy("y").count().collect()} == {0: 94, 1: 10}
+
+
+def test_order_statistics_read_their_rows_few_times(spark):
+    """For the sketch and for the rows inside brackets, and not again for the size of a series."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    n = 40_000
+    source = spark.range(n).selectExpr("id % 2 AS s", "double((id * 7919) % 40009) AS v").mapInArrow(counted, "s long, v double")
+    got = {r["s"]: r for r in o.quantiles(source, ["s"], "v", [0.25, 0.5, 0.9], series=2).collect()}
+    assert read.value <= 3 * n
+    for s in (0, 1):
+        v = np.array([(i * 7919) % 40009 for i in range(s, n, 2)], dtype=float)
+        assert [got[s][f"q{i}"] for i in range(3)] == pytest.approx(np.quantile(v, [0.25, 0.5, 0.9]).tolist(), abs=1e-9)
+
+
+def test_rows_of_few_columns_are_not_joined_by_column(spark):
+    """All rows of a column would be one key of the join."""
+    import __spark_entry__
+
+    ranks = __spark_entry__.queries()["win2_mid_ranks"](spark, "/root/testdata/sf0.001")
+    plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == plan.count("Join Inner")
