@@ -31,10 +31,10 @@ def kendall_tau(pairs: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFra
     base = (pairs if by else pairs.withColumn("_all", F.lit(0))).select(
         *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     ).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
-    rx = cumulative(base, keys, "_x", {"n": F.lit(1)}).select(
+    rx = cumulative(base, keys, "_x", {"n": F.lit(1)}, settle=True).select(
         *keys, "_x", F.col("before_n").alias("_rx"), F.col("n").alias("_tx"), F.col("total_n").alias("_n")
     )
-    ry = cumulative(base, keys, "_y", {"n": F.lit(1)}).select(*keys, "_y", F.col("before_n").alias("_ry"))
+    ry = cumulative(base, keys, "_y", {"n": F.lit(1)}, settle=True).select(*keys, "_y", F.col("before_n").alias("_ry"))
     cells = base.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
     coded = cells.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
 
