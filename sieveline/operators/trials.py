@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.evaluate import auroc, mae
 from sieveline.operators.linear import (
-    LogisticSpec, balanced_class_weights, features_array, fit_models, margins_long,
+    LogisticSpec, aurocs, balanced_class_weights, features_array, fit_models, margins_long,
 )
 
 # --- fixed values: search spaces ---------------------------------------------------------
@@ -131,6 +131,9 @@ def _linear_trials(df: DataFrame, cols: list[str], label: str, task: str, params
     specs = [LogisticSpec(range(len(cols)), 1.0 / p["l2"] if task == "classification" else p["l2"]) for p in params]
     try:
         models = fit_models(rows.filter("_part = 0"), cols, label, specs, None, task)
+        if task == "classification":
+            found = aurocs(rows, cols, label, models, specs, "_part", by_fold=len(_PARTS))
+            return {(g // len(_PARTS), _PARTS[g % len(_PARTS)]): v for g, v in found.items()}
         scored = margins_long(rows, cols, label, models, specs, "_part")
         split_name = F.element_at(F.array(*[F.lit(p) for p in _PARTS]), F.col("f") + 1)
         scored = scored.select(

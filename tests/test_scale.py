@@ -40,3 +40,39 @@ def test_running_totals_rest_on_one_sketch(spark):
     for _, part in cum.toPandas().sort_values("v").groupby("s"):
         assert (part["before_n"].to_numpy() == np.cumsum(part["n"]) - part["n"]).all()
         assert (part["total_n"] == 20_000).all()
+
+
+def _plain_auroc(y, s):
+    up, down = s[y][:, None], s[~y][None, :]
+    return ((up > down) + 0.5 * (up == down)).mean()
+
+
+def test_aurocs_of_many_models_make_scores_twice(spark, monkeypatch):
+    """Many buckets, ties and rows without a number; every row is scored for the sketch and for the blocks only."""
+    from sieveline.operators import evaluate, linear
+
+    monkeypatch.setattr(evaluate, "_GROUP", 100)
+    monkeypatch.setattr(evaluate, "_GATHER", 1000)
+    rng = np.random.default_rng(5)
+    x, fold = np.round(rng.normal(size=(1500, 2)), 2), np.arange(1500) % 3
+    y = x[:, 0] + rng.normal(size=1500) > 0
+    rows = [(float(a), float(b), int(c), int(f)) for (a, b), c, f in zip(x, y, fold)]
+    rows += [(None, 1.0, 1, 0), (float("nan"), 1.0, 0, 1)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "a double, b double, y int, f int"
+    df = spark.createDataFrame(rows, schema).repartition(5).mapInArrow(counted, schema)
+    specs = [linear.LogisticSpec([0, 1], 1.0, f) for f in (0, 1, 2, None)] + [linear.LogisticSpec([], 1.0, 0)]
+    models = [(0.5, np.array([1.0, k])) for k in (0.0, 0.5, 1.0, -1.0)] + [(0.1, np.zeros(0))]
+    got = linear.cv_scores(df, ["a", "b"], "y", models, specs, "f", "classification")
+    assert read.value == 2 * len(rows)
+    for i, (s, (b, w)) in enumerate(zip(specs, models)):
+        at = np.ones(1500, bool) if s.hold_out is None else fold == s.hold_out
+        full = np.zeros(2)
+        full[s.subset] = w
+        assert abs(got[i] - _plain_auroc(y[at], x[at] @ full + b)) < 1e-12
