@@ -76,3 +76,20 @@ def test_aurocs_of_many_models_make_scores_twice(spark, monkeypatch):
         full = np.zeros(2)
         full[s.subset] = w
         assert abs(got[i] - _plain_auroc(y[at], x[at] @ full + b)) < 1e-12
+
+
+def test_strengths_of_a_lasso_share_their_passes(spark, monkeypatch):
+    from sieveline.operators import linear, sparse
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] + 0.3 * x[:, 1] + rng.normal(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(c)) for r, c in zip(x, y)], "a double, b double, c double, y int")
+    passes, plain = [], sparse.sum_blocks
+    monkeypatch.setattr(sparse, "sum_blocks", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    strengths = [0.01, 0.05, 0.1]
+    alone = [linear.lasso_coefficients(df, ["a", "b", "c"], "y", "classification", s) for s in strengths]
+    each = len(passes)
+    together = linear.lasso_path(df, ["a", "b", "c"], "y", "classification", strengths)
+    assert len(passes) - each < each
+    assert np.allclose([[w for _, w in m] for m in alone], [[w for _, w in m] for m in together], atol=1e-6)
