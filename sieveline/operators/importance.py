@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalars import dot, stable_hash
-from sieveline.operators.evaluate import auroc
-from sieveline.operators.linear import features_array
+from sieveline.operators.evaluate import auroc, auroc_of_series
+from sieveline.operators.linear import features_array, sum_blocks
 from sieveline.operators.ordering import row_positions
 from sieveline.operators.ranks import expand_to_features, kendall_tau
 from sieveline.runtime import broadcast_if_small, cut_lineage, small_rows
@@ -53,22 +53,46 @@ def permutation(
     donors = donors.select("_r", "_p", F.col("_x").alias("_d"))
     mixed = donors.join(base.select("_p", "_y", "_x", "_m"), "_p")
     w = F.array(*[F.lit(float(v)) for v in weights])
+    if task == "classification":
+        return _auroc_drops(base, mixed, cols, [float(v) for v in weights], n_repeats)
     deltas = F.transform(F.arrays_zip(F.col("_d"), F.col("_x"), w.alias("w")), lambda z: z["w"] * (z["_d"] - z["_x"]))
     scored = mixed.select("_r", "_y", "_m", F.posexplode(deltas).alias("_j", "_delta")).select(
         "_r", "_j", "_y", (F.col("_m") + F.col("_delta")).alias("_s")
     )
-    if task == "classification":
-        per = auroc(scored, "_y", "_s", by=["_j", "_r"], series=len(cols) * n_repeats).withColumnRenamed("auroc", "_v")
-        full = auroc(base, "_y", "_m").first()["auroc"]
-        drop = F.lit(full) - F.col("_v")
-    else:
-        per = scored.groupBy("_j", "_r").agg(F.avg(F.abs(F.col("_y") - F.col("_s"))).alias("_v"))
-        full = base.agg(F.avg(F.abs(F.col("_y") - F.col("_m")))).first()[0]
-        drop = F.col("_v") - F.lit(full)
+    per = scored.groupBy("_j", "_r").agg(F.avg(F.abs(F.col("_y") - F.col("_s"))).alias("_v"))
+    full = base.agg(F.avg(F.abs(F.col("_y") - F.col("_m")))).first()[0]
+    drop = F.col("_v") - F.lit(full)
     name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_j") + 1)
     return per.groupBy("_j").agg(F.avg(drop).alias("score")).select(name.alias("feature"), "score")
 
 
+def _auroc_drops(base: DataFrame, mixed: DataFrame, cols: list[str], weights: list[float], n_repeats: int) -> DataFrame:
+    """(feature, score): AUROC of ``base`` less the mean AUROC over the repeats of ``mixed``."""
+    d, coef = len(cols), np.array(weights)
+
+    def scores(batch):
+        number = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+        wide = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+        y, r = number("_y"), batch.column("_r").to_numpy(zero_copy_only=False)
+        shuffled = number("_m")[:, None] + coef * (wide("_d") - wide("_x"))
+        for k in np.unique(r):
+            at = (r == k) & ~np.isnan(y)
+            for j in range(d):
+                yield j * n_repeats + int(k), y[at] > 0.5, shuffled[at, j]
+
+    # every repeat shuffles the same rows: the first shows where the scores of all lie
+    narrow = mixed.select("_r", "_y", "_m", "_d", "_x")
+    found = auroc_of_series(narrow, scores, narrow.filter("_r = 0"), lambda g: g - g % n_repeats)
+    full = auroc(base, "_y", "_m").first()["auroc"]
+    rows = []
+    for j, c in enumerate(cols):
+        have = [found[g] for g in range(j * n_repeats, (j + 1) * n_repeats) if g in found]
+        drops = [full - v for v in have if v is not None and full is not None]
+        if have:
+            rows.append((c, float(np.mean(drops)) if drops else None))
+    return base.sparkSession.createDataFrame(rows, "feature string, score double")
+
+
 # --- Shapley values -----------------------------------------------------------------
 
 
@@ -120,22 +144,73 @@ def sampled_shap(
 # --- k-means background ---------------------------------------------------------------
 
 
+def _lloyd(df: DataFrame, cols: list[str], starts: list[np.ndarray], max_iter: int, tol: float = 1e-4) -> list[tuple[float, np.ndarray]]:
+    """(cost, centres) of Lloyd's iterations from every start; a pass over the rows serves all that still move.
+
+    The cost is that of the last assignment, to the centres before their last move, which is at
+    most ``tol`` unless ``max_iter`` ends the search.  A centre without rows stays.
+    """
+    centres, cost = [c.copy() for c in starts], [0.0] * len(starts)
+    moving = list(range(len(starts)))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        ends = np.cumsum([0, *[len(centres[i]) for i in moving]])
+        spans = list(zip(moving, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        every = np.concatenate([centres[i] for i in moving])
+
+        def kernel(x, _y, _w, _f, spans=spans, every=every):
+            gaps = (every * every).sum(1) - 2 * (x @ every.T)
+            own, at = (x * x).sum(1), np.arange(len(x))
+            near = np.zeros(gaps.shape)
+            costs = []
+            for _, lo, hi in spans:
+                best = gaps[:, lo:hi].argmin(1)
+                near[at, lo + best] = 1.0
+                costs.append(np.maximum(own + gaps[at, lo + best], 0.0).sum())
+            sums, counts = near.T @ x, near.sum(0)
+            for (i, lo, hi), c in zip(spans, costs, strict=True):
+                yield i, np.concatenate([[c], counts[lo:hi], sums[lo:hi].ravel()])
+
+        found = sum_blocks(df, cols, None, kernel)
+        for i in list(moving):
+            if i not in found:  # no rows
+                moving.remove(i)
+                continue
+            k, v = len(centres[i]), found[i]
+            counts, sums = v[1 : k + 1], v[k + 1 :].reshape(k, -1)
+            some = counts > 0
+            new = centres[i].copy()
+            new[some] = sums[some] / counts[some, None]
+            if np.all(((new - centres[i]) ** 2).sum(1) <= tol * tol):
+                moving.remove(i)
+            centres[i], cost[i] = new, float(v[0])
+    return list(zip(cost, centres, strict=True))
+
+
 def kmeans_sweep(df: DataFrame, cols: list[str], ks=range(5, 26), seed: int = 42, max_iter: int = 300):
-    """(k, inertia) for every k and the centroids at the knee of the curve."""
+    """(k, inertia) for every k and the centroids at the knee of the curve.
+
+    Spark ML places the first centres of each k; the iterations of all k share their passes.
+    """
     from sieveline.operators.report import knee
 
-    vec = df.select(array_to_vector(features_array(cols)).alias("features")).persist()
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).persist()
+    vec = wide.select(array_to_vector(features_array(cols)).alias("features")).persist()
 
-    def fit(k: int):
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||").fit(vec)
-        return (k, float(model.summary.trainingCost)), np.array(model.clusterCenters())
+    def start(k: int) -> np.ndarray:
+        return np.array(KMeans(k=k, seed=seed, maxIter=0, initMode="k-means||").fit(vec).clusterCenters())
 
+    sizes = [int(k) for k in ks]
     try:
         with ThreadPool(4) as pool:  # a few Spark jobs in flight over the shared table
-            fits = pool.map(fit, [int(k) for k in ks])
+            starts = pool.map(start, sizes)
+        vec.unpersist()
+        fits = _lloyd(wide, cols, starts, max_iter)
     finally:
         vec.unpersist()
-    curve, centres = [f[0] for f in fits], {f[0][0]: f[1] for f in fits}
+        wide.unpersist()
+    curve, centres = [(k, c) for k, (c, _) in zip(sizes, fits, strict=True)], {k: m for k, (_, m) in zip(sizes, fits, strict=True)}
     table = df.sparkSession.createDataFrame(curve, "k int, inertia double")
     best = knee(table, "k", "inertia").first()["knee"]
     return table, int(best), centres[int(best)]

@@ -93,3 +93,26 @@ def test_strengths_of_a_lasso_share_their_passes(spark, monkeypatch):
     together = linear.lasso_path(df, ["a", "b", "c"], "y", "classification", strengths)
     assert len(passes) - each < each
     assert np.allclose([[w for _, w in m] for m in alone], [[w for _, w in m] for m in together], atol=1e-6)
+
+
+def test_kmeans_of_all_sizes_share_their_passes(spark, monkeypatch):
+    """As Spark ML from the same start, with no more passes than the slowest size takes."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from sieveline.operators import importance
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3)) + 4 * rng.integers(0, 4, size=(600, 1))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(3).persist()
+    passes, plain = [], importance.sum_blocks
+    monkeypatch.setattr(importance, "sum_blocks", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    curve, _, _ = importance.kmeans_sweep(df, ["a", "b", "c"], range(2, 7))
+    got = {r["k"]: r["inertia"] for r in curve.collect()}
+    vec = df.select(array_to_vector(F.array("a", "b", "c")).alias("features")).persist()
+    most = 0
+    for k in range(2, 7):
+        summary = KMeans(k=k, seed=42, maxIter=300, initMode="k-means||").fit(vec).summary
+        assert abs(got[k] - summary.trainingCost) < 1e-6 * got[k]
+        most = max(most, summary.numIter)
+    assert len(passes) == most
