@@ -16,7 +16,7 @@ from sieveline.operators.evaluate import auroc, auroc_of_series
 from sieveline.operators.linear import features_array, sum_blocks
 from sieveline.operators.ordering import row_positions
 from sieveline.operators.ranks import expand_to_features, kendall_tau
-from sieveline.runtime import broadcast_if_small, cut_lineage, small_rows
+from sieveline.runtime import broadcast_if_small, cut_lineage, small_rows, spread
 
 
 def mean_over_seeds(per_seed: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
@@ -195,8 +195,8 @@ def kmeans_sweep(df: DataFrame, cols: list[str], ks=range(5, 26), seed: int = 42
     """
     from sieveline.operators.report import knee
 
-    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).persist()
-    vec = wide.select(array_to_vector(features_array(cols)).alias("features")).persist()
+    vec = df.select(array_to_vector(features_array(cols)).alias("features")).persist()
+    wide = spread(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])).persist()
 
     def start(k: int) -> np.ndarray:
         return np.array(KMeans(k=k, seed=seed, maxIter=0, initMode="k-means||").fit(vec).clusterCenters())
