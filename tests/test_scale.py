@@ -116,3 +116,136 @@ def test_kmeans_of_all_sizes_share_their_passes(spark, monkeypatch):
         assert abs(got[k] - summary.trainingCost) < 1e-6 * got[k]
         most = max(most, summary.numIter)
     assert len(passes) == most
+
+
+def _planted(spark, n=600, d=6, seed=7):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    y = (x @ np.array([1.0, 0.6, -0.4, 0.2, 0.1, 0.05][:d]) + rng.normal(size=n) > 0).astype(int)
+    cols = [f"c{j}" for j in range(d)]
+    rows = [(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y))]
+    schema = "id long, " + ", ".join(f"{c} double" for c in cols) + ", y int"
+    return spark.createDataFrame(rows, schema).repartition(3), cols, schema
+
+
+def _one_by_one(df, cols):
+    from sieveline.operators import linear
+
+    left, dropped = list(range(len(cols))), []
+    while len(left) > 1:
+        ((_, w),) = linear.logistic_fit_many(df, cols, "y", [linear.LogisticSpec(left, 1.0)])
+        dropped.append(left.pop(int(np.argmin(w**2))))
+    return [cols[j] for j in [*left, *dropped[::-1]]]
+
+
+def test_eliminations_share_their_passes(spark, monkeypatch):
+    from sieveline.operators import linear
+
+    df, cols, _ = _planted(spark)
+    df = df.persist()
+    want = _one_by_one(df, cols)
+    passes, plain = [], linear.sum_blocks
+    monkeypatch.setattr(linear, "sum_blocks", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    assert linear.rfe_order(df, cols, "y", "classification") == want
+    assert len(passes) <= 10
+
+
+def test_elimination_goes_on_where_another_column_goes(spark, monkeypatch):
+    """What is foreseen is never what decides."""
+    from sieveline.operators import linear
+
+    df, cols, _ = _planted(spark)
+    df = df.persist()
+    want = _one_by_one(df, cols)
+    weakest, calls = linear._weakest, []
+    monkeypatch.setattr(linear, "_ahead", lambda left, near, bend: calls.append(1) or [(left, near), (left[1:], near[[0, *range(2, len(near))]])])
+    assert weakest(np.array([0.5, -0.5 * (1 + 1e-12), 0.7])) == 0
+    assert linear.rfe_order(df, cols, "y", "classification") == want
+    assert len(calls) > 1
+    # labels besides 0 and 1 have no Gram matrices by class
+    odd = df.withColumn("y", F.col("y") * F.lit(0.9))
+    assert set(linear.rfe_order(odd, cols, "y", "classification")) == set(cols)
+
+
+def test_scaled_fits_and_warm_starts_agree_with_plain_ones(spark, monkeypatch):
+    """Specs of several scalings and subsets, in blocks of one spec, against fits of scaled columns one by one."""
+    from sieveline.operators import linear
+
+    df, cols, _ = _planted(spark)
+    df = df.withColumn("f", (F.col("id") % 3).cast("int")).withColumn("c1", F.col("c1") * 50 + 1000).persist()
+    specs = []
+    for hold in (None, 0, 1):
+        for subset in ([0, 1, 2], [1, 4], []):
+            center = np.array([0.1, 1000.0 + 5 * (hold or 0), 0.0, 0.0, -0.2, 0.0])[subset]
+            scale = np.array([2.0, 50.0 + (hold or 0), 1.0, 1.0, 0.5, 1.0])[subset]
+            specs.append(linear.LogisticSpec(subset, 0.5, hold, center, scale))
+    monkeypatch.setattr(linear, "_TILE", 8)
+    monkeypatch.setattr(linear, "_TOGETHER", 2)
+    counts = {}
+    found = linear.logistic_fit_many(df, cols, "y", specs, fold="f", counts=counts)
+    assert sum(counts.values()) == 600 and len(counts) == 6
+    for s, (b, w) in zip(specs, found):
+        part = df if s.hold_out is None else df.filter(F.col("f") != s.hold_out)
+        named = [cols[j] for j in s.subset]
+        own = part.select("y", F.lit(0.0).alias("_0"), *[((F.col(c) - float(m)) / float(d)).alias(c) for c, m, d in zip(named, s.center, s.scale)])
+        ((b1, w1),) = linear.logistic_fit_many(own, ["_0", *named], "y", [linear.LogisticSpec(range(1, 1 + len(named)), 0.5)])
+        assert abs(b - b1) < 1e-6 and np.allclose(w, w1, atol=1e-6)
+    start = [np.concatenate([[b], w]) + 0.01 for b, w in found]
+    again = linear.logistic_fit_many(df, cols, "y", specs, fold="f", start=start, counts=counts)
+    for (b, w), (b1, w1) in zip(found, again):
+        assert abs(b - b1) < 1e-6 and np.allclose(w, w1, atol=1e-6)
+
+
+def test_short_score_series_need_no_sketch(spark):
+    from sieveline.operators import linear
+
+    df, cols, schema = _planted(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = df.mapInArrow(counted, schema)
+    model, spec = (0.1, np.array([1.0, -0.5])), linear.LogisticSpec([0, 1])
+    long = linear.cv_scores(df, cols, "y", [model], [spec], None, "classification")
+    assert read.value == 2 * 600
+    short = linear.cv_scores(df, cols, "y", [model], [spec], None, "classification", 600)
+    assert read.value == 3 * 600
+    assert long[0] == short[0]
+
+
+def test_comparison_of_selections_reads_its_source_once(spark):
+    """For all seeds, methods and ratios."""
+    from sieveline.plans.experiments import compare_selection
+
+    df, cols, schema = _planted(spark, 300)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    source = df.mapInArrow(counted, schema)
+    out = compare_selection(source, "id", "y", cols, [], "classification", ["filter-mi", "mrmr", "random-feature", "rfe"], [0.5, 1.0], [1, 2])
+    got = {(r["fs_method"], r["ratio"]): r for r in out.collect()}
+    assert read.value == 300
+    assert len(got) == 8
+    assert {(m, r["frac"]) for (m, ratio), r in got.items() if ratio == 0.5} == {(m, 0.5) for m in ("filter-mi", "mrmr", "random-feature", "rfe")}
+    assert len({round(r["mean"], 9) for (_, ratio), r in got.items() if ratio == 1.0}) == 1
+    assert all(0.5 < r["mean"] < 1 for (_, ratio), r in got.items() if ratio == 1.0)
+
+
+def test_mutual_information_reads_its_counts_once(spark):
+    from sieveline.operators import stats
+
+    rows = [("f", "a", 1, 5), ("f", None, 1, 3), ("f", "a", 0, 2), ("f", None, 0, 7), ("g", "z", 0, 7), ("g", "z", None, 7)]
+    counts = spark.createDataFrame(rows, "feature string, x string, y int, n long")
+    out = stats.mutual_info_counts(counts)
+    assert _plan(out).count("LogicalRDD") == 1
+    n = np.array([[5, 2], [3, 7]]) / 17
+    want = float((n * np.log(n / n.sum(0) / n.sum(1)[:, None])).sum())
+    got = {r["feature"]: r["score"] for r in out.collect()}
+    assert abs(got["f"] - want) < 1e-12 and abs(got["g"]) < 1e-12
