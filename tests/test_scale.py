@@ -182,7 +182,7 @@ def test_scaled_fits_and_warm_starts_agree_with_plain_ones(spark, monkeypatch):
     monkeypatch.setattr(linear, "_TILE", 8)
     monkeypatch.setattr(linear, "_TOGETHER", 2)
     counts = {}
-    found = linear.logistic_fit_many(df, cols, "y", specs, fold="f", counts=counts)
+    found = [(b[0], b[1:]) for b, _ in linear.logistic_fit_near(df, cols, "y", specs, "f", counts=counts)]
     assert sum(counts.values()) == 600 and len(counts) == 6
     for s, (b, w) in zip(specs, found):
         part = df if s.hold_out is None else df.filter(F.col("f") != s.hold_out)
@@ -191,7 +191,7 @@ def test_scaled_fits_and_warm_starts_agree_with_plain_ones(spark, monkeypatch):
         ((b1, w1),) = linear.logistic_fit_many(own, ["_0", *named], "y", [linear.LogisticSpec(range(1, 1 + len(named)), 0.5)])
         assert abs(b - b1) < 1e-6 and np.allclose(w, w1, atol=1e-6)
     start = [np.concatenate([[b], w]) + 0.01 for b, w in found]
-    again = linear.logistic_fit_many(df, cols, "y", specs, fold="f", start=start, counts=counts)
+    again = [(b[0], b[1:]) for b, _ in linear.logistic_fit_near(df, cols, "y", specs, "f", start=start, counts=counts)]
     for (b, w), (b1, w1) in zip(found, again):
         assert abs(b - b1) < 1e-6 and np.allclose(w, w1, atol=1e-6)
 
